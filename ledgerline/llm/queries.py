@@ -5,23 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, mixing, ogg, urlfilter
+from ledgerline.llm import bpe, extract, mixing, ogg, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _named_document() -> Column:
+    """The document id in the path of a page's url; null where there is none."""
+    number = F.regexp_extract(urlfilter.host_and_path(F.col("url"))[1], r"^/[a-z]+/([0-9]{1,18})", 1)
+    return F.when(number != "", number.cast("long"))
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages. A page's outcome is the label of the document that the number in its url names: bad if that
     document is toxic or of low quality."""
     pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
-    number = F.regexp_extract(urlfilter.host_and_path(F.col("url"))[1], r"^/[a-z]+/([0-9]{1,18})", 1)
     outcomes = (
-        pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id"))
+        pages.select("page_id", _named_document().alias("doc_id"))
         .join(labels, "doc_id")
         .select("page_id", F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0).alias("bad"))
     )
@@ -33,6 +38,11 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_media(ogg.write_media(_table(spark, sf_dir, "documents")))
 
 
+def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded."""
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "digest")
@@ -43,6 +53,13 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages; the document that the number in a page's url names labels the page."""
+    pages = _table(spark, sf_dir, "pages")
+    chain = extract.fit(pages.withColumn("doc_id", _named_document()), _table(spark, sf_dir, "documents"))
+    return extract.extract(pages, chain)
+
+
 OP2_SQL = """
 WITH r AS (SELECT page_id, coalesce(CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END, '') AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -98,7 +115,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_reputation, op3_ogg_media, op8_bpe_automaton, op9_curriculum_mix)}
+    return {f.__name__: f for f in (op2_url_reputation, op3_ogg_media, op4_simhash_vptree, op8_bpe_automaton, op9_curriculum_mix, op10_crf_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
