@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, extract, mixing, ogg, simhash, suffix, urlfilter
+from ledgerline.llm import bpe, extract, mixing, ogg, simhash, suffix, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def _named_document() -> Column:
     return F.when(number != "", number.cast("long"))
 
 
+def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned outside fold 0."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages. A page's outcome is the label of the document that the number in its url names: bad if that
     document is toxic or of low quality."""
@@ -120,7 +126,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_reputation, op3_ogg_media, op4_simhash_vptree, op5_deep_shallow, op8_bpe_automaton, op9_curriculum_mix, op10_crf_extraction)}
+    return {f.__name__: f for f in (op1_toxicity_nnpu, op2_url_reputation, op3_ogg_media, op4_simhash_vptree, op5_deep_shallow, op8_bpe_automaton, op9_curriculum_mix, op10_crf_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
