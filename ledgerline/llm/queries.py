@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, extract, mixing, ogg, pitman_yor, simhash, suffix, toxicity, urlfilter
+from ledgerline.llm import bpe, extract, mixing, neighbours, ogg, pitman_yor, simhash, suffix, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(_table(spark, sf_dir, "documents"))
 
 
+def op7_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all embeddings."""
+    return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded."""
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "digest")
@@ -131,7 +136,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_nnpu, op2_url_reputation, op3_ogg_media, op4_simhash_vptree, op5_deep_shallow, op6_pitman_yor, op8_bpe_automaton, op9_curriculum_mix, op10_crf_extraction)}
+    return {f.__name__: f for f in (op1_toxicity_nnpu, op2_url_reputation, op3_ogg_media, op4_simhash_vptree, op5_deep_shallow, op6_pitman_yor, op7_pruned_graph, op8_bpe_automaton, op9_curriculum_mix, op10_crf_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
