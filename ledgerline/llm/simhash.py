@@ -239,7 +239,7 @@ class Linker:
         self.across(a[ao], b[bi])
 
 
-def link(prints: DataFrame, radius: int = RADIUS, shard_size: int = 16_000, sample: int = 8192) -> DataFrame:
+def link(prints: DataFrame, radius: int = RADIUS, shard_size: int = 60_000, sample: int = 8192) -> DataFrame:
     """(fp, component) for all distinct values of prints (fp) that are within radius bits of another: component is the
     smallest signed fp reachable. Values that are close to none don't appear.
 
