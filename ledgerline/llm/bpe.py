@@ -317,8 +317,8 @@ def encode(docs: DataFrame, path: str, output: str = "ids") -> DataFrame:
     """Every row of docs (doc_id, text) encoded by the BPE file at path, which executors can read from the driver's copy.
 
     output "ids": (doc_id, ids array<int>). "digest": (doc_id, n_tokens, ids_sha256, decoded_sha256), the last from the
-    ids decoded again. A null text counts as empty: no ids, digests of empty texts. The compiled automaton is broadcast;
-    its size is the vocabulary's.
+    ids decoded again. "both": all of these. A null text counts as empty: no ids, digests of empty texts. The compiled
+    automaton is broadcast; its size is the vocabulary's.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load(path))
@@ -330,15 +330,17 @@ def encode(docs: DataFrame, path: str, output: str = "ids") -> DataFrame:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 texts = worker.ids_texts([t or "" for t in part.column("text").to_pylist()])
                 doc_id = part.column("doc_id").cast(pa.int64())
-                if output == "ids":
-                    values = pa.array([[int(x) for x in t.split(",")] if t else [] for t in texts], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([doc_id, values], ["doc_id", "ids"])
-                else:
-                    counts = [t.count(",") + 1 if t else 0 for t in texts]
-                    yield pa.RecordBatch.from_arrays(
-                        [doc_id, pa.array(counts, pa.int64()), pa.array([sha(t) for t in texts]), pa.array([sha(worker.decode(t)) for t in texts])],
-                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                    )
-
-    schema = "doc_id long, ids array<int>" if output == "ids" else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                columns = {"doc_id": doc_id}
+                if output != "digest":
+                    numbers = [np.fromstring(t, np.int32, sep=",") if t else np.zeros(0, np.int32) for t in texts]
+                    ends = np.cumsum([0, *map(len, numbers)]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *numbers])))
+                if output != "ids":
+                    columns["n_tokens"] = pa.array([t.count(",") + 1 if t else 0 for t in texts], pa.int64())
+                    columns["ids_sha256"] = pa.array([sha(t) for t in texts], pa.string())
+                    columns["decoded_sha256"] = pa.array([sha(worker.decode(t)) for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    parts = {"ids": "ids array<int>", "digest": "n_tokens long, ids_sha256 string, decoded_sha256 string"}
+    schema = "doc_id long, " + parts.get(output, ", ".join(parts.values()))
     return docs.select("doc_id", "text").mapInArrow(ids, schema)

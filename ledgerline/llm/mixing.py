@@ -51,9 +51,9 @@ def position(asked: Column, slope: Column) -> Column:
     return F.when(slope == 0, asked).otherwise(root)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, share: float = 1.5, cap: float = 2.0, bucket_rows: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, share: float = 1.5, cap: float = 2.0, bucket_rows: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs (doc_id, source, text, others ignored): doc_id, size, source_size, target, taken, source,
-    position, position_again.
+    position, position_again, and the columns named by carry.
 
     size is the number of words (0 for null or empty texts). taken counts the words that the mix takes, repeats counted:
     the sum over a source is its target, rounded; only the document at the cut is taken in part. position is when the
@@ -69,6 +69,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float
             F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("source_key"),
             ids.alias("place"),
             word_count(F.col("text")).alias("size"),
+            *carry,
         )
     )
     rows = sized.count()
@@ -103,4 +104,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float
         "source",
         F.when((first > 0) | (F.col("size") == 0), at(start, first)).alias("position"),
         F.when(second > 0, at(start + F.col("source_size"), second)).alias("position_again"),
+        *carry,
     ).orderBy("position", "doc_id")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, with all their columns, each as often as it is taken, in training order.
+
+    A document that the mix takes in part is taken whole; one without words is taken once. Repeated rows are placed one
+    by one.
+    """
+    keyed = docs.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    again = Window.partitionBy("doc_id", "__t").orderBy("__source")
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    places = mix(keyed, carry=("__t",), **options)
+    lists = places.groupBy(F.col("doc_id").alias("__id"), F.col("__t").alias("__text")).agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source"), F.array_compact(F.array("position", "position_again")).alias("at")))).alias("__places")
+    )
+    rows = keyed.withColumn("__source", source).withColumn("__n", F.row_number().over(again))
+    joined = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__text")))
+    at = F.explode(F.element_at("__places", F.col("__n"))["at"]).alias("__at")
+    return joined.select(*docs.columns, at).orderBy("__at", "doc_id").drop("__at")

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import components, written
@@ -45,17 +45,18 @@ def fingerprint(text: str, words_in: int = 4) -> int:
     return int.from_bytes(np.packbits(count * 2 > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row of docs; fp holds the unsigned fingerprint's 64 bits as a long. Null texts count as
-    empty ones: 0."""
+def fingerprints(docs: DataFrame, other: Column | None = None) -> DataFrame:
+    """(doc_id, fp, t) for every row of docs; fp holds the unsigned fingerprint's 64 bits as a long, t the long column
+    other. Null texts count as empty ones: 0."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 fps = np.array([fingerprint(t or "") for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64)), part.column("t")], ["doc_id", "fp", "t"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, fp long")
+    t = F.lit(0).cast("long") if other is None else other
+    return docs.select("doc_id", "text", t.alias("t")).mapInArrow(hashed, "doc_id long, fp long, t long")
 
 
 def _distance(x: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -273,6 +274,12 @@ def link(prints: DataFrame, radius: int = RADIUS, shard_size: int = 60_000, samp
     return components(edges).select(F.col("node").alias("fp"), "component")
 
 
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, component) for every fingerprint of prints."""
+    every = prints.select("fp").distinct().join(link(prints, radius), "fp", "left")
+    return every.select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id
     among the documents reachable over fingerprints within radius bits, the document itself included.
@@ -281,8 +288,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     component_id. Texts that are null, empty or without words have the fingerprint zero. An empty table gives an empty one.
     """
     prints = written(fingerprints(docs))
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = groups.join(link(prints, radius), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labels = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(_components(prints, radius), "fp")
     least = labels.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = labels.join(least, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, with all their columns, that come first in their near-duplicate component: by doc_id, null last,
+    then by a hash of the text. Of rows with the same doc_id and text one stays."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    hashed = written(fingerprints(docs, text))
+    groups = hashed.join(_components(hashed, radius), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")).alias("first"))
+    first = groups.select(F.col("first.doc_id").alias("__id"), F.col("first.t").alias("__t"))
+    keyed = docs.withColumn("__text", text)
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left_semi")
+    if hashed.groupBy("doc_id", "t").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "__text"])
+    return kept.select(*docs.columns)
