@@ -201,7 +201,8 @@ def script_table_refs(scripts: DataFrame) -> DataFrame:
     case, each once. Temporary tables and table variables are left out."""
     pattern = r"(?i)\b(?:from|join|into|update|merge(?:\s+into)?)\s+([\[\]A-Za-z_][\[\]A-Za-z0-9_.$]*)"
     names = F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
-    return scripts.select("doc_id", F.lower(F.regexp_replace(names, r"[\[\]]", "")).alias("table")).where(~F.col("table").isin(*NO_TABLES) & (F.col("table") != "")).distinct()
+    found = scripts.select("doc_id", names.alias("name")).select("doc_id", F.lower(F.regexp_replace("name", r"[\[\]]", "")).alias("table"))
+    return found.where(~F.col("table").isin(*NO_TABLES) & (F.col("table") != "")).distinct()
 
 
 def size_warnings(docs: DataFrame, stages: DataFrame, limit: int = 120_000) -> DataFrame:

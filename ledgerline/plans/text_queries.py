@@ -1 +1,143 @@
-"""Registered below."""
+"""Text operators over documents: their lines, with Markdown put around them, and what they mention."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerline.operators import text as T
+from ledgerline.plans.catalogue import query
+
+#: A Markdown page around each document's ids: two sections, a fence, a table.
+MARKDOWN = (
+    "# Rules", "intro {id}", "## 1. Steps:", "step {id}", "```sql", "# not a heading", "-- the rest likewise", "select {id} from dbo.[T{mod}] join app.u", "```",
+    "## Table (line 12)", "| Code | Line |", "|---|---|", "| C{mod} | {id} |", "| a \\| b | L7 |", "end",
+)
+
+
+def pages(t):
+    line = lambda s: F.replace(F.replace(F.lit(s), F.lit("{id}"), F.col("doc_id").cast("string")), F.lit("{mod}"), (F.col("doc_id") % 5).cast("string"))
+    return t("documents").select("doc_id", F.array_join(F.array(*map(line, MARKDOWN)), "\n").alias("text"))
+
+
+@query("txt1_markdown_lines", "SELECT doc_id, CAST(n - 1 AS INTEGER) AS line_no, n IN (5, 9) AS is_fence, n BETWEEN 6 AND 8 AS in_fence, CASE WHEN n < 3 THEN '# Rules' WHEN n < 10 THEN '## 1. Steps:' ELSE '## Table (line 12)' END AS heading FROM documents, range(1, 16) r(n)")
+def _(spark, t):
+    return T.markdown_lines(pages(t)).drop("line")
+
+
+@query("txt1_document_lines", "SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents")
+def _(spark, t):
+    texts = t("documents").select("doc_id", F.regexp_replace("text", "\r", "x").alias("text"))
+    return T.markdown_lines(texts).groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+@query("txt2_section_body", "SELECT doc_id, 'Steps' AS wanted, '## 1. Steps:' AS heading, 'step ' || doc_id || chr(10) || '```sql' || chr(10) || '# not a heading' || chr(10) || '-- the rest likewise' || chr(10) || 'select ' || doc_id || ' from dbo.[T' || (doc_id % 5) || '] join app.u' || chr(10) || '```' AS body FROM documents")
+def _(spark, t):
+    return T.section_body(pages(t), t("documents").select("doc_id", F.lit("Steps").alias("wanted")))
+
+
+@query("txt3_section_defects", "SELECT doc_id, 'missing' AS defect, 'Ends' AS section FROM documents UNION ALL SELECT doc_id, 'out of order', 'Rules' FROM documents")
+def _(spark, t):
+    return T.section_defects(pages(t), ["Steps", "Ends", "Rules"])
+
+
+@query("txt4_table_rows", "SELECT doc_id, 0 AS table_no, 12 AS line_no, 'C' || (doc_id % 5) AS code, CAST(doc_id AS VARCHAR) AS line FROM documents UNION ALL SELECT doc_id, 0, 13, 'a | b', 'L7' FROM documents")
+def _(spark, t):
+    return T.markdown_table_rows(pages(t)).select("doc_id", "table_no", "line_no", F.col("cells")["Code"].alias("code"), F.col("cells")["Line"].alias("line"))
+
+
+@query("txt5_attribution_defects", "SELECT CASE WHEN doc_id % 7 = 0 THEN 'X-' ELSE 'R-' END || doc_id AS rule_id, CASE WHEN doc_id % 7 = 0 THEN 'id prefix' WHEN doc_id % 7 = 1 THEN 'missing' WHEN doc_id % 7 = 2 THEN 'heading not found' WHEN doc_id % 7 = 3 THEN 'quote not found' END AS defect FROM documents WHERE doc_id % 7 < 4")
+def _(spark, t):
+    m, i = F.col("doc_id") % 7, F.col("doc_id").cast("string")
+    claims = t("documents").select(F.concat(F.when(m == 0, "X-").otherwise("R-"), i).alias("rule_id"), i.alias("evidence_label"), F.when(m == 1, "").when(m == 2, "Nowhere").otherwise("steps").alias("evidence_heading"), F.when(m == 3, "not there").otherwise(F.concat(F.lit("*step*  "), i)).alias("evidence_quote"))
+    return T.attribution_defects(claims.withColumn("evidence_heading", F.when(F.col("evidence_heading") == "steps", "Steps").otherwise(F.col("evidence_heading"))), pages(t), (), "R-")
+
+
+@query("txt5_quoted_in", r"SELECT item_id, doc_id, contains(regexp_replace(d.text, '[\s*`|_~]+', '', 'g'), regexp_replace(b.text, '[\s*`|_~]+', '', 'g')) AS found FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id")
+def _(spark, t):
+    claims = t("benchmark").select("item_id", F.col("text").alias("quote")).join(t("documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id")), "item_id")
+    return T.quoted_in(claims, t("documents").select("doc_id", "text")).drop("quote")
+
+
+WORDS = "('the', 'und', 'les', 'que', 'idiot', 'NONE')"
+
+
+def literals(t):
+    """Literal values, each used by two procedures, drawn from the regions' keys."""
+    words = F.element_at(F.array(*map(F.lit, ("the", "und", "les", "que", "idiot"))), F.col("r_regionkey").cast("int") + 1)
+    r = t("region").select("r_regionkey", words.alias("value"))
+    one = r.select(F.concat(F.lit("p"), "r_regionkey").alias("label"), F.when(F.col("r_regionkey") % 2 == 0, "code").alias("column"), "value")
+    return one.unionByName(r.select(F.lit("q").alias("label"), F.lit("kind").alias("column"), "value"))
+
+
+@query(
+    "txt6_build_codebook",
+    r"""WITH w AS (SELECT ['the', 'und', 'les', 'que', 'idiot'][CAST(r_regionkey + 1 AS BIGINT)] AS value, r_regionkey AS k FROM region),
+    h AS (SELECT value, count(*) FILTER (regexp_matches(text, '(^|[^A-Za-z0-9_])' || value || '($|[^A-Za-z0-9_])')) AS n FROM w, documents GROUP BY 1)
+    SELECT w.value, CASE WHEN k % 2 = 0 THEN 'code' ELSE 'kind' END AS "column", 'p' || k || ',q' AS procedures, n AS documents, true AS match_eligible, n > 0 AS listed FROM w JOIN h USING (value)""",
+)
+def _(spark, t):
+    return T.build_codebook(literals(t), t("documents")).withColumn("procedures", F.array_join("procedures", ","))
+
+
+@query("txt7_match_codebook", "SELECT n_name AS value, 'nation' AS \"table\", n_nationkey AS row_no FROM nation UNION ALL SELECT r_name, 'region', r_regionkey FROM region")
+def _(spark, t):
+    cells = lambda n, k, c: t(n).select(F.lit(n).alias("table"), F.col(k).alias("row_no"), F.lit(c).alias("col"), F.lower(c).alias("val"))
+    profiled = cells("nation", "n_nationkey", "n_name").unionByName(cells("region", "r_regionkey", "r_name"))
+    book = lambda n, c, column: t(n).select(F.col(c).alias("value"), F.lit(column).cast("string").alias("column"), F.lit(True).alias("match_eligible"))
+    return T.match_codebook(book("nation", "n_name", "N_NAME").unionByName(book("region", "r_name", None)), profiled)
+
+
+@query("txt8_unknown_codes", "SELECT doc_id AS rule_id, lang AS code FROM documents WHERE lang <> 'en' UNION SELECT doc_id, 'zz' FROM documents WHERE doc_id % 10 = 0")
+def _(spark, t):
+    rules = t("documents").select(F.col("doc_id").alias("rule_id"), F.concat(F.lit("'"), "lang", F.lit("'"), F.when(F.col("doc_id") % 10 == 0, ", zz").otherwise("")).alias("code_value"))
+    return T.unknown_codes(rules, t("documents").where("lang = 'en'").select(F.col("lang").alias("value")).distinct())
+
+
+@query("txt8_never_cited", "SELECT DISTINCT source AS value FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 50 = 0)")
+def _(spark, t):
+    return T.never_cited(t("documents").select(F.col("source").alias("value")), t("documents").where("doc_id % 50 = 0").select(F.col("source").alias("code_value")))
+
+
+@query("txt9_omission_comments", "SELECT doc_id, 6 AS line_no, '-- the rest likewise' AS line FROM documents")
+def _(spark, t):
+    return T.omission_comments(pages(t), ["rest likewise", "omitted"])
+
+
+@query("txt10_line_anchors", "SELECT doc_id, CAST(doc_id AS INTEGER) AS anchor, 'column' AS source FROM documents UNION ALL SELECT doc_id, 7, 'column' FROM documents UNION ALL SELECT doc_id, 7, 'cell' FROM documents UNION ALL SELECT doc_id, 12, 'heading' FROM documents")
+def _(spark, t):
+    return T.line_anchors(pages(t)).select("doc_id", "anchor", "source")
+
+
+@query("txt11_coverage_map", "WITH s AS (SELECT DISTINCT l_orderkey AS object, l_linenumber * 10 AS a, l_linenumber * 10 + 5 AS b, l_quantity < 5 AS c FROM lineitem), f AS (SELECT DISTINCT l_orderkey AS object, CAST(l_quantity AS INTEGER) AS line FROM lineitem), n AS (SELECT DISTINCT l_orderkey AS object, CAST(l_quantity AS INTEGER) + 9 AS line FROM lineitem), k AS (SELECT object, c, EXISTS (SELECT 1 FROM f WHERE f.object = s.object AND line BETWEEN a AND b) AS f, EXISTS (SELECT 1 FROM n WHERE n.object = s.object AND line BETWEEN a AND b) AS n FROM s) SELECT object, count(*) FILTER (NOT c AND f AND n) AS Consistent, count(*) FILTER (NOT c AND f AND NOT n) AS SpecMissing, count(*) FILTER (NOT c AND NOT f AND n) AS ProseOnly, count(*) FILTER (c OR (NOT f AND NOT n)) AS OutOfScope FROM k GROUP BY 1")
+def _(spark, t):
+    l = t("lineitem")  # noqa: E741
+    s = l.select(F.col("l_orderkey").alias("object"), (F.col("l_linenumber") * 10).alias("start_line"), (F.col("l_linenumber") * 10 + 5).alias("end_line"), (F.col("l_quantity") < 5).alias("is_container"))
+    at = lambda shift: l.select(F.col("l_orderkey").alias("object"), (F.col("l_quantity").cast("int") + shift).alias("line"))
+    return T.coverage_map(s, at(0), at(9))
+
+
+@query("txt12_material_census", "WITH d AS (SELECT source, count(*) FILTER (lang = 'en') AS a, count(*) FILTER (n_chars > 900) AS b FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), s AS (SELECT source, count(*) FILTER (lang = 'en') AS a FROM documents WHERE doc_id % 2 = 1 GROUP BY 1) SELECT 'en' AS material, CAST(sum(s.a) AS BIGINT) AS in_source, CAST(sum(d.a) AS BIGINT) AS in_documents, CAST(sum(CAST(d.a < s.a AS INTEGER)) AS BIGINT) AS objects_with_loss FROM s FULL JOIN d USING (source) UNION ALL SELECT 'long', NULL, CAST(sum(d.b) AS BIGINT), NULL FROM d")
+def _(spark, t):
+    n = lambda test: F.sum(test.cast("long"))
+    en, long = F.col("lang") == "en", F.col("n_chars") > 900
+    s = t("documents").where("doc_id % 2 = 1").groupBy(F.col("source").alias("object")).agg(n(en).alias("en"), F.lit(None).cast("long").alias("long"))
+    d = t("documents").where("doc_id % 2 = 0").groupBy(F.col("source").alias("object")).agg(n(en).alias("en"), n(long).alias("long"))
+    return T.material_census(s, d, ["en", "long"])
+
+
+@query("txt13_attribute_codes", "SELECT n_name || ' ' AS code, CASE WHEN n_nationkey % 3 = 0 THEN r_name END AS step, n_nationkey % 3 <> 0 AS unattributed FROM nation JOIN region ON r_regionkey = n_regionkey")
+def _(spark, t):
+    joined = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    steps = joined.where("n_nationkey % 3 = 0").groupBy(F.col("r_name").alias("step")).agg(F.collect_list(F.lower("n_name")).alias("codes"))
+    return T.attribute_codes(t("nation").select(F.concat("n_name", F.lit(" ")).alias("code")), steps)
+
+
+@query("txt14_script_table_refs", "SELECT doc_id, 'dbo.t' || (doc_id % 5) AS \"table\" FROM documents UNION ALL SELECT doc_id, 'app.u' FROM documents")
+def _(spark, t):
+    return T.script_table_refs(pages(t))
+
+
+@query("txt15_size_warnings", "SELECT source AS stage, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY 1 HAVING sum(length(text)) > 120000")
+def _(spark, t):
+    d = t("documents")
+    return T.size_warnings(d.select("doc_id", "text"), d.select(F.col("source").alias("stage"), "doc_id"))
