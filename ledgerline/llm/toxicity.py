@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import fold
+from ledgerline.llm.common import fold, written
 
 TERM = re.compile(r"\w+")
 
@@ -87,7 +87,7 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, le
     return Model({f: float(w[i]) for f, i in index.items()}, float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int = 2500, unlabelled: int = 6000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int = 2500, unlabelled: int = 6000, least: int = 4, purity: float = 0.7) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), outside the fold held_out.
 
     The class prior is the share of toxic rows among all labels outside the fold. The texts are a bounded sample of the
@@ -95,8 +95,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int =
     aren't looked at; both first by a hash of their id, which is all that the driver takes in. A document with several
     labels counts as toxic if one says so.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic").alias("prior")).first()["prior"] or 0.0
+    share = min(max(share, 1e-4), 0.5)
     pick = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(known.where("toxic = 1"), positives).select("doc_id", F.lit(1).alias("side"))
     chosen = chosen.unionByName(pick(known, unlabelled).select("doc_id", F.lit(0).alias("side")))
@@ -104,12 +106,25 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int =
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [" ".join(sorted(features(t))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("side"), pa.array(found)], ["doc_id", "side", "terms"])
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                found = pa.array([sorted(features(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("side"), found], ["doc_id", "side", "terms"])
+
+    rows = written(texts.mapInArrow(terms, "doc_id long, side int, terms array<string>"))
+    size = {r["side"]: r["count"] for r in rows.groupBy("side").count().collect()}
+    p, u = max(1, size.get(1, 0)), max(1, size.get(0, 0))
+    # features are chosen by Spark as train() would choose them, so that the driver takes in no others
+    counts = rows.select("side", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("side").alias("c1"), F.sum(1 - F.col("side")).alias("c0"))
+    pure = counts.where((F.col("c1") >= least) & (share * F.col("c1") / p >= purity * (F.col("c0") + 1) / u)).select("term")
+    kept = spark.sparkContext.broadcast({r["term"] for r in pure.collect()})
+
+    def chosen_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([[t for t in ts if t in kept.value] for ts in batch.column("terms").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("side"), found], ["doc_id", "side", "terms"])
 
-    rows = texts.mapInArrow(terms, "doc_id long, side int, terms string").toPandas().sort_values(["side", "doc_id", "terms"])
-    split = lambda side: [set(t.split(" ")) - {""} for t in rows["terms"][rows["side"] == side]]
-    return train(split(1), split(0), float(share))
+    few = sorted((r["side"], r["doc_id"], r["terms"]) for r in rows.mapInArrow(chosen_terms, rows.schema).collect())
+    return train([set(t) for s, _, t in few if s], [set(t) for s, _, t in few if not s], float(share), least, purity)
 
 
 def score(docs: DataFrame, model: Model, held_out: int = 0) -> DataFrame:
