@@ -135,7 +135,7 @@ class Chain:
         return path[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 60, rate: float = 0.3, decay: float = 1e-3, least: int = 2) -> Chain:
+def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 150, rate: float = 0.3, decay: float = 1e-4, least: int = 2) -> Chain:
     """Maximum likelihood with an L2 penalty by full-batch Adagrad; features seen in fewer than least blocks are left out.
 
     pages holds (features of each block, label of each block). The gradient is taken for all pages side by side, padded
