@@ -1,39 +1,16 @@
-"""What several operators share: durable intermediate tables and connected components."""
+"""What several operators share: folds, words, durable tables and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are runs of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        named = sc._jsc.sc().getCheckpointDir().get()
-    return named
+from ledgerline.durable import checkpointed, written
 
+__all__ = ["WORD", "checkpointed", "components", "fold", "written"]
 
-def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """df computed once, kept as Parquet in the shared folder and read back: later jobs survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder; keeps how its rows are dealt out, unlike written()."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Words are runs of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def fold(column: str, modulus: int = 5) -> Column:
