@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ HIDDEN = "script|style|noscript|template|textarea|svg|math|head|title|iframe|obj
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + HIDDEN + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S | re.I)
 NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 WHITE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?]")
 
@@ -84,6 +86,8 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[str], float]]:
             for k, *values in NAMES.findall(m[4]):
                 names.update(f"{k.lower()}={w}" for w in re.split(r"[^a-z0-9]+", "".join(values).lower()) if w)
                 names.update(f"name={w}" for w in re.split(r"[^a-z0-9]+", "".join(values).lower()) if w)
+            if UNSEEN.search(m[4]):
+                names.add("hidden")
             stack.append((tag, frozenset(names)))
             context = context | names
             in_link += tag == "a"
@@ -135,7 +139,7 @@ class Chain:
         return path[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 150, rate: float = 0.3, decay: float = 1e-4, least: int = 2) -> Chain:
+def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 250, rate: float = 1.5, decay: float = 1e-5, least: int = 2) -> Chain:
     """Maximum likelihood with an L2 penalty by full-batch Adagrad; features seen in fewer than least blocks are left out.
 
     pages holds (features of each block, label of each block). The gradient is taken for all pages side by side, padded
@@ -182,35 +186,72 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 150, rat
     return Chain({n: float(w[i]) for n, i in index.items()}, t)
 
 
-def templates() -> list[tuple[list[list[str]], list[int]]]:
-    """A fixed, small set of labelled pages for page parts that a labelled crawl may lack: headers, menus, sidebars,
-    notices, adverts, forms and reader comments around or inside articles of several shapes."""
-    long = "A sentence of the article that goes on for a while, with clauses, and then ends here. "
-    main = [("h1", "A headline"), ("p", long * 2), ("p", long), ("h2", "A part"), ("p", long * 3), ("li", "An item of a list"), ("blockquote", long), ("p", "Short one.")]
-    junk = {
-        "header": ["<header><h1><a href='/'>Site name</a></h1><p>A slogan of the site</p></header>", "<div class='header' id='header'><a href='/'>Site name</a></div>", "<div role='banner'><p>Site name</p></div>"],
-        "menu": ["<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>", "<div class='menu'><a href='/a'>Home</a> <a href='/b'>News</a></div>", "<ul class='nav navbar'><li><a href='/'>Home</a></li></ul>", "<div class='breadcrumb breadcrumbs'><a href='/'>Home</a> Part</div>"],
-        "side": [f"<aside><h2>More to read</h2><p>{long}</p></aside>", f"<div class='sidebar' id='sidebar'><h3>Popular</h3><p>{long}</p></div>", f"<div class='related'><h3>Related</h3><ul><li><a href='/r'>Other story</a></li></ul></div>", f"<section class='widget'><p>{long}</p></section>"],
-        "notice": [f"<div class='cookie notice'><p>We use cookies. {long}</p></div>", f"<div id='cookie-banner' class='banner'>{long}</div>", f"<div class='notice'><p>{long}</p></div>", f"<div role='alert' class='alert'><p>{long}</p></div>", f"<div role='dialog' class='modal popup consent'>{long}</div>", f"<dialog><p>{long}</p></dialog>"],
-        "advert": [f"<div class='ad'>{long}</div>", f"<div class='ads advert advertisement'><p>{long}</p></div>", f"<div class='sponsored promo'><p>{long}</p></div>", f"<ins class='adsbygoogle'>{long}</ins>"],
-        "form": ["<form><label>Your name</label><input name='n'><button>Send</button></form>", f"<form class='search'><p>{long}</p></form>", f"<div class='newsletter subscribe'><p>{long}</p><button>Sign up</button></div>", "<fieldset><legend>Vote</legend><label>Yes</label></fieldset>"],
-        "comments": [f"<section class='comments' id='comments'><h2>Comments</h2><div class='comment'><p>{long}</p></div><div class='comment'><p>{long * 2}</p></div></section>", f"<div id='comments'><ol class='comment-list'><li>{long}</li></ol></div>", f"<div class='comment'><p>{long}</p></div>", f"<ul class='replies responses discussion'><li class='reply'><p>{long}</p></li></ul>"],
-        "share": ["<div class='share social'><a href='/s'>Share</a></div>", "<div class='tags meta byline'><a href='/t'>Tag</a></div>"],
-        "footer": [f"<footer>&copy; site. {long}</footer>", f"<div class='footer' id='footer'><p>&copy; {long}</p></div>", f"<div role='contentinfo'><p>{long}</p></div>"],
-    }
-    wraps = ["<article>{}</article>", "{}", "<body>{}</body>", "<main>{}</main>", "<div class='content'>{}</div>", "<main><article>{}</article></main>", "<div id='main' class='post entry article'>{}</div>", "<div>{}</div>", "<section>{}</section>"]
-    kinds, found = list(junk), []
-    for n in range(126):
-        body, wrap = [], wraps[n % len(wraps)]
-        for k in range(2 + n % 6):
-            tag, text = main[(n + k) % len(main)] if k else ("h1", "A headline") if n % 3 else ("p", long)
-            body.append(f"<{tag} data-main>{text}</{tag}>")
-        inside = junk[kinds[n % len(kinds)]]
-        body.insert(1 + n % len(body), inside[n // len(kinds) % len(inside)]) if n % 2 else body.append(inside[n // len(kinds) % len(inside)])
-        pick = lambda kind, shift: junk[kind][(n + shift) % len(junk[kind])]
-        page = "".join(pick(k, 0) for k in ("header", "menu", "notice")[: n % 4]) + wrap.format("".join(body)) + "".join(pick(k, 1) for k in ("comments", "side", "form", "advert", "share")[: n % 6]) + pick("footer", 2)
-        blocks = leaf_blocks(page.replace(" data-main>", "> \x01"))
-        clean = [(t.replace("\x01", "").strip(), c, link) for t, c, link in blocks]
+#: Page parts that aren't the article: the tags they come in and the words that name them in class, id or role.
+PARTS = {
+    "header": ("header div", "header masthead banner top branding logo"),
+    "menu": ("nav div ul", "nav menu navbar navigation breadcrumb breadcrumbs pagination"),
+    "side": ("aside div section", "sidebar side aside related widget popular recommended trending"),
+    "notice": ("div section dialog", "notice cookie cookies consent banner alert modal popup warning message"),
+    "advert": ("div section aside", "ad ads advert advertisement adsbygoogle sponsored sponsor promo promotion"),
+    "form": ("form div fieldset", "form search newsletter subscribe signup login contact poll"),
+    "comments": ("section div ol", "comments comment reply replies responses discussion respond"),
+    "share": ("div ul", "share social sharing tags meta byline"),
+    "hidden": ("div section", ""),
+    "footer": ("footer div", "footer bottom copyright colophon legal contentinfo"),
+}
+#: Around the article, and around the whole page with its other parts.
+WRAPS = ("<article>{}</article>", "{}", "<main>{}</main>", "<main><article>{}</article></main>", "<div>{}</div>", "<section>{}</section>", "<div class='content'>{}</div>", "<div class='post-body entry'>{}</div>", "<div id='main' class='article story text'>{}</div>")
+OUTER = ("{}", "<body>{}</body>", "<div class='wrapper container'>{}</div>", "<div id='page'>{}</div>")
+
+
+def templates(pages: int = 600, seed: int = 5) -> list[tuple[list[list[str]], list[int]]]:
+    """A fixed number of made-up labelled pages for parts that a labelled crawl may lack: headers, menus, sidebars,
+    notices, adverts, forms and reader comments around or inside articles of several shapes, in texts of all lengths."""
+    rng = random.Random(seed)
+    say = lambda: "".join(rng.choice(("This is a sentence that goes on for a while, with clauses, and then ends. ", "One with few marks goes on and on. ", "Another one has no mark before it comes to its end. ", "A much longer one goes on without any mark for as long as it can and then a little longer until there is nothing left to say. ", "A short one. ", "Is it? ")) for _ in range(rng.choice((1, 1, 2, 3, 6)))).strip()
+    few = lambda: " ".join(rng.choice(("News", "Home", "More", "A word", "Section")) for _ in range(rng.randint(1, 4)))
+    link = lambda t: f"<a href='/x'>{t}</a>"
+
+    def part(kind: str) -> str:
+        tags, words = (x.split() for x in PARTS[kind])
+        tag = rng.choice(tags)
+        named = ""
+        if not words:
+            named = rng.choice((" hidden", " style='display:none'"))
+        elif tag in ("div", "section", "ul", "ol") or rng.random() < 0.5:
+            named = f" {rng.choice(('class', 'class', 'id', 'role'))}='{'-'.join(rng.sample(words, rng.choice((1, 1, 2))))}'"
+        item = "li" if tag in ("ul", "ol") else rng.choice(("p", "div", "p"))
+        if kind in ("menu", "share") or (kind in ("side", "header", "footer") and rng.random() < 0.4):
+            inside = "".join(f"<{rng.choice((item, 'li'))}>{link(few())}</li>" for _ in range(rng.randint(1, 5))) if rng.random() < 0.7 else link(few())
+        elif kind == "comments":
+            inside = "".join(f"<{item} class='comment'>{say()}</{item}>" if rng.random() < 0.5 else f"<{item}>{say()}</{item}>" for _ in range(rng.randint(1, 3)))
+        elif kind == "form":
+            inside = rng.choice((f"<p>{say()}</p>", f"<label>{few()}</label>", "")) + rng.choice((f"<button>{few()}</button>", f"<label>{few()}</label><input>", f"<p>{say()}</p>"))
+        else:
+            inside = rng.choice((say(), f"<{item}>{say()}</{item}>", f"<{item}>{say()}</{item}><{item}>{say()}</{item}>", "&copy; " + few() if kind == "footer" else few()))
+        head = rng.choice(("h1", "h2", "h3", "h4"))
+        title = f"<{head}>{few()}</{head}>" if rng.random() < 0.3 else ""
+        return f"<{tag}{named}>{title}{inside}</{tag}>"
+
+    def article() -> list[str]:
+        mark = lambda t: f"\x01{t}"
+        shapes = [
+            lambda: f"<h2>{mark(few())}</h2>", lambda: f"<h3>{mark(few())}</h3>", lambda: f"<ul><li>{mark(few())}</li><li>{mark(say())}</li></ul>", lambda: f"<blockquote>{mark(say())}</blockquote>",
+            lambda: f"<table><tr><td>{mark(few())}</td><td>{mark(say())}</td></tr></table>", lambda: f"<figure><figcaption>{mark(few())}</figcaption></figure>", lambda: f"<pre>{mark(few())}</pre>",
+            lambda: f"<div>{mark(say())}</div>", lambda: f"<p>{mark(link(say()))}</p>", lambda: f"<p>{mark(say())} {link(few())} {say()}</p>",
+        ]
+        body = [f"<h1>{mark(few())}</h1>"] if rng.random() < 0.7 else []
+        return body + [rng.choice(shapes)() if rng.random() < 0.35 else f"<p>{mark(say())}</p>" for _ in range(rng.randint(1, 7))]
+
+    some = lambda kinds, most: "".join(map(part, rng.sample(kinds, rng.randint(0, most))))
+    found = []
+    for _ in range(pages):
+        body = article()
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            body.insert(rng.randint(1, len(body)), part(rng.choice(("side", "advert", "form", "notice", "comments", "share", "hidden", "footer", "menu"))))
+        around = some(["header", "menu", "notice", "advert"], 3), some(["comments", "side", "form", "advert", "share", "notice"], 3) + some(["footer"], 1)
+        blocks = leaf_blocks(rng.choice(OUTER).format(around[0] + rng.choice(WRAPS).format("".join(body)) + around[1]))
+        clean = [(t.replace("\x01", "").strip(), c, linked) for t, c, linked in blocks]
         found.append((features(clean), [int("\x01" in t) for t, _, _ in blocks]))
     return found
 

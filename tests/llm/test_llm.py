@@ -449,6 +449,22 @@ def test_extraction_of_other_pages(spark):
     assert got[1] == f"Head\nOne & {say}\nTwo {say}".replace(" \n", "\n").strip() and got[2] == got[3] == "" == got[6] and len(got) == 7
 
 
+def test_extraction_of_made_up_layouts_held_out():
+    chain = extract.train(extract.templates())
+    pages = extract.templates(200, seed=99)
+    assert sum(chain.decode(f) == y for f, y in pages) / len(pages) > 0.85
+    blocks = [(got, gold) for f, y in pages for got, gold in zip(chain.decode(f), y)]
+    assert sum(a == b for a, b in blocks) / len(blocks) > 0.97
+
+
+def test_extraction_drops_parts_inside_the_article():
+    chain = extract.train(extract.templates())
+    say = "Some words of the story, long enough to be a sentence of it. " * 2
+    for part in (f"<section class='comments'><p>{say}</p></section>", f"<form><p>{say}</p></form>", f"<div class='ad'>{say}</div>", f"<div class='cookie-consent'><p>{say}</p></div>", f"<div hidden>{say}</div>"):
+        page = f"<article><h1>Head</h1><p>{say}</p>{part}<p>{say}</p></article>"
+        assert chain.decode(extract.features(extract.leaf_blocks(page))) == [1, 1, 0, 1], part
+
+
 def test_viterbi_is_the_best_path():
     rng = random.Random(0)
     chain = extract.Chain({"a": 0.7, "b": -0.4, "c": 1.1}, np.array([[0.5, -0.6], [-0.2, 0.3]]))
