@@ -190,8 +190,8 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 250, rat
 PARTS = {
     "header": ("header div", "header masthead banner top branding logo"),
     "menu": ("nav div ul", "nav menu navbar navigation breadcrumb breadcrumbs pagination"),
-    "side": ("aside div section", "sidebar side aside related widget popular recommended trending"),
-    "notice": ("div section dialog", "notice cookie cookies consent banner alert modal popup warning message"),
+    "side": ("aside div section", "sidebar aside side related widget popular recommended trending"),
+    "notice": ("div section dialog", "cookie notice cookies consent banner alert modal popup warning message"),
     "advert": ("div section aside", "ad ads advert advertisement adsbygoogle sponsored sponsor promo promotion"),
     "form": ("form div fieldset", "form search newsletter subscribe signup login contact poll"),
     "comments": ("section div ol", "comments comment reply replies responses discussion respond"),
@@ -204,7 +204,7 @@ WRAPS = ("<article>{}</article>", "{}", "<main>{}</main>", "<main><article>{}</a
 OUTER = ("{}", "<body>{}</body>", "<div class='wrapper container'>{}</div>", "<div id='page'>{}</div>")
 
 
-def templates(pages: int = 600, seed: int = 5) -> list[tuple[list[list[str]], list[int]]]:
+def templates(pages: int = 800, seed: int = 5) -> list[tuple[list[list[str]], list[int]]]:
     """A fixed number of made-up labelled pages for parts that a labelled crawl may lack: headers, menus, sidebars,
     notices, adverts, forms and reader comments around or inside articles of several shapes, in texts of all lengths."""
     rng = random.Random(seed)
@@ -219,7 +219,7 @@ def templates(pages: int = 600, seed: int = 5) -> list[tuple[list[list[str]], li
         if not words:
             named = rng.choice((" hidden", " style='display:none'"))
         elif tag in ("div", "section", "ul", "ol") or rng.random() < 0.5:
-            named = f" {rng.choice(('class', 'class', 'id', 'role'))}='{'-'.join(rng.sample(words, rng.choice((1, 1, 2))))}'"
+            named = f" {rng.choice(('class', 'class', 'id', 'role'))}='{'-'.join(rng.sample(words[:2] * 3 + words, rng.choice((1, 1, 2))))}'"
         item = "li" if tag in ("ul", "ol") else rng.choice(("p", "div", "p"))
         if kind in ("menu", "share") or (kind in ("side", "header", "footer") and rng.random() < 0.4):
             inside = "".join(f"<{rng.choice((item, 'li'))}>{link(few())}</li>" for _ in range(rng.randint(1, 5))) if rng.random() < 0.7 else link(few())
