@@ -297,12 +297,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, with all their columns, that come first in their near-duplicate component: by doc_id, null last,
     then by a hash of the text. Of rows with the same doc_id and text one stays."""
+    hashed = written(fingerprints(docs, F.xxhash64(F.coalesce("text", F.lit("")))))
+    return first_of_each(docs, hashed.join(_components(hashed, radius), "fp").select("doc_id", "t", "component"))
+
+
+def first_of_each(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of docs that come first in their component, given (doc_id, t, component) of each row; t hashes the text."""
+    labelled = written(labelled)
     text = F.xxhash64(F.coalesce("text", F.lit("")))
-    hashed = written(fingerprints(docs, text))
-    groups = hashed.join(_components(hashed, radius), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")).alias("first"))
+    groups = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")).alias("first"))
     first = groups.select(F.col("first.doc_id").alias("__id"), F.col("first.t").alias("__t"))
     keyed = docs.withColumn("__text", text)
     kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left_semi")
-    if hashed.groupBy("doc_id", "t").count().where("count > 1").limit(1).count():
+    if labelled.groupBy("doc_id", "t").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "__text"])
     return kept.select(*docs.columns)
