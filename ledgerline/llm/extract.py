@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tags that begin or end a block, tags without an end, and tags whose content is no text.
@@ -100,7 +100,7 @@ def features(blocks: list[tuple[str, frozenset[str], float]]) -> list[list[str]]
     """Names of the features of each block of a page."""
     out = []
     for i, (text, context, linked) in enumerate(blocks):
-        marks = len(PUNCTUATION.findall(text[:2000])) / max(1, len(text[:2000]))
+        marks = len(PUNCTUATION.findall(text)) / max(1, len(text))
         own = [f"in:{c}" for c in context]
         own += [f"length:{min(8, int(math.log2(len(text) + 1)))}", f"linked:{int(linked * 4)}", f"marks:{min(4, int(marks * 100))}"]
         own += ["ends" if text[-1] in ".!?\"'»)" else "open", "bias"]
@@ -269,10 +269,14 @@ def labelled(page: str, text: str) -> tuple[list[list[str]], list[int]] | None:
     return (features(blocks), labels) if shared >= len(whole) / 2 and whole else None
 
 
-def fit(pages: DataFrame, documents: DataFrame, sample: int = 300) -> Chain:
+def fit(pages: DataFrame, documents: DataFrame, sample: int = 300, sample_bytes: int = 32 << 20) -> Chain:
     """A chain from templates() and at most sample labelled pages: those of pages (page_id, doc_id, html) whose doc_id
-    documents holds, first by a hash of the page. The bound is what the driver takes in."""
-    chosen = pages.where("doc_id IS NOT NULL AND html IS NOT NULL AND length(html) < 20000").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    documents holds, first by a hash of the page, as long as they have sample_bytes together. The bounds are on what the
+    driver takes in; pages of any length train, up to sample_bytes."""
+    named = pages.where(F.col("doc_id").isNotNull() & (F.octet_length("html") <= sample_bytes))
+    first = named.orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    so_far = F.sum(F.octet_length("html").cast("long")).over(Window.orderBy(F.xxhash64("page_id"), "page_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes)
     rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen.select("page_id", "doc_id", "html")), "doc_id").dropDuplicates(["page_id"])
     made = [labelled(r["html"], r["text"]) for r in sorted(rows.collect(), key=lambda r: r["page_id"])]
     return train([m for m in made if m] + templates())
