@@ -36,7 +36,8 @@ def node_status(reached: DataFrame, nodes: DataFrame, current_db: str, max_depth
 
 def execution_levels(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(node, level, in_cycle): callees first. Level 0 calls nothing; a node is one above its highest callee. What is
-    left when nothing can be taken off calls a cycle: it gets the last level and the flag."""
+    left when nothing can be taken off calls a cycle: it gets the last level and the flag. Chains deeper than rounds
+    raise an error."""
     left = written(edges.select("source", "target").where("source <> target").distinct())
     waiting = written(edges.select(F.col("source").alias("node")).union(edges.select(F.col("target").alias("node"))).distinct())
     done = None
@@ -48,6 +49,9 @@ def execution_levels(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         done = placed if done is None else done.unionByName(placed)
         waiting = written(waiting.join(ready, "node", "left_anti"))
         left = written(left.join(ready.select(F.col("node").alias("target")), "target", "left_anti"))
+    else:
+        if not waiting.isEmpty():
+            raise RuntimeError(f"execution levels did not settle in {rounds} rounds")
     stuck = waiting.select("node", F.lit(level).alias("level"), F.lit(True).alias("in_cycle"))
     return stuck if done is None else done.unionByName(stuck)
 
