@@ -313,12 +313,13 @@ class Encoder:
         return b"".join(map(self.label_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
-def encode(docs: DataFrame, path: str, output: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, output: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row of docs (doc_id, text) encoded by the BPE file at path, which executors can read from the driver's copy.
 
     output "ids": (doc_id, ids array<int>). "digest": (doc_id, n_tokens, ids_sha256, decoded_sha256), the last from the
-    ids decoded again. "both": all of these. A null text counts as empty: no ids, digests of empty texts. The compiled
-    automaton is broadcast; its size is the vocabulary's.
+    ids decoded again. "both": all of these. The columns of docs named by carry come along, and rows keep their order. A null text counts as
+    empty: no ids, digests of empty texts. Repeated rows are encoded one by one; an empty table gives an empty one. The
+    compiled automaton is broadcast; its size is the vocabulary's.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load(path))
@@ -339,8 +340,10 @@ def encode(docs: DataFrame, path: str, output: str = "ids") -> DataFrame:
                     columns["n_tokens"] = pa.array([t.count(",") + 1 if t else 0 for t in texts], pa.int64())
                     columns["ids_sha256"] = pa.array([sha(t) for t in texts], pa.string())
                     columns["decoded_sha256"] = pa.array([sha(worker.decode(t)) for t in texts], pa.string())
+                columns.update((c, part.column(c)) for c in carry)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     parts = {"ids": "ids array<int>", "digest": "n_tokens long, ids_sha256 string, decoded_sha256 string"}
     schema = "doc_id long, " + parts.get(output, ", ".join(parts.values()))
-    return docs.select("doc_id", "text").mapInArrow(ids, schema)
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("doc_id", "text", *carry).mapInArrow(ids, schema)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.durable import checkpointed, written
+from ledgerline.durable import checkpointed, scratch_path, written
 
-__all__ = ["WORD", "checkpointed", "components", "fold", "written"]
+__all__ = ["WORD", "checkpointed", "components", "fold", "scratch_path", "written"]
 
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -108,20 +108,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float
     ).orderBy("position", "doc_id")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with all their columns, each as often as it is taken, in training order.
+def mixed(docs: DataFrame, in_order: bool = True, **options) -> DataFrame:
+    """The documents that the mix takes, with all their columns and their training_position, each as often as it is taken;
+    range-sorted by training_position, then doc_id, unless in_order is false.
 
     A document that the mix takes in part is taken whole; one without words is taken once. Repeated rows are placed one
-    by one.
+    by one. A column of docs that is called training_position gives way to the mix's. An empty table gives an empty one.
     """
-    keyed = docs.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    again = Window.partitionBy("doc_id", "__t").orderBy("__source")
-    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    places = mix(keyed, carry=("__t",), **options)
-    lists = places.groupBy(F.col("doc_id").alias("__id"), F.col("__t").alias("__text")).agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source"), F.array_compact(F.array("position", "position_again")).alias("at")))).alias("__places")
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    source = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))
+    places = mix(docs.select("doc_id", "source", "text", text.alias("t")), carry=("t",), **options)
+    lists = places.groupBy(F.col("doc_id").alias("placed_id"), F.col("t").alias("placed_t")).agg(
+        F.sort_array(F.collect_list(F.struct(source("source").alias("source"), F.array_compact(F.array("position", "position_again")).alias("at")))).alias("places")
     )
-    rows = keyed.withColumn("__source", source).withColumn("__n", F.row_number().over(again))
-    joined = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__text")))
-    at = F.explode(F.element_at("__places", F.col("__n"))["at"]).alias("__at")
-    return joined.select(*docs.columns, at).orderBy("__at", "doc_id").drop("__at")
+    names = [c for c in docs.columns if c != "training_position"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").alias("id"), text.alias("t"), source("source").alias("key"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "t").orderBy("key")))
+    joined = rows.join(lists, F.col("id").eqNullSafe(F.col("placed_id")) & (F.col("t") == F.col("placed_t")))
+    taken = joined.select("row", F.explode(F.element_at("places", F.col("n"))["at"]).alias("training_position")).select("row.*", "training_position")
+    return taken.orderBy("training_position", "doc_id") if in_order else taken

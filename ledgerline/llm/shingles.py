@@ -1,10 +1,12 @@
 """Near copies by the Jaccard similarity of their word shingles: every pair at or above it is found and verified.
 
-Candidates come in two rounds. The first is cheap: neighbours in the components that the vantage-point search finds among
-fingerprints of the shingles, and neighbours in the lists of documents that share a shingle. What is verified of them is
-put together, so that large groups are mostly one component already. The second is exact: two sets of similarity s share
-one of the first |S| - ceil(s |S|) + 1 shingles of each, in any order common to all sets, so that all pairs of different
-components that share such a shingle are tried. Shingles common in a sample come last in the order, so that lists stay short.
+Candidates come in two rounds. The first is cheap: what the vantage-point search links among SimHash fingerprints of the
+shingles, and neighbours in the lists of documents that share a shingle. What is verified of them is put together, so
+that large groups are mostly one component already. The second is exact: two sets of similarity s share one of the first
+|S| - ceil(s |S|) + 1 shingles of each, in any order common to all sets, so that all pairs of different components that
+share such a shingle are tried. Shingles common in a sample come last in the order, so that lists stay short.
+
+Sets of shingles are kept as arrays of hashes beside the documents' keys; similarities are array functions over them.
 """
 
 from __future__ import annotations
@@ -19,23 +21,36 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import simhash
 from ledgerline.llm.common import components, written
+from ledgerline.llm.pitman_yor import token_hashes
 
 SEED = 42
 WORDS_IN = 5
 TOP, BOTTOM = 4, 5  # near copies have a similarity of 4/5 or more; kept whole, so that nothing is rounded
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; a text of fewer words is one shingle, one without words none."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(words) - WORDS_IN + 1)].tolist()
-    stops = ends[WORDS_IN - 1 :].tolist() or [len(joined)]
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, stops)]), np.uint64))
+#: Odd multipliers, one for each word of a shingle.
+PLACES = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS_IN)], np.uint64)
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles; a text of fewer words is one shingle, one without words none.
+    A-Z are lower-cased. A shingle's hash is a mixed sum of its words' 64-bit hashes, each times its place's multiplier."""
+    hashes, of = token_hashes([(t or "").encode().lower() for t in texts])
+    ends = np.searchsorted(of, np.arange(len(texts)), "right")  # each text's hashes end with the token for the end
+    begins = np.concatenate(([0], ends[:-1])) if len(texts) else ends
+    total = np.zeros(len(hashes), np.uint64)
+    for k in range(WORDS_IN):
+        total[: len(hashes) - k] += hashes[k:] * PLACES[k]
+    total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    total ^= total >> np.uint64(32)
+    out = []
+    for b, e in zip(begins.tolist(), (ends - 1).tolist()):
+        n = e - b
+        if n >= WORDS_IN:
+            out.append(np.unique(total[b : e - WORDS_IN + 1]))
+        elif n:
+            out.append(np.array([xxhash.xxh64_intdigest(hashes[b:e].tobytes(), SEED)], np.uint64))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def _print(own: np.ndarray) -> np.uint64:
@@ -48,79 +63,62 @@ def _print(own: np.ndarray) -> np.uint64:
     return np.packbits(count * 2 > len(own)).view(np.uint64)[0]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _common(docs: DataFrame, rows: int, sample: int = 4000, most: int = 200_000) -> np.ndarray:
     """Sorted hashes of shingles that several texts of a sample hold. They only decide in which order shingles come."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, rows // sample))) == 0).select("text").limit(4 * sample)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // sample))) == 0).select("text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], ["g"])
+        for part in _pieces(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(part.column("text").to_pylist())).view(np.int64))], ["g"])
 
     found = some.mapInArrow(own, "g long").groupBy("g").count().where("count > 2").orderBy(F.desc("count"), "g").limit(most).collect()
     return np.sort(np.array([r["g"] for r in found], np.int64).view(np.uint64))
 
 
 def _sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, t, k, fp, n, first) for every row of docs: a hash of the text, one of the set, its fingerprint and size,
-    and the shingles that another set must share one of."""
+    """(doc_id, t, k, fp, n, all) for every row of docs: a hash of the text, one of the set, its fingerprint and size, and
+    the set's shingles in the common order."""
     last = docs.sparkSession.sparkContext.broadcast(common)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = last.value
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                keys, prints, sizes, firsts = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    own = shingles(text)
-                    keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                    prints.append(_print(own))
-                    sizes.append(len(own))
-                    if len(late):
-                        is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
-                        own = np.concatenate((own[~is_late], own[is_late]))
-                    firsts.append(own[: len(own) - -(-TOP * len(own) // BOTTOM) + 1].view(np.int64))
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in firsts])))
-                first = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts)))
-                longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("t"), longs(keys), longs(prints), pa.array(sizes, pa.int64()), first], ["doc_id", "t", "k", "fp", "n", "first"])
-
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).mapInArrow(hashed, "doc_id long, t long, k long, fp long, n long, first array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is high enough, by their texts."""
+        for part in _pieces(batches):
+            keys, prints, ordered = [], [], []
+            for own in shingle_sets(part.column("text").to_pylist()):
+                keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                prints.append(_print(own))
+                if len(late) and len(own):
+                    is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
+                    own = np.concatenate((own[~is_late], own[is_late])) if is_late.any() else own
+                ordered.append(own.view(np.int64))
+            sizes = np.array([len(x) for x in ordered], np.int64)
+            offsets = np.concatenate(([0], np.cumsum(sizes)))
+            everything = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ordered)))
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("t"), longs(keys), longs(prints), pa.array(sizes), everything], ["doc_id", "t", "k", "fp", "n", "all"])
+
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).mapInArrow(hashed, "doc_id long, t long, k long, fp long, n long, all array<long>")
+
+
+def _verified(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets of kinds (k, all) whose similarity is high enough."""
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    one = sets.join(wanted, "k", "left_semi").groupBy("k").agg(F.min(F.struct("doc_id", "t")).alias("one"))
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
-    texts = keyed.join(one.select("k", F.col("one.doc_id").alias("id"), F.col("one.t").alias("t")), "t").where(F.col("doc_id").eqNullSafe(F.col("id")))
-    texts = written(texts.select("k", "text").dropDuplicates(["k"]))
-    of = lambda c: texts.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}"))
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-
-        def own(k, text):
-            if k not in held:
-                if len(held) >= 200:
-                    held.clear()
-                held[k] = shingles(text)
-            return held[k]
-
-        for batch in batches:
-            good = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                x, y = own(a, x), own(b, y)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if BOTTOM * shared >= TOP * (len(x) + len(y) - shared):
-                    good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long"))
+    sets = written(kinds.join(wanted, "k", "left_semi").select("k", "all"))
+    of = lambda c: sets.select(F.col("k").alias(c), F.col("all").alias(f"all_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    shared = both.select("a", "b", (F.size("all_a") + F.size("all_b")).alias("total"), F.size(F.array_intersect("all_a", "all_b")).alias("shared"))
+    return written(shared.where(F.lit(BOTTOM) * F.col("shared") >= F.lit(TOP) * (F.col("total") - F.col("shared"))).select("a", "b"))
 
 
 def _neighbours(rows: DataFrame, by: str) -> DataFrame:
-    """Pairs of sets that come one after the other among rows of the same key, where their sizes allow it."""
+    """Pairs of sets that come one after the other, by size, among rows (by, n, k) of the same key, where their sizes
+    allow it."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -134,7 +132,8 @@ def _neighbours(rows: DataFrame, by: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[at], k[at + 1])), pa.array(np.maximum(k[at], k[at + 1]))], ["a", "b"])
             before = key[-1], n[-1], k[-1]
 
-    dealt = rows.select(by, "n", "k").repartition(by).sortWithinPartitions(by, "n", "k")
+    # range partitions: a hot key is dealt over several, at the cost of one pair at each border
+    dealt = rows.select(by, "n", "k").repartitionByRange(by, "n", "k").sortWithinPartitions(by, "n", "k")
     return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
@@ -158,22 +157,32 @@ def _candidates(lists: DataFrame, known: DataFrame) -> DataFrame:
     return written(met.where(f"({TOP} + {BOTTOM}) * ({differing}) <= ({BOTTOM} - {TOP}) * (n_a + n_b)").select("a", "b"))
 
 
-def linked(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, component) of the sets k that have a near copy: components over all pairs of similarity 4/5 or more."""
-    kinds = sets.dropDuplicates(["k"])
-    lists = kinds.select(F.posexplode("first").alias("at", "g"), "k", "n").withColumn("at", F.col("at") + 1)
+def linked(kinds: DataFrame) -> DataFrame:
+    """(node, component) of the sets of kinds (k, fp, n, all) that have a near copy: components over all pairs of
+    similarity 4/5 or more."""
+    first = F.slice("all", F.lit(1), F.expr(f"CAST(n - ceil(n * {TOP} / {BOTTOM}) + 1 AS int)"))
+    lists = kinds.where("n > 0").select(F.posexplode(first).alias("at", "g"), "k", "n").withColumn("at", F.col("at") + 1)
     shared = lists.groupBy("g").count().where("count > 1").select("g")
     lists = written(lists.join(shared, "g").select("g", "k", "n", "at"))
-    prints = sets.select("k", "fp", "n").distinct()
-    near = prints.join(simhash.link(prints), "fp", "left").select("k", "n", F.coalesce("component", "fp").alias("component"))
-    quick = _verified(written(_neighbours(near, "component").union(_neighbours(lists, "g")).distinct()), sets, docs)
-    rest = _verified(_candidates(lists, components(quick)), sets, docs)
+    # sets of one fingerprint, and one set for each of two fingerprints that the vantage-point search links
+    prints = kinds.select("fp", "n", "k")
+    one = kinds.groupBy("fp").agg(F.min("k").alias("k"))
+    end = lambda c: one.select(F.col("fp").alias(c), F.col("k").alias(f"k_{c}"))
+    across = simhash.edges(prints).distinct().join(end("a"), "a").join(end("b"), "b").select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"))
+    quick = _verified(written(across.union(_neighbours(prints, "fp")).union(_neighbours(lists, "g")).distinct()), kinds)
+    rest = _verified(_candidates(lists, components(quick)), kinds)
     return components(quick.union(rest))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that come first in their component of near copies, as in simhash.keep_one:
-    texts whose shingles of five words have a similarity of 4/5 or more are near copies."""
+    texts whose shingles of five words have a similarity of 4/5 or more are near copies.
+
+    Texts without words are near copies of each other: null, empty and blank ones. Of repeated rows one stays. Other
+    columns don't matter, whatever they are called. An empty table gives an empty one.
+    """
     sets = written(_sets(docs, _common(docs, docs.count())))
-    labels = sets.join(linked(docs, sets).select(F.col("node").alias("k"), "component"), "k", "left")
-    return simhash.first_of_each(docs, labels.select("doc_id", "t", F.coalesce("component", "k").alias("component")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")).alias("first")
+    kinds = written(sets.groupBy("k").agg(F.min(F.struct("fp", "n", "all")).alias("one"), first).select("k", "one.*", "first"))
+    labels = kinds.select("k", "first").join(linked(kinds.drop("first")).select(F.col("node").alias("k"), "component"), "k", "left")
+    return simhash.rows_of(docs, labels.groupBy(F.coalesce("component", "k").alias("component")).agg(F.min("first").alias("first")))

@@ -240,9 +240,8 @@ class Linker:
         self.across(a[ao], b[bi])
 
 
-def link(prints: DataFrame, radius: int = RADIUS, shard_size: int = 60_000, sample: int = 8192) -> DataFrame:
-    """(fp, component) for all distinct values of prints (fp) that are within radius bits of another: component is the
-    smallest signed fp reachable. Values that are close to none don't appear.
+def edges(prints: DataFrame, radius: int = RADIUS, shard_size: int = 60_000, sample: int = 8192) -> DataFrame:
+    """(a, b): edges that span what is within radius bits among all distinct values of prints (fp), shard by shard.
 
     sample bounds what the driver takes in to lay out the upper tree; every value is compared all the same.
     """
@@ -270,8 +269,13 @@ def link(prints: DataFrame, radius: int = RADIUS, shard_size: int = 60_000, samp
         linked = roots != np.arange(len(x))
         return pd.DataFrame({"a": x[linked], "b": x[roots[linked]]})
 
-    edges = distinct.mapInPandas(assign, "shard long, side byte, fp long").groupBy("shard").applyInPandas(search, "a long, b long")
-    return components(edges).select(F.col("node").alias("fp"), "component")
+    return distinct.mapInPandas(assign, "shard long, side byte, fp long").groupBy("shard").applyInPandas(search, "a long, b long")
+
+
+def link(prints: DataFrame, radius: int = RADIUS, **shards) -> DataFrame:
+    """(fp, component) for all distinct values of prints (fp) that are within radius bits of another: component is the
+    smallest signed fp reachable. Values that are close to none don't appear."""
+    return components(edges(prints, radius, **shards)).select(F.col("node").alias("fp"), "component")
 
 
 def _components(prints: DataFrame, radius: int) -> DataFrame:
@@ -298,17 +302,17 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, with all their columns, that come first in their near-duplicate component: by doc_id, null last,
     then by a hash of the text. Of rows with the same doc_id and text one stays."""
     hashed = written(fingerprints(docs, F.xxhash64(F.coalesce("text", F.lit("")))))
-    return first_of_each(docs, hashed.join(_components(hashed, radius), "fp").select("doc_id", "t", "component"))
-
-
-def first_of_each(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows of docs that come first in their component, given (doc_id, t, component) of each row; t hashes the text."""
-    labelled = written(labelled)
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    groups = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")).alias("first"))
-    first = groups.select(F.col("first.doc_id").alias("__id"), F.col("first.t").alias("__t"))
-    keyed = docs.withColumn("__text", text)
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left_semi")
-    if labelled.groupBy("doc_id", "t").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "__text"])
-    return kept.select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")).alias("first")
+    kinds = written(hashed.groupBy("fp").agg(first))
+    return rows_of(docs, kinds.join(_components(kinds, radius), "fp").groupBy("component").agg(F.min("first").alias("first")))
+
+
+def rows_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, for each row of groups, whose `first` names its doc_id and the hash t of its
+    text; rows that repeat both count once."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(row.alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.col("doc_id").alias("id"))
+    first = written(groups.select(F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("first_t")))
+    kept = keyed.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("t") == F.col("first_t")), "left_semi")
+    twice = keyed.groupBy("id", "t").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return (kept.dropDuplicates(["id", "t"]) if twice else kept).select("row.*")

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from ledgerline.llm import bpe, common, extract, mixing, neighbours, ogg, pitman_yor, queries, simhash, suffix, toxicity, urlfilter
 from tests.compare import duck, same
+from tests.llm.test_shingles import survivors
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -417,7 +418,7 @@ def test_positions_follow_the_schedule(spark):
 
 def test_mixed_documents(odd):
     out = mixing.mixed(odd)
-    assert out.columns == odd.columns
+    assert out.columns == [*odd.columns, "training_position"]
     placed = mixing.mix(odd).select("doc_id", F.expr("int(position IS NOT NULL) + int(position_again IS NOT NULL)").alias("n")).collect()
     copies = collections.Counter()
     for r in placed:
@@ -483,10 +484,9 @@ def test_pipeline_stage_by_stage(spark, documents, tokenizer):
     docs = documents
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, docs = docs, common.written(stage(spark, docs, SF))
-        assert docs.columns == documents.columns
-        if name == "simhash":
-            fps = np.array([reference_fingerprint(t) for _, t in texts(before)], np.uint64)
-            assert {r["doc_id"] for r in docs.collect()} == set(reference_components(fps, [i for i, _ in texts(before)])) and docs.count() == len({r["doc_id"] for r in docs.collect()})
+        assert docs.columns == documents.columns + ["training_position"] * (name == "mixing")
+        if name == "simhash":  # near copies of the pipeline: five words, similarity 0.8
+            assert sorted(r["doc_id"] for r in docs.collect()) == survivors(sorted(texts(before)))
         if name == "suffix":
             want = {i: n - gone for i, n, gone, _, _ in reference_removal(texts(before))}
             assert all(abs(len((r["text"] or "").encode()) - want[r["doc_id"]]) <= 6 and r["n_chars"] == len(r["text"]) for r in docs.collect())
