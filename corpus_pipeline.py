@@ -1,7 +1,7 @@
 """From raw documents to training tokens in five stages.
 
-Each stage takes (spark, docs, sf_dir) and gives the documents that go on, with the columns they came with; the last one
-gives their tokens.
+Each stage takes (spark, docs, sf_dir) and gives the documents that go on, with the columns they came with; mixing adds
+their training_position, as files don't keep the order of rows. The last stage gives tokens in training order.
 """
 
 from __future__ import annotations
@@ -33,13 +33,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
-    return mixing.mixed(docs)
+    """Documents as often as the mix takes them, with their training_position; the next stage range-sorts them by it."""
+    return mixing.mixed(docs, in_order=False)
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with digests of them and of the text decoded from them."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), "both")
+    """Token ids with digests of them and of the text decoded from them, range-sorted by training_position."""
+    placed = [c for c in ("training_position",) if c in docs.columns]
+    return bpe.encode(docs.orderBy(*placed, "doc_id") if placed else docs, public_tokenizers.path("byte_bpe_50k.json"), "both", tuple(placed))
 
 
 STAGES = [
