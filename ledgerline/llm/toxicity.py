@@ -13,96 +13,118 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import fold, written
 
 TERM = re.compile(r"\w+")
+BEGINNINGS = (4, 5, 6, 7)
 
 
 def features(text: str) -> set[str]:
-    """Words of a text in lower case, and their beginnings of four and five characters."""
+    """Words of a text in lower case, and their beginnings of four to seven characters."""
     words = set(TERM.findall(text.lower()))
-    return words | {w[:4] + "~" for w in words if len(w) > 4} | {w[:5] + "~" for w in words if len(w) > 5}
+    out = set(words)
+    for n in BEGINNINGS:
+        out.update(w[:n] + "~" for w in words if len(w) > n)
+    return out
 
 
 class Model:
-    """Weights of features; a text's score is the logistic function of their sum."""
+    """Weights of features; a text's score is the logistic function of their sum. corrected is how many steps of the
+    training went against the second part of the risk, as it was negative."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, corrected: int = 0):
+        self.weights, self.bias, self.corrected = weights, bias, corrected
+        self.heads = {f[:4].rstrip("~") for f in weights}
 
     def score(self, text: str) -> float:
-        z = self.bias + sum(map(self.weights.__getitem__, features(text) & self.weights.keys()))
+        # only words that begin like a feature can have one
+        words = [w for w in set(TERM.findall(text.lower())) if w[:4] in self.heads]
+        own = set(words).union(*({w[:n] + "~" for w in words if len(w) > n} for n in BEGINNINGS))
+        z = self.bias + sum(map(self.weights.__getitem__, sorted(own & self.weights.keys())))
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, least: int = 4, purity: float = 0.7, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Weights that make the non-negative risk small, by full-batch Adam.
+Side = tuple[np.ndarray, np.ndarray, int]  # rows, features, number of texts
 
-    Only features in at least `least` positives take part, and of those the ones of whose unlabelled texts a share of
-    purity must be toxic, going by how often positives have them: the others only add noise to long texts. Without
-    positives the model gives every text the prior.
-    """
-    prior = min(max(prior, 1e-4), 0.5)
-    bias = float(np.log(prior / (1 - prior)))
-    count: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for seen, texts in zip(count, (positive, unlabelled)):
-        for t in texts:
-            for f in t:
-                seen[f] = seen.get(f, 0) + 1
-    p, u = max(1, len(positive)), max(1, len(unlabelled))
-    kept = sorted(f for f, c in count[0].items() if c >= least and prior * c / p >= purity * (count[1].get(f, 0) + 1) / u)
-    if not kept or not unlabelled:
-        return Model({}, bias)
-    index = {f: i for i, f in enumerate(kept)}
-    sides = []
-    for texts in (positive, unlabelled):
-        pairs = [(k, index[f]) for k, t in enumerate(texts) for f in sorted(t & index.keys())]
-        rows, cols = (np.array(x, int) for x in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-        sides.append((rows, cols, len(texts)))
-    w = np.zeros(len(kept) + 1)
-    w[-1] = bias
-    m, v = np.zeros_like(w), np.zeros_like(w)
 
-    def logits(side):
+def descend(positive: Side, unlabelled: Side, kinds: int, prior: float, epochs: int = 200, rate: float = 0.3, sparsity: float = 7e-4) -> tuple[np.ndarray, int]:
+    """Weights of kinds features, the bias last, that make the non-negative risk small, by full-batch Adam with soft
+    thresholds (an L1 penalty of sparsity); and the number of steps taken against a negative second part."""
+    w = np.zeros(kinds + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v, corrected = np.zeros_like(w), np.zeros_like(w), 0
+
+    def logits(side: Side) -> np.ndarray:
         rows, cols, n = side
         return w[-1] + np.bincount(rows, w[cols], n)
 
-    def gradient(side, d):
+    def gradient(side: Side, d: np.ndarray) -> np.ndarray:
         rows, cols, n = side
-        return np.append(np.bincount(cols, d[rows], len(kept)), d.sum()) / n
+        return np.append(np.bincount(cols, d[rows], kinds), d.sum()) / n
 
-    softplus = lambda z: np.logaddexp(0, z)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, epochs + 1):
-        zp, zu = logits(sides[0]), logits(sides[1])
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = softplus(zu).mean() - prior * softplus(zp).mean()
-        grad_negative = gradient(sides[1], su) - prior * gradient(sides[0], sp)
-        g = prior * gradient(sides[0], sp - 1) + grad_negative if negative >= 0 else -grad_negative
-        g[:-1] += decay * w[:-1]
+        zp, zu = logits(positive), logits(unlabelled)
+        sp, su = sigmoid(zp), sigmoid(zu)
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        grad_negative = gradient(unlabelled, su) - prior * gradient(positive, sp)
+        if negative >= 0:
+            g = prior * gradient(positive, sp - 1) + grad_negative
+        else:
+            g, corrected = -grad_negative, corrected + 1
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model({f: float(w[i]) for f, i in index.items()}, float(w[-1]))
+        move = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+        w -= move * m / (1 - 0.9**step)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(0.0, np.abs(w[:-1]) - move[:-1] * sparsity)
+    return w, corrected
+
+
+def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, least: int = 8, **steps) -> Model:
+    """A model of the features that at least `least` of all texts have; without positives or unlabelled texts every text
+    gets the prior."""
+    bias = float(np.log(prior / (1 - prior)))
+    seen: dict[str, int] = {}
+    for t in positive + unlabelled:
+        for f in t:
+            seen[f] = seen.get(f, 0) + 1
+    kept = sorted(f for f, c in seen.items() if c >= least)
+    if not positive or not unlabelled or not kept:
+        return Model({}, bias)
+    index = {f: i for i, f in enumerate(kept)}
+    sides = []
+    for texts in (positive, unlabelled):
+        pairs = [(k, index[f]) for k, t in enumerate(texts) for f in sorted(t & index.keys())]
+        rows, cols = (np.array(x, int) for x in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+        sides.append((rows, cols, len(texts)))
+    w, corrected = descend(*sides, len(kept), prior, **steps)
+    return Model({f: float(w[i]) for f, i in index.items() if w[i]}, float(w[-1]), corrected)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int = 2500, unlabelled: int = 6000, least: int = 4, purity: float = 0.7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int = 2500, unlabelled: int = 6000, least: int = 8, most: int = 60_000) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), outside the fold held_out.
 
-    The class prior is the share of toxic rows among all labels outside the fold. The texts are a bounded sample of the
-    labelled rows: at most `positives` toxic ones, and at most `unlabelled` drawn whatever their label says, whose labels
-    aren't looked at; both first by a hash of their id, which is all that the driver takes in. A document with several
-    labels counts as toxic if one says so.
+    The class prior is the share of toxic documents among all labelled ones outside the fold, shrunk towards a quarter by
+    the weight of two labels, so that it is never 0 or 1. The texts are a bounded sample of the labelled rows: at most
+    `positives` toxic ones, and at most `unlabelled` drawn whatever their label says, whose labels aren't looked at; both
+    first by a hash of their id. Features are those that at least `least` of these texts have, the `most` commonest; how
+    often a class has them plays no part. A document with several labels counts as toxic if one says so; of several texts
+    with one doc_id, the first by a hash of the text trains. Null ids, labels and texts don't. Without toxic labels every
+    text gets the prior.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = known.agg(F.avg("toxic").alias("prior")).first()["prior"] or 0.0
-    share = min(max(share, 1e-4), 0.5)
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("toxic")).first()
+    prior = (size["toxic"] + 0.5) / (size["n"] + 2)
     pick = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(known.where("toxic = 1"), positives).select("doc_id", F.lit(1).alias("side"))
     chosen = chosen.unionByName(pick(known, unlabelled).select("doc_id", F.lit(0).alias("side")))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
+    # at most positives + unlabelled ids are broadcast, and one text for each is kept
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "side").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,25 +133,33 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("side"), found], ["doc_id", "side", "terms"])
 
     rows = written(texts.mapInArrow(terms, "doc_id long, side int, terms array<string>"))
-    size = {r["side"]: r["count"] for r in rows.groupBy("side").count().collect()}
-    p, u = max(1, size.get(1, 0)), max(1, size.get(0, 0))
-    # features are chosen by Spark as train() would choose them, so that the driver takes in no others
-    counts = rows.select("side", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("side").alias("c1"), F.sum(1 - F.col("side")).alias("c0"))
-    pure = counts.where((F.col("c1") >= least) & (share * F.col("c1") / p >= purity * (F.col("c0") + 1) / u)).select("term")
-    kept = spark.sparkContext.broadcast({r["term"] for r in pure.collect()})
-
-    def chosen_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = rows.select(F.explode("terms").alias("term")).groupBy("term").count().where(F.col("count") >= least)
+    kept = sorted(r["term"] for r in counts.orderBy(F.desc("count"), "term").limit(most).select("term").collect())
+    index = spark.sparkContext.broadcast({t: i for i, t in enumerate(kept)})
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = index.value.get
         for batch in batches:
-            found = pa.array([[t for t in ts if t in kept.value] for ts in batch.column("terms").to_pylist()], pa.list_(pa.string()))
+            found = pa.array([[i for i in map(get, ts) if i is not None] for ts in batch.column("terms").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("side"), found], ["doc_id", "side", "terms"])
 
-    few = sorted((r["side"], r["doc_id"], r["terms"]) for r in rows.mapInArrow(chosen_terms, rows.schema).collect())
-    return train([set(t) for s, _, t in few if s], [set(t) for s, _, t in few if not s], float(share), least, purity)
+    # one list of numbers for each text of the sample reaches the driver
+    few = rows.mapInArrow(numbers, "doc_id long, side int, terms array<int>").toArrow().combine_chunks().sort_by([("side", "ascending"), ("doc_id", "ascending")])
+    sides = []
+    for wanted in (1, 0):
+        lists = few.filter(pa.compute.equal(few["side"], wanted))["terms"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        sides.append((np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), len(lists)))
+    if not kept or not sides[0][2] or not sides[1][2]:
+        return Model({}, float(np.log(prior / (1 - prior))))
+    w, corrected = descend(*sides, len(kept), prior)
+    return Model({t: float(x) for t, x in zip(kept, w) if x}, float(w[-1]), corrected)
 
 
 def score(docs: DataFrame, model: Model, held_out: int = 0) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs. Null and empty texts get the model's bias: a low
-    score. A null doc_id falls into the fold of the empty text."""
+    """(doc_id, held_out, score, predicted) for every row of docs; repeated rows are scored one by one, an empty table gives
+    an empty one. Null and empty texts get the model's bias: a low score. A null doc_id falls into the fold of the empty
+    text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +172,7 @@ def score(docs: DataFrame, model: Model, held_out: int = 0) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores below threshold, with all their columns."""
+    """The rows of docs whose text scores below threshold, with all their columns; repeated rows fare alike."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
 
