@@ -239,10 +239,10 @@ def reference_removal(docs, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [200_000, 0])
-def test_repeats_against_every_string(spark, odd, documents, hot, monkeypatch):
+@pytest.mark.parametrize("bucket_rows", [20_000, 1, 3])
+def test_repeats_against_every_string(spark, odd, documents, bucket_rows, monkeypatch):
     whole = suffix.repeats
-    monkeypatch.setattr(suffix, "repeats", lambda docs, length: whole(docs, length, hot=hot))
+    monkeypatch.setattr(suffix, "repeats", lambda docs, length: whole(docs, length, bucket_rows=bucket_rows))
     small = odd.where("text IS NULL OR length(text) < 3000").union(spark.createDataFrame([(900, "ab" * 300, "en", "s"), (901, "q" * 200, "en", "s"), (902, "q" * 199, "en", "s")], "doc_id long, text string, lang string, source string").withColumns({c: F.lit(7) for c in CLASHES}))
     for docs in (small, documents):
         assert bag(suffix.remove_repeats(docs).collect()) == bag(reference_removal(texts(docs)))
