@@ -206,6 +206,29 @@ def test_vantage_shards_lose_no_pair():
         assert (met[near] == 1).all()
 
 
+def test_views_lose_no_pair():
+    rng = np.random.default_rng(5)
+    masks = simhash.parts()
+    assert sum(masks) == simhash.ALL and all(a & b == 0 for i, a in enumerate(masks) for b in masks[:i])
+    base = rng.integers(0, 2**63, 400, dtype=np.int64).view(np.uint64)
+    x = base.repeat(4)
+    for k in range(4):  # up to four bits away from where they came from
+        flip = rng.random(len(x)) < 0.8
+        x = np.where(flip, x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)), x)
+    x = np.unique(np.concatenate([base, x]))
+    met = np.zeros((len(x), len(x)), bool)
+    for mask in masks:
+        at, shard, side = simhash.Shards(x, len(x), 100, 1, mask).assign(x)
+        for k in np.unique(shard):
+            groups = [at[(shard == k) & (side == s)] for s in range(3)]
+            for a, b in ((0, 0), (1, 2), (2, 1)):
+                met[np.ix_(groups[a], groups[b])] = True
+        found = simhash.Linker(x, 4, 1, mask)
+        found.close(np.arange(len(x)))
+    near = np.bitwise_count(x[:, None] ^ x) <= 4
+    assert met[near].all() and near.sum() > 2 * len(x)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.range(300).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
     got = common.components(edges).collect()
