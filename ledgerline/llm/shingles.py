@@ -6,7 +6,7 @@ that large groups are mostly one component already. The second is exact: two set
 |S| - ceil(s |S|) + 1 shingles of each, in any order common to all sets, so that all pairs of different components that
 share such a shingle are tried. Shingles common in a sample come last in the order, so that lists stay short.
 
-Sets of shingles are kept as arrays of hashes beside the documents' keys; similarities are array functions over them.
+Only the shingles that sets must share one of are shuffled, once; texts of candidates are fetched to verify them.
 """
 
 from __future__ import annotations
@@ -82,38 +82,76 @@ def _common(docs: DataFrame, rows: int, sample: int = 4000, most: int = 200_000)
 
 
 def _sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, t, k, fp, n, all) for every row of docs: a hash of the text, one of the set, its fingerprint and size, and
-    the set's shingles in the common order."""
+    """(doc_id, t, k, fp, n, first) for every row of docs: a hash of the text, one of the set, its fingerprint and size,
+    and the shingles, in the common order, that another set must share one of."""
     last = docs.sparkSession.sparkContext.broadcast(common)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = last.value
         for part in _pieces(batches):
-            keys, prints, ordered = [], [], []
+            keys, prints, sizes, firsts = [], [], [], []
             for own in shingle_sets(part.column("text").to_pylist()):
                 keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 prints.append(_print(own))
+                sizes.append(len(own))
                 if len(late) and len(own):
                     is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
                     own = np.concatenate((own[~is_late], own[is_late])) if is_late.any() else own
-                ordered.append(own.view(np.int64))
-            sizes = np.array([len(x) for x in ordered], np.int64)
-            offsets = np.concatenate(([0], np.cumsum(sizes)))
-            everything = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ordered)))
+                firsts.append(own[: len(own) - -(-TOP * len(own) // BOTTOM) + 1].view(np.int64))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in firsts])))
+            first = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts)))
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("t"), longs(keys), longs(prints), pa.array(sizes), everything], ["doc_id", "t", "k", "fp", "n", "all"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("t"), longs(keys), longs(prints), pa.array(sizes, pa.int32()), first], ["doc_id", "t", "k", "fp", "n", "first"])
 
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).mapInArrow(hashed, "doc_id long, t long, k long, fp long, n long, all array<long>")
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).mapInArrow(hashed, "doc_id long, t long, k long, fp long, n int, first array<long>")
 
 
-def _verified(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets of kinds (k, all) whose similarity is high enough."""
+def _lists(kinds: DataFrame) -> DataFrame:
+    """(g, k, n, at) for the shingles g that may have to be shared, where several sets have them: at counts from 1.
+
+    Rows are range-sorted, so that a hot shingle is dealt over several partitions; what stands at a partition's ends stays
+    even if it is alone there.
+    """
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row, whose run may go on
+        kept = True  # whether it stays in any case: it begins the partition or its run
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch if held is None else pa.concat_batches([held, batch])
+            g = whole.column("g").to_numpy()
+            same = g[1:] == g[:-1]
+            keep = np.concatenate(([kept], same)) | np.concatenate((same, [False]))
+            yield whole.slice(0, len(g) - 1).filter(pa.array(keep[:-1]))
+            held, kept = whole.slice(len(g) - 1), bool(keep[-1])
+        if held is not None:
+            yield held
+
+    rows = kinds.select(F.posexplode("first").alias("at", "g"), "k", "n").select("g", "k", "n", (F.col("at") + 1).alias("at"))
+    return rows.repartitionByRange("g", "n", "k").sortWithinPartitions("g", "n", "k").mapInArrow(repeated, "g long, k long, n int, at int")
+
+
+def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets of kinds (k, first_id, first_t) whose similarity is high enough, by their texts."""
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    sets = written(kinds.join(wanted, "k", "left_semi").select("k", "all"))
-    of = lambda c: sets.select(F.col("k").alias(c), F.col("all").alias(f"all_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    shared = both.select("a", "b", (F.size("all_a") + F.size("all_b")).alias("total"), F.size(F.array_intersect("all_a", "all_b")).alias("shared"))
-    return written(shared.where(F.lit(BOTTOM) * F.col("shared") >= F.lit(TOP) * (F.col("total") - F.col("shared"))).select("a", "b"))
+    one = written(kinds.join(wanted, "k", "left_semi").select("k", "first_id", "first_t"))
+    keyed = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("first_t"))
+    texts = written(keyed.join(one, "first_t").where(F.col("id").eqNullSafe(F.col("first_id"))).select("k", "text").dropDuplicates(["k"]))
+    of = lambda c: texts.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches, 64):
+            a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+            texts_of = dict(zip(a + b, part.column("text_a").to_pylist() + part.column("text_b").to_pylist()))
+            own = dict(zip(texts_of, shingle_sets(list(texts_of.values()))))
+            good = []
+            for x, y in zip(a, b):
+                shared = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                good.append(BOTTOM * shared >= TOP * (len(own[x]) + len(own[y]) - shared))
+            yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long"))
 
 
 def _neighbours(rows: DataFrame, by: str) -> DataFrame:
@@ -157,20 +195,17 @@ def _candidates(lists: DataFrame, known: DataFrame) -> DataFrame:
     return written(met.where(f"({TOP} + {BOTTOM}) * ({differing}) <= ({BOTTOM} - {TOP}) * (n_a + n_b)").select("a", "b"))
 
 
-def linked(kinds: DataFrame) -> DataFrame:
-    """(node, component) of the sets of kinds (k, fp, n, all) that have a near copy: components over all pairs of
-    similarity 4/5 or more."""
-    first = F.slice("all", F.lit(1), F.expr(f"CAST(n - ceil(n * {TOP} / {BOTTOM}) + 1 AS int)"))
-    lists = kinds.where("n > 0").select(F.posexplode(first).alias("at", "g"), "k", "n").withColumn("at", F.col("at") + 1)
-    shared = lists.groupBy("g").count().where("count > 1").select("g")
-    lists = written(lists.join(shared, "g").select("g", "k", "n", "at"))
+def linked(kinds: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of the sets of kinds (k, fp, n, first, first_id, first_t) that have a near copy: components over
+    all pairs of similarity 4/5 or more."""
+    lists = written(_lists(kinds))
     # sets of one fingerprint, and one set for each of two fingerprints that the vantage-point search links
-    prints = kinds.select("fp", "n", "k")
-    one = kinds.groupBy("fp").agg(F.min("k").alias("k"))
+    prints = written(kinds.select("fp", "n", "k"))
+    one = prints.groupBy("fp").agg(F.min("k").alias("k"))
     end = lambda c: one.select(F.col("fp").alias(c), F.col("k").alias(f"k_{c}"))
     across = simhash.edges(prints).distinct().join(end("a"), "a").join(end("b"), "b").select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"))
-    quick = _verified(written(across.union(_neighbours(prints, "fp")).union(_neighbours(lists, "g")).distinct()), kinds)
-    rest = _verified(_candidates(lists, components(quick)), kinds)
+    quick = _verified(written(across.union(_neighbours(prints, "fp")).union(_neighbours(lists, "g")).distinct()), kinds, docs)
+    rest = _verified(_candidates(lists, components(quick)), kinds, docs)
     return components(quick.union(rest))
 
 
@@ -183,6 +218,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     sets = written(_sets(docs, _common(docs, docs.count())))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")).alias("first")
-    kinds = written(sets.groupBy("k").agg(F.min(F.struct("fp", "n", "all")).alias("one"), first).select("k", "one.*", "first"))
-    labels = kinds.select("k", "first").join(linked(kinds.drop("first")).select(F.col("node").alias("k"), "component"), "k", "left")
-    return simhash.rows_of(docs, labels.groupBy(F.coalesce("component", "k").alias("component")).agg(F.min("first").alias("first")))
+    kinds = sets.groupBy("k").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("first").alias("shared"))
+    kinds = written(kinds.select("k", "fp", "n", F.col("shared").alias("first"), F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("first_t")))
+    labels = kinds.select("k", "first_id", "first_t").join(linked(kinds, docs).select(F.col("node").alias("k"), "component"), "k", "left")
+    row = F.struct(F.col("first_id").isNull().alias("without"), F.col("first_id").alias("doc_id"), F.col("first_t").alias("t"))
+    return simhash.rows_of(docs, labels.groupBy(F.coalesce("component", "k").alias("component")).agg(F.min(row).alias("first")))

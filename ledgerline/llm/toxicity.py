@@ -104,7 +104,7 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, le
     return Model({f: float(w[i]) for f, i in index.items() if w[i]}, float(w[-1]), corrected)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int = 2500, unlabelled: int = 6000, least: int = 8, most: int = 60_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int = 2500, unlabelled: int = 6000, least: int = 8, most: int = 40_000) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), outside the fold held_out.
 
     The class prior is the share of toxic documents among all labelled ones outside the fold, shrunk towards a quarter by
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int =
     for wanted in (1, 0):
         lists = few.filter(pa.compute.equal(few["side"], wanted))["terms"].combine_chunks()
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-        sides.append((np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), len(lists)))
+        sides.append((np.repeat(np.arange(len(lists), dtype=np.int32), sizes), lists.flatten().to_numpy(zero_copy_only=False), len(lists)))
     if not kept or not sides[0][2] or not sides[1][2]:
         return Model({}, float(np.log(prior / (1 - prior))))
     w, corrected = descend(*sides, len(kept), prior)

@@ -56,6 +56,26 @@ def test_near_copies_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in shingles.keep_one(docs).collect()) == survivors(rows)
 
 
+def test_lists_lose_no_shared_shingle(spark):
+    rng = random.Random(4)
+    rows = [(k, sorted({rng.randrange(400) for _ in range(rng.randrange(1, 9))})) for k in range(120)]
+    held = {}
+    for k, first in rows:
+        for g in first:
+            held.setdefault(g, set()).add(k)
+    kinds = spark.createDataFrame([(k, len(f), f) for k, f in rows], "k long, n int, first array<long>")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for size in ("1", "2", "3", "10000"):
+        spark.conf.set(name, size)
+        found = {}
+        for r in shingles._lists(kinds).collect():
+            assert rows[r["k"]][1][r["at"] - 1] == r["g"]
+            found.setdefault(r["g"], set()).add(r["k"])
+        spark.conf.unset(name)
+        assert {g: ks for g, ks in held.items() if len(ks) > 1} == {g: ks for g, ks in found.items() if len(ks) > 1}
+        assert sum(len(ks) == 1 for ks in found.values()) <= 8  # partitions' ends only
+
+
 def test_one_word_replaced_in_a_hundred_is_a_near_copy(spark):
     import corpus_pipeline
 
