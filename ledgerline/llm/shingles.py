@@ -2,10 +2,14 @@
 
 Candidates come in two rounds. The first is cheap: what the vantage-point search links among SimHash fingerprints of the
 shingles, and neighbours in the lists of documents that share a shingle. What is verified of them is put together, so
-that large groups are mostly one component already. The second is exact: two sets of similarity s share one of the first
+that large groups are mostly one component already; in long lists each set is also tried with the one that has the largest
+share of common shingles, as an unchanged original has. The second is exact: two sets of similarity s share one of the first
 |S| - ceil(s |S|) + 1 shingles of each, in any order common to all sets, so that all pairs of different components that
 share such a shingle are tried. Shingles common in a sample come last in the order, so that lists stay short.
 
+In a long list, sets meet in blocks inside tasks, by parity sketches: sets that differ in d shingles differ in d bits at
+most, so that only pairs that may be similar enough come out.
+
 Only the shingles that sets must share one of are shuffled, once; texts of candidates are fetched to verify them.
 """
 
@@ -14,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,6 +30,9 @@ from ledgerline.llm.pitman_yor import token_hashes
 
 SEED = 42
 WORDS_IN = 5
+LONG = 32  # sets of a list that are paired by a join; the sets of longer lists meet in blocks
+BLOCK = 5000
+SKETCH = 1024
 TOP, BOTTOM = 4, 5  # near copies have a similarity of 4/5 or more; kept whole, so that nothing is rounded
 #: Odd multipliers, one for each word of a shingle.
 PLACES = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS_IN)], np.uint64)
@@ -82,28 +90,32 @@ def _common(docs: DataFrame, rows: int, sample: int = 4000, most: int = 200_000)
 
 
 def _sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, t, k, fp, n, first) for every row of docs: a hash of the text, one of the set, its fingerprint and size,
-    and the shingles, in the common order, that another set must share one of."""
+    """(doc_id, t, k, fp, n, late, bits, first) for every row of docs: a hash of the text, one of the set, its fingerprint
+    and size, how many of its shingles are common, its parity sketch, and the shingles, in the common order, that another
+    set must share one of."""
     last = docs.sparkSession.sparkContext.broadcast(common)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = last.value
         for part in _pieces(batches):
-            keys, prints, sizes, firsts = [], [], [], []
+            keys, prints, sizes, lates, bits, firsts = [], [], [], [], [], []
             for own in shingle_sets(part.column("text").to_pylist()):
                 keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 prints.append(_print(own))
                 sizes.append(len(own))
+                bits.append(np.packbits(np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes())
+                lates.append(0)
                 if len(late) and len(own):
                     is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
+                    lates[-1] = int(is_late.sum())
                     own = np.concatenate((own[~is_late], own[is_late])) if is_late.any() else own
                 firsts.append(own[: len(own) - -(-TOP * len(own) // BOTTOM) + 1].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in firsts])))
             first = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts)))
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("t"), longs(keys), longs(prints), pa.array(sizes, pa.int32()), first], ["doc_id", "t", "k", "fp", "n", "first"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("t"), longs(keys), longs(prints), pa.array(sizes, pa.int32()), pa.array(lates, pa.int32()), pa.array(bits, pa.binary()), first], ["doc_id", "t", "k", "fp", "n", "late", "bits", "first"])
 
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).mapInArrow(hashed, "doc_id long, t long, k long, fp long, n int, first array<long>")
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).mapInArrow(hashed, "doc_id long, t long, k long, fp long, n int, late int, bits binary, first array<long>")
 
 
 def _lists(kinds: DataFrame) -> DataFrame:
@@ -175,24 +187,62 @@ def _neighbours(rows: DataFrame, by: str) -> DataFrame:
     return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _candidates(lists: DataFrame, known: DataFrame) -> DataFrame:
+def _hubs(lists: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Pairs of each set of a long list with the list's hub, the set with the largest share of common shingles."""
+    long = written(lists.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") > LONG).select("g"))
+    rows = written(lists.join(long, "g").select("g", "k", "n"))
+    shares = kinds.join(rows.select("k").distinct(), "k", "left_semi").select("k", (F.col("late") / F.col("n")).alias("share"))
+    best = written(rows.join(shares, "k").groupBy("g").agg(F.max(F.struct("share", "k", "n")).alias("hub")))
+    pairs = rows.join(best, "g").where(f"k <> hub.k AND {BOTTOM} * least(n, hub.n) >= {TOP} * greatest(n, hub.n)")
+    return pairs.select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of one long list (g, k, n, c, bits, rows) of different components c that may be similar enough
+    by their sketches. Each two blocks of a list meet in one group."""
+    blocks = F.ceil(F.col("rows") / BLOCK)
+    own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("g", "k", "n", "c", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def close(frame: pd.DataFrame) -> pd.DataFrame:
+        k, n, c = (frame[x].to_numpy() for x in ("k", "n", "c"))
+        bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), -1)
+        first = np.nonzero(frame["own"].to_numpy() == frame["i"].to_numpy())[0]
+        second = np.nonzero(frame["own"].to_numpy() == frame["j"].to_numpy())[0]
+        out = []
+        for at in range(0, len(first), 128):
+            x = first[at : at + 128]
+            p, q = np.nonzero((c[x, None] != c[second]) & (k[x, None] != k[second]) & (BOTTOM * np.minimum(n[x, None], n[second]) >= TOP * np.maximum(n[x, None], n[second])))
+            for cut in range(0, len(p), 1 << 16):
+                u, v = x[p[cut : cut + (1 << 16)]], second[q[cut : cut + (1 << 16)]]
+                differing = np.bitwise_count(bits[u] ^ bits[v]).sum(1, dtype=np.int64)
+                near = (TOP + BOTTOM) * differing <= (BOTTOM - TOP) * (n[u].astype(np.int64) + n[v])
+                out.append(np.stack((np.minimum(k[u], k[v])[near], np.maximum(k[u], k[v])[near])))
+        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": found[0], "b": found[1]})
+
+    return dealt.groupBy("g", "i", "j").applyInPandas(close, "a long, b long")
+
+
+def _candidates(lists: DataFrame, known: DataFrame, kinds: DataFrame) -> DataFrame:
     """All pairs (a, b) of sets of different components that can be similar enough, by the shingles of lists (g, k, n, at)
     that they share."""
-    rows = lists.join(known.select(F.col("node").alias("k"), "component"), "k", "left").select("g", "k", "n", "at", F.coalesce("component", "k").alias("c"))
-    mixed = rows.groupBy("g").agg(F.mode("c").alias("most"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("g", "most")
+    rows = written(lists.join(known.select(F.col("node").alias("k"), "component"), "k", "left").select("g", "k", "n", "at", F.coalesce("component", "k").alias("c")))
+    mixed = written(rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low < high").select("g", "rows"))
     rows = written(rows.join(mixed, "g"))
-    # of two components one isn't the list's largest: only those outside it are joined to all others
+    long = rows.where(F.col("rows") > LONG).select("g", "k", "n", "c", "rows")
+    met_long = _blocks(long.join(kinds.select("k", "bits"), "k"))
+    short = rows.where(F.col("rows") <= LONG)
     side = lambda s: [F.col(x).alias(f"{x}_{s}") for x in ("k", "n", "at", "c")]
-    both = rows.where("c <> most").select("g", "most", *side("x")).join(rows.select("g", *side("y")), "g")
-    both = both.where(f"c_x <> c_y AND (c_y = most OR k_x < k_y) AND {BOTTOM} * least(n_x, n_y) >= {TOP} * greatest(n_x, n_y)")
-    low = lambda v: F.when(F.col("k_x") < F.col("k_y"), F.col(f"{v}_x")).otherwise(F.col(f"{v}_y"))
-    high = lambda v: F.when(F.col("k_x") < F.col("k_y"), F.col(f"{v}_y")).otherwise(F.col(f"{v}_x"))
-    met = both.select(low("k").alias("a"), high("k").alias("b"), low("n").alias("n_a"), high("n").alias("n_b"), low("at").alias("at_a"), high("at").alias("at_b"))
-    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("at_a").alias("i"), F.max("at_b").alias("j"))
-    # of what comes up to the last shared one all else differs, and so does what is left of one of the two beginnings
+    both = short.select("g", *side("a")).join(short.select("g", *side("b")), "g").where(f"k_a < k_b AND c_a <> c_b AND {BOTTOM} * least(n_a, n_b) >= {TOP} * greatest(n_a, n_b)")
+    met = both.groupBy("k_a", "k_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("at_a").alias("i"), F.max("at_b").alias("j"))
+    # of what comes up to the last shared one all else differs, but for what stands in long lists, and so does what is left
+    # of one of the two beginnings
     first = lambda n: f"({n} - ceil({n} * {TOP} / {BOTTOM}) + 1)"
     differing = f"i + j - 2 * shared + least({first('n_a')} - i, {first('n_b')} - j)"
-    return written(met.where(f"({TOP} + {BOTTOM}) * ({differing}) <= ({BOTTOM} - {TOP}) * (n_a + n_b)").select("a", "b"))
+    whole = written(met.where(f"({TOP} + {BOTTOM}) * ({differing}) <= ({BOTTOM} - {TOP}) * (n_a + n_b)").selectExpr("k_a AS a", "k_b AS b"))
+    return written(whole.union(met_long).distinct())
 
 
 def linked(kinds: DataFrame, docs: DataFrame) -> DataFrame:
@@ -204,8 +254,8 @@ def linked(kinds: DataFrame, docs: DataFrame) -> DataFrame:
     one = prints.groupBy("fp").agg(F.min("k").alias("k"))
     end = lambda c: one.select(F.col("fp").alias(c), F.col("k").alias(f"k_{c}"))
     across = simhash.edges(prints).distinct().join(end("a"), "a").join(end("b"), "b").select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"))
-    quick = _verified(written(across.union(_neighbours(prints, "fp")).union(_neighbours(lists, "g")).distinct()), kinds, docs)
-    rest = _verified(_candidates(lists, components(quick)), kinds, docs)
+    quick = _verified(written(across.union(_neighbours(prints, "fp")).union(_neighbours(lists, "g")).union(_hubs(lists, kinds)).distinct()), kinds, docs)
+    rest = _verified(_candidates(lists, components(quick), kinds), kinds, docs)
     return components(quick.union(rest))
 
 
@@ -218,8 +268,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     sets = written(_sets(docs, _common(docs, docs.count())))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")).alias("first")
-    kinds = sets.groupBy("k").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("first").alias("shared"))
-    kinds = written(kinds.select("k", "fp", "n", F.col("shared").alias("first"), F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("first_t")))
+    kinds = sets.groupBy("k").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("late").alias("late"), F.min("bits").alias("bits"), F.min("first").alias("shared"))
+    kinds = written(kinds.select("k", "fp", "n", "late", "bits", F.col("shared").alias("first"), F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("first_t")))
     labels = kinds.select("k", "first_id", "first_t").join(linked(kinds, docs).select(F.col("node").alias("k"), "component"), "k", "left")
     row = F.struct(F.col("first_id").isNull().alias("without"), F.col("first_id").alias("doc_id"), F.col("first_t").alias("t"))
     return simhash.rows_of(docs, labels.groupBy(F.coalesce("component", "k").alias("component")).agg(F.min(row).alias("first")))

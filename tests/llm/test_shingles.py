@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from ledgerline.llm import shingles
 
 
@@ -50,7 +52,10 @@ def made(rng):
     return rows
 
 
-def test_near_copies_against_all_pairs(spark):
+@pytest.mark.parametrize("long,block", [(32, 5000), (2, 7)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, long, block):
+    monkeypatch.setattr(shingles, "LONG", long)
+    monkeypatch.setattr(shingles, "BLOCK", block)
     rows = made(random.Random(8))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in shingles.keep_one(docs).collect()) == survivors(rows)
