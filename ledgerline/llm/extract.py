@@ -2,8 +2,8 @@
 
 A page is cut into leaf blocks, the runs of text between block-level tags. Each block has features of its open ancestors
 (tags and words of class, id and role) and of its text; a chain over the two labels "main" and "other" is trained on
-labelled pages and decoded by Viterbi. Scripts, styles, comments, the head and other markup that shows no text are never
-blocks.
+labelled pages and decoded by Viterbi. Scripts, styles, comments, the head, lists of options, templates and noscript are
+never blocks; they end as HTML has it, also where their end tag is left out.
 """
 
 from __future__ import annotations
@@ -20,12 +20,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tags that begin or end a block, tags without an end, and tags whose content is no text.
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("head address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = "script|style|noscript|template|textarea|svg|math|head|title|iframe|object|select|canvas"
+#: Tags of elements whose content isn't shown, and the tags that can stand in a head or in a list of options without ending it.
+UNSHOWN = frozenset("head select template noscript".split())
+IN_HEAD = frozenset("html head base link meta title script style noscript template".split())
+IN_SELECT = frozenset("option optgroup hr".split())
+CONTROLS = frozenset("input textarea select".split())
 #: An end tag of these is implied where another of them begins inside.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + HIDDEN + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S | re.I)
+#: Comments, raw elements (a script or style without an end goes on to the page's, others to the next tag), declarations, tags.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(textarea|title|iframe)\b[^>]*>(?:.*?</\2\s*>|[^<]*)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    re.S | re.I,
+)
 NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 WHITE = re.compile(r"\s+")
@@ -34,9 +42,15 @@ PUNCTUATION = re.compile(r"[.,;:!?]")
 
 def leaf_blocks(page: str) -> list[tuple[str, frozenset[str], float]]:
     """Blocks of a page in order: text with one blank for each run of white space, ancestor features, and the share of
-    its characters inside links. Blocks without text are left out. Broken markup is read as far as it goes."""
+    its characters inside links. Blocks without text are left out.
+
+    Broken markup is read as far as it goes. A head ends at its first tag or text that can't stand in one, options end at
+    the first other block or control, and an element that shows nothing ends with the element around it, so that a left-out
+    end tag doesn't hide the page. An unclosed title, textarea or iframe ends at the next tag, an unclosed script or style
+    at the page's end.
+    """
     stack: list[tuple[str, frozenset[str]]] = []
-    blocks, parts, linked, in_link = [], [], 0, 0
+    blocks, parts, linked, in_link, unshown = [], [], 0, 0, 0
     context: frozenset[str] = frozenset()
 
     def close() -> None:
@@ -48,33 +62,54 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[str], float]]:
         linked = 0
 
     def pop_to(i: int) -> None:
-        nonlocal context, in_link
+        nonlocal context, in_link, unshown
         del stack[i:]
         context = frozenset().union(*(names for _, names in stack)) if stack else frozenset()
         in_link = sum(tag == "a" for tag, _ in stack)
+        unshown = sum(tag in UNSHOWN for tag, _ in stack)
+
+    def end(name: str, unless: str = "") -> None:
+        """End the innermost open element of that name, if there is one and none called unless is open inside it."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == name:
+                pop_to(i)
+            if stack[i : i + 1] == [] or stack[i][0] == unless:
+                return
+
+    def add(text: str) -> None:
+        nonlocal linked
+        if unshown and stack[-1][0] == "head" and not text.isspace():
+            end("head")
+        if not unshown:
+            parts.append(text)
+            linked += len(text) if in_link else 0
 
     at = 0
     for m in TOKEN.finditer(page):
-        text = page[at : m.start()]
+        if at < m.start():
+            add(page[at : m.start()])
         at = m.end()
-        if text:
-            parts.append(text)
-            linked += len(text) if in_link else 0
-        tag = (m[3] or "").lower()
-        if not tag:
+        tag = (m[4] or m[2] or "").lower()
+        begins = bool(tag) and not m[3]
+        if begins and unshown:
+            if tag not in IN_HEAD:
+                end("head", "template")
+            if tag in CONTROLS or (tag in BLOCK and tag not in IN_SELECT):
+                end("select", "template")
+        if not tag or m[2]:
             continue
         if tag == "br":
-            parts.append(" ")
+            add(" ")
         if tag in BLOCK:
             close()
-        if m[2]:
+        if m[3]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     pop_to(i)
                     break
                 if stack[i][0] in ("table", "ul", "ol", "article", "main", "body") and tag not in ("body", "html"):
                     break
-        elif tag not in VOID and not m[4].endswith("/"):
+        elif tag not in VOID and not m[5].endswith("/"):
             if tag in CLOSES:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in CLOSES[tag]:
@@ -83,15 +118,18 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[str], float]]:
                     if stack[i][0] in BLOCK:
                         break
             names = {f"tag={tag}"}
-            for k, *values in NAMES.findall(m[4]):
-                names.update(f"{k.lower()}={w}" for w in re.split(r"[^a-z0-9]+", "".join(values).lower()) if w)
-                names.update(f"name={w}" for w in re.split(r"[^a-z0-9]+", "".join(values).lower()) if w)
-            if UNSEEN.search(m[4]):
+            for k, *values in NAMES.findall(m[5]):
+                words = [w for w in re.split(r"[^a-z0-9]+", "".join(values).lower()) if w]
+                names.update(f"{k.lower()}={w}" for w in words)
+                names.update(f"name={w}" for w in words)
+            if UNSEEN.search(m[5]):
                 names.add("hidden")
             stack.append((tag, frozenset(names)))
             context = context | names
             in_link += tag == "a"
-    parts.append(page[at:])
+            unshown += tag in UNSHOWN
+    if at < len(page):
+        add(page[at:])
     close()
     return blocks
 
@@ -204,7 +242,7 @@ WRAPS = ("<article>{}</article>", "{}", "<main>{}</main>", "<main><article>{}</a
 OUTER = ("{}", "<body>{}</body>", "<div class='wrapper container'>{}</div>", "<div id='page'>{}</div>")
 
 
-def templates(pages: int = 800, seed: int = 5) -> list[tuple[list[list[str]], list[int]]]:
+def templates(pages: int = 500, seed: int = 5) -> list[tuple[list[list[str]], list[int]]]:
     """A fixed number of made-up labelled pages for parts that a labelled crawl may lack: headers, menus, sidebars,
     notices, adverts, forms and reader comments around or inside articles of several shapes, in texts of all lengths."""
     rng = random.Random(seed)
@@ -269,7 +307,7 @@ def labelled(page: str, text: str) -> tuple[list[list[str]], list[int]] | None:
     return (features(blocks), labels) if shared >= len(whole) / 2 and whole else None
 
 
-def fit(pages: DataFrame, documents: DataFrame, sample: int = 300, sample_bytes: int = 32 << 20) -> Chain:
+def fit(pages: DataFrame, documents: DataFrame, sample: int = 1000, sample_bytes: int = 32 << 20) -> Chain:
     """A chain from templates() and at most sample labelled pages: those of pages (page_id, doc_id, html) whose doc_id
     documents holds, first by a hash of the page, as long as they have sample_bytes together. The bounds are on what the
     driver takes in; pages of any length train, up to sample_bytes."""
