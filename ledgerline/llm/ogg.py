@@ -1,10 +1,10 @@
 """Ogg columns: documents stored as 8-bit samples in an Ogg container, and such containers read back.
 
 A stored file holds two logical streams, multiplexed page by page. The sample stream begins with a header packet and goes
-on with packets of samples, its granule position being the samples so far; the cue stream carries, for each run of sample
-packets, how many samples they bring the stream to and the CRC-32 of the run. Reading verifies the checksum of every
-page, takes the pages of each stream in sequence, reassembles packets from lacing values across pages, and derives
-timestamps from granule positions.
+on with packets of samples, its granule position being the samples so far; the cue stream has, for each run of sample
+packets, a page of its own whose granule position is the sample that the run ends at, with the CRC-32 of the run. Reading
+verifies the checksum of every page, takes the pages of each stream in sequence, reassembles packets from lacing values
+across pages, and derives all timestamps from granule positions: a position that doesn't fit the samples is an error.
 """
 
 from __future__ import annotations
@@ -88,12 +88,10 @@ def encode(payload: bytes) -> bytes:
         sound.add(packet, done)
         check, packets = zlib.crc32(packet, check), packets + 1
         if packets % RUN == 0 or done == len(payload):
-            cue.add(struct.pack("<QI", done, check), done)
-            check = 0
-        out += sound.taken()
-        if packets % (4 * RUN) == 0:
+            cue.add(struct.pack("<I", check), done)
             cue.flush()
-            out += cue.taken()
+            check = 0
+        out += sound.taken() + cue.taken()
     for stream in (sound, cue):
         stream.flush(last=True)
         out += stream.taken()
@@ -144,28 +142,35 @@ def demultiplex(media: bytes) -> dict[int, dict]:
 
 
 def decode(media: bytes) -> tuple[bytes, dict]:
-    """Payload and facts of a file made by encode(): the samples, checked against cues and granule positions."""
+    """Payload and facts of a file made by encode(); timestamps are granule positions over the rate. ValueError if a
+    granule position, the header or a cue doesn't fit the samples."""
     streams = demultiplex(media)
     sound, cue = streams[SAMPLES], streams[CUES]
     rate, _, total = struct.unpack_from("<IIQ", sound["packets"][0], 8)
     packets = sound["packets"][1:]
-    ends = np.cumsum([len(p) for p in packets]) if packets else np.zeros(0, int)
-    if any(g is not None and g != e for g, e in zip(sound["granules"][1:], ends.tolist())) or (ends[-1] if len(ends) else 0) != total:
+    ends = np.cumsum([0, *map(len, packets)]).tolist()
+    stamped = [(g, e) for g, e in zip(sound["granules"][1:], ends[1:]) if g is not None]
+    last = stamped[-1][0] if stamped else 0
+    if sound["granules"][0] != 0 or any(g != e for g, e in stamped) or last != ends[-1] or total != last:
         raise ValueError("granule positions don't fit the samples")
-    check, done, k = 0, 0, 0
-    for packet in cue["packets"][1:]:
-        upto, wanted = struct.unpack("<QI", packet)
-        while done < upto:
-            check, done, k = zlib.crc32(packets[k], check), done + len(packets[k]), k + 1
-        if check != wanted or done != upto:
-            raise ValueError("a cue doesn't fit the samples")
+    if cue["granules"][0] != 0 or any(g is None for g in cue["granules"]):
+        raise ValueError("a cue has no granule position")
+    k, cues = 0, []
+    for packet, granule in zip(cue["packets"][1:], cue["granules"][1:]):
         check = 0
+        while k < len(packets) and ends[k + 1] <= granule:
+            check, k = zlib.crc32(packets[k], check), k + 1
+        if ends[k] != granule or check != struct.unpack("<I", packet)[0]:
+            raise ValueError("a cue doesn't fit the samples")
+        cues.append(granule / rate)
+    if k != len(packets):
+        raise ValueError("samples after the last cue")
     return b"".join(packets), {
         "pages": sum(s["pages"] for s in streams.values()),
         "packets": sum(len(s["packets"]) for s in streams.values()),
         "streams": len(streams),
-        "seconds": total / rate,
-        "cue_seconds": [struct.unpack("<QI", p)[0] / rate for p in cue["packets"][1:]],
+        "seconds": last / rate,
+        "cue_seconds": cues,
     }
 
 
@@ -187,7 +192,8 @@ def feature(payload: bytes, facts: dict) -> str:
 def write_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) for every row of docs: its text as UTF-8, padded and stored as an Ogg file.
 
-    A null text is stored as an empty one: a payload of blanks. Other columns are ignored.
+    A null text is stored as an empty one: a payload of blanks. Other columns are ignored. Repeated rows give repeated
+    files, an empty table an empty one.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
@@ -203,7 +209,7 @@ def write_media(docs: DataFrame) -> DataFrame:
 def read_media(media: DataFrame) -> DataFrame:
     """Digests and features of every stored file (doc_id, n_bytes, media), from the bytes read back.
 
-    A file that isn't whole raises; null media too.
+    A file that isn't whole raises; null media too. Repeated rows are read one by one; an empty table gives an empty one.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 

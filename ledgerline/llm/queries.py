@@ -81,14 +81,16 @@ def op10_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(pages, chain)
 
 
-OP2_SQL = """
+OP2_SQL = r"""
 WITH r AS (SELECT page_id, coalesce(CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END, '') AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 known AS (SELECT page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad
           FROM p JOIN labels l ON l.doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]{1,18})', 1), '') AS BIGINT) GROUP BY 1),
-h AS (SELECT host, string_split(host, '.') AS parts, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM p JOIN known USING (page_id) WHERE host <> '' GROUP BY 1),
-hs AS (SELECT host, n, bad, list_extract(parts, -1) AS suffix, array_to_string(list_slice(parts, greatest(len(parts) - 1, 1), len(parts)), '.') AS domain FROM h),
+h AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM p JOIN known USING (page_id) WHERE host <> '' GROUP BY 1, 2),
+hp AS (SELECT *, string_split(bare, '.') AS parts FROM h),
+hl AS (SELECT *, list_extract(parts, -1) AS l1, array_to_string(list_slice(parts, greatest(len(parts) - 1, 1), len(parts)), '.') AS l2, array_to_string(list_slice(parts, greatest(len(parts) - 2, 1), len(parts)), '.') AS l3, regexp_matches(bare, '^[0-9.]+$|^\[') AS address FROM hp),
+hs AS (SELECT host, n, bad, CASE WHEN address THEN bare WHEN l2 IN (SUFFIXES) THEN l2 ELSE l1 END AS suffix, CASE WHEN address THEN bare WHEN l2 IN (SUFFIXES) THEN l3 ELSE l2 END AS domain FROM hl),
 d AS (SELECT suffix, domain, sum(n) AS dn, sum(bad) AS db FROM hs GROUP BY 1, 2),
 s AS (SELECT suffix, sum(n) AS sn, sum(bad) AS sb FROM hs GROUP BY 1),
 w AS (SELECT coalesce(sum(bad) / sum(n), 0.0) AS rate FROM hs),
@@ -98,9 +100,15 @@ v3 AS (SELECT sum((bad / n - rate) * (bad / n - rate) * n) / sum(n) - count(*) *
 m AS (SELECT rate, CASE WHEN v1.v > 0 THEN greatest(2.0, least(200.0, rate * (1 - rate) / v1.v - 1)) ELSE 200.0 END AS m1,
              CASE WHEN v2.v > 0 THEN greatest(2.0, least(200.0, rate * (1 - rate) / v2.v - 1)) ELSE 200.0 END AS m2,
              CASE WHEN v3.v > 0 THEN greatest(2.0, least(200.0, rate * (1 - rate) / v3.v - 1)) ELSE 200.0 END AS m3 FROM w, v1, v2, v3),
-e AS (SELECT host, n, bad, m3, (bad + m3 * ((db + m2 * ((sb + m1 * rate) / (sn + m1))) / (dn + m2))) / (n + m3) AS mean
+e AS (SELECT host, n, bad, m3, (db + m2 * ((sb + m1 * rate) / (sn + m1))) / (dn + m2) AS prior
       FROM hs JOIN d USING (suffix, domain) JOIN s USING (suffix), m),
-b AS (SELECT host, n, bad, mean - 1.645 * sqrt(mean * (1 - mean) / (n + m3 + 1)) AS bound FROM e),
+ab AS (SELECT host, n, bad, greatest(bad + m3 * prior, 1e-6) AS a, greatest(n - bad + m3 * (1 - prior), 1e-6) AS b, ln(0.25 / 0.75) AS z FROM e),
+g AS (SELECT *, ln(a / b) AS mid, least(z, ln(a / b) - 12 * sqrt(1 / a + 1 / b)) AS low, greatest(z, ln(a / b) + 12 * sqrt(1 / a + 1 / b)) AS high FROM ab),
+x AS (SELECT host, n, bad, a, b, z, low, high, mid, unnest(range(0, 401)) AS k FROM g),
+y AS (SELECT *, unnest([low + k * (z - low) / 400, z + k * (high - z) / 400]) AS v, unnest([(z - low) / 1200, (high - z) / 1200]) AS step, unnest([0, 1]) AS side, CASE WHEN k IN (0, 400) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END AS weight FROM x),
+f AS (SELECT *, exp(a * ((CASE WHEN v > 0 THEN -ln(1 + exp(-v)) ELSE v - ln(1 + exp(v)) END) - (CASE WHEN mid > 0 THEN -ln(1 + exp(-mid)) ELSE mid - ln(1 + exp(mid)) END)) + b * ((CASE WHEN (-v) > 0 THEN -ln(1 + exp(-(-v))) ELSE (-v) - ln(1 + exp((-v))) END) - (CASE WHEN (-mid) > 0 THEN -ln(1 + exp(-(-mid))) ELSE (-mid) - ln(1 + exp((-mid))) END))) AS density FROM y),
+q AS (SELECT host, n, bad, sum(density * weight * step + CASE WHEN side = 1 AND k = 400 THEN density / b ELSE 0 END) FILTER (side = 1) AS more, sum(density * weight * step + CASE WHEN side = 0 AND k = 0 THEN density / a ELSE 0 END) FILTER (side = 0) AS less FROM f GROUP BY 1, 2, 3),
+b AS (SELECT host, n, bad, more / (more + less) AS bound FROM q),
 j AS (SELECT page_id, p.host, path, n, bad, bound,
       CASE WHEN (p.host = 'example.org' OR p.host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
            WHEN (p.host = 'example.org' OR p.host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
@@ -109,10 +117,10 @@ j AS (SELECT page_id, p.host, path, n, bad, bound,
            WHEN (p.host = 'org' OR p.host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
       FROM p LEFT JOIN b ON b.host = p.host)
 SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.25 THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.95 THEN 'block' ELSE 'allow' END AS verdict,
        CAST(coalesce(n, 0) AS BIGINT) AS host_pages, CAST(coalesce(bad, 0) AS BIGINT) AS host_bad
 FROM j
-"""
+""".replace("SUFFIXES", ", ".join(f"'{s}'" for s in urlfilter.TWO_LABEL_SUFFIXES))
 
 OP9_SQL = r"""
 WITH z AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place,

@@ -2,13 +2,15 @@
 
 Labelled page outcomes are shrunk level by level: a suffix towards the whole table, a registered domain towards its
 suffix, a host towards its domain. Each level's prior is a beta distribution with the parent's posterior mean and with a
-strength that is fitted to the spread of its children's rates by moments.
+strength that is fitted to the spread of its children's rates by moments. A host is blocked where the lower bound of its
+posterior, a quantile of the beta distribution, is above a threshold: where its rate is above it with a high probability.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,26 +40,55 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return pick([h + p for _, h, p in ordered]), pick([v for v, _, _ in ordered])
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    """Suffix and registered domain of a host; a host of a single label is its own domain."""
-    labels = F.split(host, r"\.")
+def suffix_and_domain(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """Suffix and registered domain of a host, user and port aside; suffixes are those of two labels, any other last label
+    is one. A host of a single label is its own domain; an address is suffix and domain in one."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+    labels = F.split(bare, r"\.")
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
-    two = last(2).isin(*TWO_LABEL_SUFFIXES)
-    return F.when(two, last(2)).otherwise(last(1)), F.when(two, last(3)).otherwise(last(2))
+    two, address = last(2).isin(*suffixes), bare.rlike(r"^[0-9.]+$|^\[")
+    return F.when(address, bare).when(two, last(2)).otherwise(last(1)), F.when(address, bare).when(two, last(3)).otherwise(last(2))
 
 
-def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 200.0, z: float = 1.645) -> DataFrame:
-    """(host, n, bad, bound) of labelled pages (host, bad 0/1): the lower posterior bound of a host's rate of bad pages.
+STEPS = 400  # intervals of the integrals on either side of the threshold
+WIDE = 12.0  # standard deviations beyond which only the tails' closed forms count
+
+
+def above(a: Column, b: Column, threshold: float) -> Column:
+    """Probability that a beta-distributed rate with parameters a and b is above threshold.
+
+    In z = log(t / (1 - t)) the density is smooth, exp(a log t + b log(1 - t)); both sides of the threshold are integrated
+    by Simpson's rule, and beyond WIDE standard deviations the tails are exponential.
+    """
+    z = float(np.log(threshold / (1 - threshold)))
+    middle, spread = F.log(a / b), F.sqrt(1 / a + 1 / b)
+    low, high = F.least(F.lit(z), middle - F.lit(WIDE) * spread), F.greatest(F.lit(z), middle + F.lit(WIDE) * spread)
+    log_t = lambda x: -F.when(x > 0, F.log1p(F.exp(-x))).otherwise(F.log1p(F.exp(x)) - x)
+    density = lambda x: F.exp(a * (log_t(x) - log_t(middle)) + b * (log_t(-x) - log_t(-middle)))
+
+    def integral(start: Column, end: Column) -> Column:
+        step = (end - start) / F.lit(float(STEPS))
+        weight = lambda k: F.when((k == 0) | (k == STEPS), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
+        total = F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), lambda acc, k: acc + weight(k) * density(start + k * step))
+        return total * step / 3
+
+    over = integral(F.lit(z), high) + density(high) / b
+    return over / (over + integral(low, F.lit(z)) + density(low) / a)
+
+
+def reputation(outcomes: DataFrame, threshold: float = 0.25, least: float = 2.0, most: float = 200.0, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """(host, host_pages, host_bad, above) of labelled pages (host, bad 0/1): above is the posterior probability that a
+    host's rate of bad pages is above threshold; the posterior's lower bound at 1 - p is above it where above > p.
 
     A level's strength is m = p(1-p) / v - 1, between least and most, with p the rate of all pages and v the variance of
-    the children's rates around their parents beyond binomial noise; children of one page say nothing about v. Rows with
-    a null host or outcome are left out; no labelled page at all gives an empty table.
+    the children's rates around it beyond binomial noise; children of one page say nothing about v. Rows with a null host
+    or outcome are left out; repeated rows count one by one; no labelled page at all gives an empty table.
     """
-    suffix, domain = suffix_and_domain(F.col("host"))
+    suffix, domain = suffix_and_domain(F.col("host"), suffixes)
     hosts = outcomes.where("host IS NOT NULL AND bad IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = written(hosts.withColumn("suffix", suffix).withColumn("domain", domain))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("domain_n"), F.sum("bad").alias("domain_bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("domain_n").alias("suffix_n"), F.sum("domain_bad").alias("suffix_bad"))
+    suffixes_ = domains.groupBy("suffix").agg(F.sum("domain_n").alias("suffix_n"), F.sum("domain_bad").alias("suffix_bad"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     rate = whole["bad"] / whole["n"] if whole["n"] else 0.0
 
@@ -68,33 +99,38 @@ def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 200.0, z:
         beyond = (spread["v"] or 0.0) - (spread["noise"] or 0.0)
         return max(least, min(most, rate * (1 - rate) / beyond - 1)) if beyond > 0 else most
 
-    m1, m2, m3 = strength(suffixes, "suffix_n", "suffix_bad"), strength(domains, "domain_n", "domain_bad"), strength(hosts, "n", "bad")
+    m1, m2, m3 = strength(suffixes_, "suffix_n", "suffix_bad"), strength(domains, "domain_n", "domain_bad"), strength(hosts, "n", "bad")
     shrunk = lambda bad, n, m, prior: (F.col(bad) + F.lit(m) * prior) / (F.col(n) + F.lit(m))
     by_domain = shrunk("domain_bad", "domain_n", m2, shrunk("suffix_bad", "suffix_n", m1, F.lit(rate)))
-    mean = shrunk("bad", "n", m3, by_domain)
-    spread = F.sqrt(mean * (1 - mean) / (F.col("n") + F.lit(m3 + 1)))
-    joined = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix")
-    return joined.select("host", F.col("n").alias("host_pages"), F.col("bad").alias("host_bad"), (mean - F.lit(z) * spread).alias("bound"))
+    joined = hosts.join(domains, ["suffix", "domain"]).join(suffixes_, "suffix").withColumn("prior", by_domain)
+    # never an empty side: a rate of 0 or 1 in the whole table leaves a millionth of a page for the other
+    a = F.greatest(F.col("bad") + F.lit(m3) * F.col("prior"), F.lit(1e-6))
+    b = F.greatest(F.col("n") - F.col("bad") + F.lit(m3) * (1 - F.col("prior")), F.lit(1e-6))
+    rows = joined.select("host", F.col("n").alias("host_pages"), F.col("bad").alias("host_bad"), a.alias("a"), b.alias("b"))
+    return rows.select("host", "host_pages", "host_bad", above(F.col("a"), F.col("b"), threshold).alias("above"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = 0.25) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = 0.25, sure: float = 0.95) -> DataFrame:
     """One row per row of pages (page_id, url): page_id, host, path, rule, verdict, host_pages, host_bad.
 
     outcomes holds (page_id, bad) of labelled pages; several outcomes of one page count as bad if one is. Without a
-    rule, a host is blocked where the lower bound of its bad rate is above threshold; unknown and empty hosts are allowed.
+    rule, a host is blocked where its bad rate is above threshold with a posterior probability over sure: where the
+    posterior's lower bound is. Unknown and empty hosts are allowed. Repeated rows are judged one by one; an empty table
+    gives an empty one.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     # counts go through the hosts, so a hot host is summed before it is shuffled
-    scores = reputation(rows.where("host <> ''").join(known, "page_id").select("host", "bad"))
+    # and the hosts' scores are written, so that adaptive execution can split it in the join below
+    scores = written(reputation(rows.where("host <> ''").join(known, "page_id").select("host", "bad"), threshold))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return rows.join(scores, "host", "left").select(
         "page_id",
         "host",
         "path",
         rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("bound") > threshold, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce(verdict, F.when(F.col("above") > sure, "block").otherwise("allow")).alias("verdict"),
         F.coalesce("host_pages", F.lit(0)).cast("long").alias("host_pages"),
         F.coalesce("host_bad", F.lit(0)).cast("long").alias("host_bad"),
     )

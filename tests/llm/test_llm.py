@@ -118,8 +118,32 @@ def test_hosts_rules_and_shrinkage(spark):
     assert got[3] == ("a.example.org", "/es/1", "example.org/es/", "block") and got[4][2:] == (None, "allow")
     assert got[5][2] is None and got[6][2:] == ("com/fr/", "allow") and got[7][2:] == ("com/de/", "block") and got[9][2:] == ("example.org/en/1", "block")
     outcomes = spark.createDataFrame([("a.x.net", 1)] * 30 + [("b.x.net", 1)] + [(f"h{i}.y.net", 0) for i in range(60)], "host string, bad int")
-    bound = {r["host"]: r["bound"] for r in urlfilter.reputation(outcomes).collect()}
-    assert bound["a.x.net"] > bound["b.x.net"] > 0.5 > bound["h1.y.net"]
+    above = {r["host"]: r["above"] for r in urlfilter.reputation(outcomes, 0.5).collect()}
+    assert above["a.x.net"] > above["b.x.net"] > 0.5 > above["h1.y.net"]
+
+
+def test_beta_probabilities(spark):
+    """Against draws from the beta distribution, from lopsided small parameters to large ones."""
+    rng = np.random.default_rng(8)
+    cases = [(a, b, x) for a, b in ((0.02, 3.0), (0.5, 0.5), (2.0, 5.0), (30.0, 4.0), (2600.0, 7400.0), (1e5, 3e5)) for x in (0.05, 0.25, 0.6)]
+    df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a double, b double").distinct()
+    for x in (0.05, 0.25, 0.6):
+        got = {(r["a"], r["b"]): r["p"] for r in df.select("a", "b", urlfilter.above(F.col("a"), F.col("b"), x).alias("p")).collect()}
+        for (a, b), p in got.items():
+            assert abs(p - (rng.beta(a, b, 200_000) > x).mean()) < 0.006, (a, b, x)
+
+
+def test_suffixes_and_odd_pages(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "u:p@www.x.com:8080", "1.2.3.4:80", "[::1]:80", "localhost", "x.com"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("host", *urlfilter.suffix_and_domain(F.col("host"))).collect()}
+    assert got["a.b.co.uk"] == got["b.co.uk"] == ("co.uk", "b.co.uk") and got["u:p@www.x.com:8080"] == got["x.com"] == ("com", "x.com")
+    assert got["1.2.3.4:80"] == ("1.2.3.4", "1.2.3.4") and got["localhost"] == ("localhost", "localhost")
+    pages = spark.createDataFrame([(1, "http://h.net/a"), (1, "http://h.net/a"), (1, "http://i.net"), (None, "http://h.net"), (2, None)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "page_id long, bad int")
+    judged = urlfilter.judge(pages, outcomes).collect()
+    assert len(judged) == 5 and {r["host_pages"] for r in judged if r["host"] == "h.net"} == {2}
+    assert urlfilter.judge(pages.limit(0), outcomes).count() == 0 and urlfilter.judge(pages, outcomes.limit(0)).count() == 5
 
 
 # 3
@@ -143,6 +167,21 @@ def test_ogg_pages():
         for bad in (media[:-1], media[1:], media[: n // 2] + bytes([media[n // 2] ^ 1]) + media[n // 2 + 1 :]):
             with pytest.raises(ValueError):
                 ogg.decode(bad)
+    media = ogg.encode(random.Random(1).randbytes(192 * 2010))
+    facts = ogg.decode(media)[1]
+    assert facts["seconds"] == 192 * 2010 / ogg.RATE and facts["cue_seconds"] == [*(4800 * 8 * k / ogg.RATE for k in range(1, 11)), facts["seconds"]]
+    at, seen = 0, set()
+    while at < len(media):  # a false granule position, with a right checksum, in each page that has one
+        _, _, flags, granule, serial, number, _, n = ogg.HEAD.unpack_from(media, at)
+        end = at + ogg.HEAD.size + n + sum(media[at + ogg.HEAD.size : at + ogg.HEAD.size + n])
+        if granule != -1:
+            page = media[at : at + 6] + (granule + 12345).to_bytes(8, "little") + media[at + 14 : at + 22] + b"\0\0\0\0" + media[at + 26 : end]
+            page = page[:22] + ogg.page_checksum(page).to_bytes(4, "little") + page[26:]
+            with pytest.raises(ValueError):
+                ogg.decode(media[:at] + page + media[end:])
+            seen.add(serial)
+        at = end
+    assert seen == {ogg.SAMPLES, ogg.CUES}
     writer = ogg.StreamWriter(5, 4)
     packets = [b"x" * n for n in (0, 254, 255, 256, 5000, 1)]
     for i, p in enumerate(packets):
@@ -158,6 +197,7 @@ def test_ogg_columns(odd):
         raw = text.encode()
         payload = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
         want.append((doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])))
+    assert ogg.read_media(ogg.write_media(odd.limit(0))).count() == 0
     assert bag(r[:5] for r in got) == bag(want) and len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in got}) == len({r["payload_sha256"] for r in got})
 
 
