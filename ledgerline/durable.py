@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where none is set, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one of our own only on a local master where none is set, as in
+    tests. On a cluster that setting must be there: executors share no machine's folder."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = sc._jsc.sc().getCheckpointDir().get()
     return named

@@ -3,6 +3,8 @@ the shared folder, so lineage stays short and lost executors cost one round."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +36,14 @@ def node_status(reached: DataFrame, nodes: DataFrame, current_db: str, max_depth
     return nodes.join(least, "node", "left").select("node", status.alias("status"))
 
 
-def execution_levels(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def execution_levels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, level, in_cycle): callees first. Level 0 calls nothing; a node is one above its highest callee. What is
-    left when nothing can be taken off calls a cycle: it gets the last level and the flag. Chains deeper than rounds
-    raise an error."""
+    left when nothing can be taken off calls a cycle: it gets the last level and the flag. Each round takes off at
+    least one node, so it goes on until none is ready; with rounds, deeper chains raise an error."""
     left = written(edges.select("source", "target").where("source <> target").distinct())
     waiting = written(edges.select(F.col("source").alias("node")).union(edges.select(F.col("target").alias("node"))).distinct())
     done = None
-    for level in range(rounds):
+    for level in count() if rounds is None else range(rounds):
         ready = written(waiting.join(left.select(F.col("source").alias("node")).distinct(), "node", "left_anti"))
         if ready.isEmpty():
             break

@@ -53,9 +53,10 @@ def cell_diff(legacy: DataFrame, target: DataFrame, numeric: str = "scale3") ->
 
 def compare_cases(legacy: DataFrame, target: DataFrame, numeric: str = "scale3") -> DataFrame:
     """(proc, case_id, result) for each legacy case: match, missing, status, sets, rows or cells, the first that fails.
-    Cases that only the target has don't count; error codes are only reported."""
+    Cases that only the target has don't count; error codes are only reported. Where the rows of one case disagree on its
+    status, both count: it equals only another case with the same two."""
     case = ["proc", "case_id"]
-    head = lambda df: df.groupBy(*case).agg(F.first("status").alias("status"), F.countDistinct("set_no").alias("sets"))
+    head = lambda df: df.groupBy(*case).agg(F.concat_ws(",", F.min("status"), F.when(F.min("status") != F.max("status"), F.max("status"))).alias("status"), F.countDistinct("set_no").alias("sets"))
     rows = lambda df: df.where("set_no IS NOT NULL").groupBy(*case, "set_no").agg(F.coalesce(F.max("row_no") + 1, F.lit(0)).alias("n"))
     uneven = rows(legacy).alias("l").join(rows(target).alias("t"), [*case, "set_no"]).where("l.n <> t.n").select(*case).distinct().withColumn("uneven", F.lit(True))
     cells = cell_diff(legacy, target, numeric).select(*case).distinct().withColumn("cells", F.lit(True))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +12,7 @@ AXES = ("Accuracy", "Crud", "Interface", "Exception", "Readability")
 #: What the lines of a run log look like.
 LINES = {
     "timestamp": r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\.\d+",
-    "usage_write": r"토큰 사용량 - .*캐시 쓰기: (\d+)",
-    "usage_read": r"토큰 사용량 - .*캐시 읽기: (\d+)",
-    "usage_output": r"토큰 사용량 - .*출력: (\d+)",
+    "usage": r"캐시 쓰기:\s*(\d+),\s*캐시 읽기:\s*(\d+),\s*출력:\s*(\d+)",
     "request": r"AI ([^-]+?) 요청 전송",
     "response": r"AI ([^-]+?) 응답 수신 완료",
     "review": r"리뷰 응답 수신 완료",
@@ -29,6 +26,7 @@ LINES = {
 }
 #: Text that tells which check a finding came from, in order of priority, and where its parts stand.
 CHECK_MARKERS = (
+    ("A", "개만 담고 있습니다. 명세서 DML 범위 표는"),
     ("B", "문장에 명세서가 확정한"),
     ("C", "문장이 명세서에 없는"),
     ("D", "을(를) 선언 없이 씁니다. 명세서 지역 변수 표는"),
@@ -41,15 +39,18 @@ EXTRA_ITEMS = r"없는\s+술어\s+컬럼\s+(.*?)을\(를\)\s*씁니다"
 UNKNOWN_KIND = "(no request line)"
 
 
-def _group(name: str) -> Column:
-    """The first group of a line's pattern, null where the line doesn't match."""
-    return F.when(F.col("line").rlike(LINES[name]), F.regexp_extract("line", LINES[name], 1))
+FIGURES = ("cache_write", "cache_read", "output")
+
+
+def _group(name: str, number: int = 1) -> Column:
+    """A group of a line's pattern, null where the line doesn't match."""
+    return F.when(F.col("line").rlike(LINES[name]), F.regexp_extract("line", LINES[name], number))
 
 
 def usage_lines(log: DataFrame) -> DataFrame:
-    """(run_id, line_no, cache_write, cache_read, output) of usage lines; unreported figures are null."""
-    number = lambda n: _group(n).cast("long")
-    return log.where(F.contains("line", F.lit("토큰 사용량 - "))).select("run_id", "line_no", number("usage_write").alias("cache_write"), number("usage_read").alias("cache_read"), number("usage_output").alias("output"))
+    """(run_id, line_no, cache_write, cache_read, output) of usage lines: those that give all three figures. A line that
+    leaves one unreported is no usage line and uses up no request."""
+    return log.where(F.col("line").rlike(LINES["usage"])).select("run_id", "line_no", *(_group("usage", i + 1).cast("long").alias(c) for i, c in enumerate(FIGURES)))
 
 
 def usage_totals(log: DataFrame) -> DataFrame:
@@ -57,41 +58,26 @@ def usage_totals(log: DataFrame) -> DataFrame:
 
 
 def usage_by_kind(log: DataFrame, window: int = 2) -> DataFrame:
-    """(run_id, kind, calls, cache_write, cache_read, output): a usage line belongs to the response line within the next
-    `window` lines, else to the last request line that no usage line has used yet, else to no known kind.
+    """(run_id, kind, calls, cache_write, cache_read, output): a usage line belongs to the first response line after it,
+    if that comes within the next `window` lines and before the next usage line, else to the last request line since the
+    usage line before it, else to no known kind: a request is used once.
 
-    A request is used once, which no window expresses, so the few matching lines of a run go through one pass in order.
+    The lines between two usage lines are one segment, so each segment gives its last request and its first response.
     """
-    few = log.select("run_id", "line_no", _group("request").alias("request"), _group("response").alias("response"), F.contains("line", F.lit("토큰 사용량 - ")).alias("usage"), *( _group(n).cast("long").alias(n) for n in ("usage_write", "usage_read", "usage_output"))).where("request IS NOT NULL OR response IS NOT NULL OR usage")
-
-    def attribute(frame: pd.DataFrame) -> pd.DataFrame:
-        totals: dict[str, list[int]] = {}
-        request, waiting = None, None
-
-        def close(kind):
-            nonlocal waiting
-            if waiting is not None:
-                row = totals.setdefault(kind or UNKNOWN_KIND, [0, 0, 0, 0])
-                for i, v in enumerate((1, *waiting[1])):
-                    row[i] += v
-                waiting = None
-
-        for r in frame.sort_values("line_no").itertuples(index=False):
-            if waiting is not None and r.line_no - waiting[0] > window:
-                close(waiting[2])
-            if r.usage:
-                close(waiting[2] if waiting else None)
-                figures = tuple(0 if pd.isna(v) else int(v) for v in (r.usage_write, r.usage_read, r.usage_output))
-                waiting, request = (r.line_no, figures, request), None
-            elif isinstance(r.response, str):
-                close(r.response)
-            elif isinstance(r.request, str):
-                request = r.request
-        close(waiting[2] if waiting else None)
-        return pd.DataFrame([(frame["run_id"].iloc[0], k, *v) for k, v in totals.items()], columns=["run_id", "kind", "calls", "cache_write", "cache_read", "output"])
-
-    run = log.schema["run_id"].dataType.simpleString()
-    return few.groupBy("run_id").applyInPandas(attribute, f"run_id {run}, kind string, calls long, cache_write long, cache_read long, output long")
+    usage = F.col("line").rlike(LINES["usage"])
+    few = log.select("run_id", "line_no", _group("request").alias("request"), _group("response").alias("response"), usage.cast("int").alias("usage"), *(_group("usage", i + 1).cast("long").alias(c) for i, c in enumerate(FIGURES)))
+    few = few.where("request IS NOT NULL OR response IS NOT NULL OR usage = 1")
+    segment = F.sum("usage").over(Window.partitionBy("run_id").orderBy("line_no")) - F.col("usage")
+    parts = few.withColumn("segment", segment).groupBy("run_id", "segment").agg(
+        F.max_by("request", F.when(F.col("request").isNotNull(), F.col("line_no"))).alias("request"),
+        F.min(F.when(F.col("response").isNotNull(), F.struct("line_no", "response"))).alias("response"),
+        F.max(F.when(F.col("usage") == 1, F.col("line_no"))).alias("at"),
+        *(F.max(c).alias(c) for c in FIGURES),
+    )
+    after = F.lead("response").over(Window.partitionBy("run_id").orderBy("segment"))
+    answered = F.when(F.col("after")["line_no"] - F.col("at") <= window, F.col("after")["response"])
+    used = parts.withColumn("after", after).where("at IS NOT NULL").withColumn("kind", F.coalesce(answered, "request", F.lit(UNKNOWN_KIND)))
+    return used.groupBy("run_id", "kind").agg(F.count("*").alias("calls"), *(F.sum(c).alias(c) for c in FIGURES))
 
 
 def score_blocks(log: DataFrame, within: int = 15) -> DataFrame:
@@ -131,26 +117,20 @@ def unrolled_regressions(scores: DataFrame, rollbacks: DataFrame) -> DataFrame:
     """(run_id, violations): scores below the earlier maximum without a rollback line of that score, which is looked for
     forwards only; a match uses up the lines up to it, a miss uses none. Runs without scores are left out.
 
-    The greedy match isn't a window function; a run has one row for each attempt.
+    The greedy match is a fold over a run's scores in order; a run has one score for each attempt.
     """
-    events = scores.select("run_id", F.lit(0).alias("kind"), F.col("position").cast("long").alias("place"), F.col("score").cast("long").alias("score"))
-    events = events.unionByName(rollbacks.select("run_id", F.lit(1).alias("kind"), F.col("line_no").cast("long").alias("place"), F.col("score").cast("long").alias("score")))
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["kind", "place"])
-        lines = frame["score"][frame["kind"] == 1].tolist()
-        best, at, n, own = None, 0, 0, frame["score"][frame["kind"] == 0].tolist()
-        for s in own:
-            if best is not None and s < best:
-                if s in lines[at:]:
-                    at = lines.index(s, at) + 1
-                else:
-                    n += 1
-            best = s if best is None else max(best, s)
-        return pd.DataFrame({"run_id": [frame["run_id"].iloc[0]], "violations": [n]})[: 1 if own else 0]
-
-    run = scores.schema["run_id"].dataType.simpleString()
-    return events.groupBy("run_id").applyInPandas(count, f"run_id {run}, violations long")
+    before = Window.partitionBy("run_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    lower = scores.withColumn("best", F.max("score").over(before)).withColumn("lower", F.col("score") < F.col("best"))
+    own = lower.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("lower"), F.struct("position", F.col("score").cast("long").alias("score"))))), lambda x: x["score"]).alias("own"))
+    lines = rollbacks.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.col("score").cast("long").alias("score")))), lambda x: x["score"]).alias("lines"))
+    joined = own.join(lines, "run_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<bigint>")))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("n"))
+
+    def step(state: Column, score: Column) -> Column:
+        found = F.array_position(F.slice("lines", (state["at"] + 1).cast("int"), F.size("lines")), score)
+        return F.struct(F.when(found > 0, state["at"] + found).otherwise(state["at"]).alias("at"), (state["n"] + (found == 0).cast("bigint")).alias("n"))
+
+    return joined.select("run_id", F.aggregate("own", start, step)["n"].alias("violations"))
 
 
 def rollback_lines(log: DataFrame) -> DataFrame:

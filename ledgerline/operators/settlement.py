@@ -109,7 +109,7 @@ def propagate_status(df: DataFrame, keys: DataFrame, key: list[str], column: str
 
 
 def mark_collected(df: DataFrame, periods: DataFrame, keys: list[str]) -> DataFrame:
-    """Collection state and date: the period table's date, reset to uncollected where it is blank; refunds never count."""
+    """Collection state and date: the period table's date, set back to open where it is blank; refunds never count."""
     dated = due_date(df.drop("in_ymd", "in_state"), periods, keys, "in_ymd")
     blank = F.coalesce(F.trim("in_ymd"), F.lit("")) == ""
     open_ = blank | (F.col("use_state") == REFUND)

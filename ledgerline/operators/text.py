@@ -105,6 +105,34 @@ def quoted_in(claims: DataFrame, docs: DataFrame, doc_id: str = "doc_id") -> Dat
     return claims.join(texts, doc_id, "left").withColumn("found", F.coalesce(F.contains("__text", normalize_quote(F.col("quote"))), F.lit(False))).drop("__text")
 
 
+#: Lengths of the pieces by which quotations are looked for: a quotation of 2k - 1 characters holds a whole piece of k.
+PIECES = (16, 4, 1)
+
+
+def find_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of the documents (doc_id, text) that hold a quotation (item_id, quote), white space and marks
+    aside. Empty quotations are found nowhere.
+
+    Documents are cut into pieces of k characters, quotations into all their runs of k; wherever a document holds a
+    quotation of at least 2k - 1 characters, one of its pieces is such a run. So only pairs that share one are compared.
+    """
+    normal = quotes.select("item_id", normalize_quote(F.col("quote")).alias("quote")).where("quote <> ''").distinct()
+    length = F.length("quote")
+    k = F.lit(PIECES[-1])
+    for piece in reversed(PIECES[:-1]):
+        k = F.when(length >= 2 * piece - 1, piece).otherwise(k)
+    keyed = normal.withColumn("k", k)
+    runs = keyed.select("item_id", "k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), length - F.col("k") + 1), lambda i: F.substring("quote", i, F.col("k"))))).alias("piece"))
+    texts = docs.select("doc_id", normalize_quote(F.col("text")).alias("text"))
+    sizes = [r["k"] for r in keyed.select("k").distinct().collect()]  # of PIECES at most
+    if not sizes:
+        return normal.join(docs.select("doc_id"), F.lit(False)).select("item_id", "doc_id")
+    cut = lambda k: F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / k).cast("int")), lambda i: F.struct(F.lit(k).alias("k"), F.substring("text", i * k + 1, F.lit(k)).alias("piece")))
+    pieces = texts.select("doc_id", F.explode(F.array_distinct(F.concat(*map(cut, sizes)))).alias("p")).select("doc_id", "p.k", "p.piece")
+    pairs = pieces.join(runs, ["k", "piece"]).select("item_id", "doc_id").distinct()
+    return pairs.join(normal, "item_id").join(texts, "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id").distinct()
+
+
 def build_codebook(literals: DataFrame, docs: DataFrame) -> DataFrame:
     """(value, column, procedures, documents, match_eligible, listed) of literals (label, column, value): values that
     documents mention, the first column that isn't null by label, and whether they are long enough to be matched with

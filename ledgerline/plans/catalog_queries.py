@@ -59,9 +59,9 @@ def _(spark, t):
     return C.index_dictionary(tables, indexes, listed, columns).withColumn("columns", F.array_join("columns", ","))
 
 
-@query("cat6_missing_descriptions", "SELECT n_regionkey AS \"table\", count(*) AS columns, count(*) FILTER (n_nationkey % 3 <> 1) AS missing FROM nation GROUP BY 1")
+@query("cat6_missing_descriptions", "SELECT p_brand AS \"table\", count(*) AS columns, count(*) FILTER (p_partkey % 3 <> 1) AS missing FROM part GROUP BY 1")
 def _(spark, t):
-    return C.missing_descriptions(t("nation").select(F.col("n_regionkey").alias("table"), F.when(F.col("n_nationkey") % 3 == 1, "x").when(F.col("n_nationkey") % 3 == 2, " ").alias("description")))
+    return C.missing_descriptions(t("part").select(F.col("p_brand").alias("table"), F.when(F.col("p_partkey") % 3 == 1, "x").when(F.col("p_partkey") % 3 == 2, " ").alias("description")))
 
 
 @query("cat7_raw_dependencies", "SELECT DISTINCT s_name AS source, CASE WHEN s_suppkey % 4 = 1 THEN 'Other' END AS database, CASE WHEN s_suppkey % 3 = 0 THEN 'dbo' ELSE 'app' END AS schema, n_name AS name, CASE WHEN s_suppkey % 4 <> 1 AND s_suppkey % 3 = 0 AND n_nationkey % 2 = 0 THEN 'U' ELSE 'UNKNOWN' END AS type FROM supplier JOIN nation ON n_nationkey = s_nationkey")
@@ -88,16 +88,16 @@ def _(spark, t):
     return C.select_relevant_columns(columns.drop("k", "on"), n.where("on AND k % 6 = 1").select("table", "column_name"), indexes, n.where("k < 0").select("table", "column_name")).select("table", "column_name")
 
 
-@query("cat10_orphaned_references", "SELECT 'dbo.[' || n_name || ']' AS reference, 'app.' || lower(n_name) AS looks_like FROM nation WHERE n_nationkey % 3 = 0")
+@query("cat10_orphaned_references", "SELECT 'dbo.[' || c_name || ']' AS reference, 'app.' || lower(c_name) AS looks_like FROM customer WHERE c_custkey % 3 = 0")
 def _(spark, t):
-    n = t("nation")
-    return C.orphaned_references(n.select(F.concat(F.lit("dbo.["), "n_name", F.lit("]")).alias("name")), n.where("n_nationkey % 3 = 0").select(F.concat(F.lit("app."), F.lower("n_name")).alias("name")))
+    c = t("customer")
+    return C.orphaned_references(c.select(F.concat(F.lit("dbo.["), "c_name", F.lit("]")).alias("name")), c.where("c_custkey % 3 = 0").select(F.concat(F.lit("app."), F.lower("c_name")).alias("name")))
 
 
-@query("cat11_schema_catalog", "SELECT min(n) AS name FROM (SELECT n_name AS n FROM nation UNION ALL SELECT lower(n_name) FROM nation WHERE n_nationkey % 2 = 0) GROUP BY lower(n)")
+@query("cat11_schema_catalog", "SELECT min(n) AS name FROM (SELECT c_name AS n FROM customer UNION ALL SELECT lower(c_name) FROM customer WHERE c_custkey % 2 = 0) GROUP BY lower(n)")
 def _(spark, t):
-    n = t("nation")
-    return C.schema_catalog(n.select(F.col("n_name").alias("name")), n.where("n_nationkey % 2 = 0").select(F.lower("n_name").alias("name")))
+    c = t("customer")
+    return C.schema_catalog(c.select(F.col("c_name").alias("name")), c.where("c_custkey % 2 = 0").select(F.lower("c_name").alias("name")))
 
 
 @query("cat12_13_object_names", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Procedure' WHEN 1 THEN 'Table' WHEN 2 THEN 'View' ELSE 'Unknown' END AS kind, 'db.' || lower(replace(replace(p_brand, '%', '%25'), '.', '%2E')) || '.' || lower(p_name) || '.P' AS key, 'x' AS base FROM (SELECT *  REPLACE (replace(replace(p_name, '%', '%25'), '.', '%2E') AS p_name) FROM part)")
@@ -108,13 +108,13 @@ def _(spark, t):
 
 @query(
     "cat14_map_by_name",
-    """WITH l AS (SELECT c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'FRANCE' END AS hint, lower(n_name) || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_proc' ELSE '7' END AS doc FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey < 300),
+    """WITH l AS (SELECT c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'FRANCE' END AS hint, lower(n_name) || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_proc' ELSE '7' END AS doc FROM customer JOIN nation ON n_nationkey = c_nationkey),
     d AS (SELECT doc, max(hint) AS hint FROM l GROUP BY 1), t AS (SELECT n_name AS target FROM nation),
     m AS (SELECT doc AS name, target, CASE WHEN lower(hint) = lower(target) THEN 0 WHEN doc = lower(target) THEN 1 ELSE 1000 - length(target) END AS rank FROM d, t WHERE lower(hint) = lower(target) OR doc = lower(target) OR (starts_with(doc, lower(target)) AND NOT regexp_matches(substr(doc, length(target) + 1, 1), '^[0-9]')))
     SELECT name, arg_min(target, (rank, target)) AS target, CASE min(rank) WHEN 0 THEN 'hint' WHEN 1 THEN 'exact' ELSE 'prefix' END AS how FROM m GROUP BY 1""",
 )
 def _(spark, t):
-    c = t("customer").where("c_custkey < 300").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    c = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     tail = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, "_proc").otherwise("7")
     docs = c.groupBy(F.concat(F.lower("n_name"), tail).alias("name")).agg(F.max(F.when(F.col("c_custkey") % 5 == 0, "FRANCE")).alias("hint"))
     return C.map_by_name(docs, t("nation").select(F.col("n_name").alias("target")))
@@ -125,11 +125,11 @@ def _(spark, t):
     return C.snapshot_range_check({"orders": t("orders").withColumn("ymd", F.date_format("o_orderdate", "yyyy")), "lineitem": t("lineitem").withColumn("ymd", F.date_format("l_shipdate", "yyyy"))}, "1995")
 
 
-@query("src1_read_table", "SELECT n_nationkey, n_name FROM nation")
+@query("src1_read_table", "SELECT o_orderkey, o_custkey FROM orders")
 def _(spark, t):
     path = scratch_path(spark)
-    t("nation").write.parquet(f"{path}/nation.parquet")
-    return S.read_table(spark, path, "nation").select("n_nationkey", "n_name")
+    t("orders").write.parquet(f"{path}/orders.parquet")
+    return S.read_table(spark, path, "orders").select("o_orderkey", "o_custkey")
 
 
 @query("src3_execution_results", "SELECT 'p' AS proc, CAST(n_regionkey AS VARCHAR) AS case_id, CASE WHEN n_regionkey = 3 THEN 'FAIL' ELSE 'SUCCESS' END AS status, 0 AS set_no, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS row_no, 'name' AS col, n_name AS val FROM nation")
@@ -163,10 +163,10 @@ def _(spark, t):
     return spark.read.parquet(f"{path}/edges").select("source_key", "target_key")
 
 
-@query("src6_read_documents", "SELECT count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents WHERE doc_id % 20 = 0 AND trim(text) <> ''")
+@query("src6_read_documents", "SELECT count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents WHERE trim(text) <> ''")
 def _(spark, t):
     path = scratch_path(spark)
-    t("documents").where("doc_id % 20 = 0").select("text").write.option("maxRecordsPerFile", 1).option("lineSep", "\u0001").text(path)
+    t("documents").select("text").write.option("maxRecordsPerFile", 1).option("lineSep", "\u0001").text(path)
     return S.read_documents(spark, path).agg(F.count("*").alias("documents"), F.sum(F.length(F.regexp_replace("text", "\u0001$", ""))).alias("characters"))
 
 
@@ -186,10 +186,10 @@ def _(spark, t):
     return spark.read.parquet(path).groupBy("check_key").agg(F.count("*").alias("n"))
 
 
-@query("src9_dependency_manifest", "SELECT r_name AS key, sha256(CASE WHEN r_regionkey = 1 THEN '' ELSE r_name END) AS ddl_sha256, coalesce(string_agg(n_name, ',' ORDER BY n_name) FILTER (r_regionkey <> 4), '') AS targets FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey")
+@query("src9_dependency_manifest", "SELECT c_name AS key, sha256(CASE WHEN c_custkey % 5 = 1 THEN '' ELSE c_name END) AS ddl_sha256, coalesce(string_agg('o' || o_orderkey, ',' ORDER BY 'o' || o_orderkey), '') AS targets FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_name, c_custkey")
 def _(spark, t):
-    nodes = t("region").select(F.col("r_name").alias("key"), F.when(F.col("r_regionkey") != 1, F.col("r_name")).alias("ddl"))
-    edges = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).where("r_regionkey <> 4").select(F.col("r_name").alias("source_key"), F.col("n_name").alias("target_key"))
+    nodes = t("customer").select(F.col("c_name").alias("key"), F.when(F.col("c_custkey") % 5 != 1, F.col("c_name")).alias("ddl"))
+    edges = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("source_key"), F.concat(F.lit("o"), "o_orderkey").alias("target_key"))
     return S.dependency_manifest(nodes, edges).withColumn("targets", F.array_join("targets", ","))
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ledgerline.operators import graph as G
 from ledgerline.plans.catalogue import query
 
-#: customer -> nation -> region, supplier -> nation, part -> supplier by lineitem of the first orders.
+#: customer -> nation -> region, supplier -> nation, part -> supplier by lineitem.
 EDGES = """edges AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
-  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_orderkey % 50 = 0
+  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
   UNION SELECT 'r' || r_regionkey, 'p' || (r_regionkey * 10 + 1) FROM region)"""
 
 
@@ -19,16 +19,16 @@ def edges(t):
     e = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("source"), F.concat(F.lit(b), y).alias("target"))
     parts = [
         e(t("customer"), "c", "c_custkey", "n", "c_nationkey"), e(t("nation"), "n", "n_nationkey", "r", "n_regionkey"), e(t("supplier"), "s", "s_suppkey", "n", "s_nationkey"),
-        e(t("lineitem").where("l_orderkey % 50 = 0"), "p", "l_partkey", "s", "l_suppkey"), e(t("region"), "r", "r_regionkey", "p", F.col("r_regionkey") * 10 + 1),
+        e(t("lineitem"), "p", "l_partkey", "s", "l_suppkey"), e(t("region"), "r", "r_regionkey", "p", F.col("r_regionkey") * 10 + 1),
     ]
     return reduce(lambda a, b: a.union(b), parts).distinct()
 
 
-CLOSURE = "WITH RECURSIVE " + EDGES + ", c(root, node, depth) AS (SELECT 'p' || p_partkey, 'p' || p_partkey, 0 FROM part WHERE p_partkey % 40 = 1 UNION SELECT root, target, depth + 1 FROM c JOIN edges ON source = node WHERE depth < 4), m AS (SELECT root, node, min(depth) AS depth FROM c GROUP BY 1, 2)"
+CLOSURE = "WITH RECURSIVE " + EDGES + ", c(root, node, depth) AS (SELECT 'p' || p_partkey, 'p' || p_partkey, 0 FROM part UNION SELECT root, target, depth + 1 FROM c JOIN edges ON source = node WHERE depth < 4), m AS (SELECT root, node, min(depth) AS depth FROM c GROUP BY 1, 2)"
 
 
 def closed(t):
-    return G.closure(edges(t), t("part").where("p_partkey % 40 = 1").select(F.concat(F.lit("p"), "p_partkey").alias("node")), 4)
+    return G.closure(edges(t), t("part").select(F.concat(F.lit("p"), "p_partkey").alias("node")), 4)
 
 
 @query("gra1_closure", CLOSURE + " SELECT root, node, depth FROM m")
@@ -43,9 +43,17 @@ def _(spark, t):
     return G.node_status(closed(t), nodes, "Own", 3)
 
 
-@query("gra3_execution_levels", "WITH n AS (SELECT 'n' || n_nationkey AS node, 1 AS level FROM nation UNION ALL SELECT 'r' || r_regionkey, 0 FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT 's' || s_suppkey, 2 FROM supplier) SELECT node, level, false AS in_cycle FROM n")
+@query(
+    "gra3_execution_levels",
+    "WITH y AS (SELECT a.c_custkey AS k, b.c_custkey AS l FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 7 = 0), z AS (SELECT k FROM y UNION SELECT l FROM y) SELECT 'r' || r_regionkey AS node, 0 AS level, false AS in_cycle FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT 'n' || n_nationkey, 1, false FROM nation UNION ALL SELECT 's' || s_suppkey, 2, false FROM supplier UNION ALL SELECT DISTINCT 'p' || l_partkey, 3, false FROM lineitem UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey IN (FROM z) THEN 4 ELSE 2 END, c_custkey IN (FROM z) FROM customer",
+)
 def _(spark, t):
-    return G.execution_levels(edges(t).where("substring(source, 1, 1) IN ('n', 's')"))
+    """All edges but those that lead from regions to parts; customers of every seventh key and the next call each other."""
+    c = lambda x: F.concat(F.lit("c"), x)
+    key = t("customer").select("c_custkey")
+    pairs = key.where("c_custkey % 7 = 0").join(key.select((F.col("c_custkey") - 1).alias("c_custkey")), "c_custkey").select(c(F.col("c_custkey")).alias("source"), c(F.col("c_custkey") + 1).alias("target"))
+    both = pairs.union(pairs.select("target", "source"))
+    return G.execution_levels(edges(t).where("substring(source, 1, 1) <> 'r'").union(both))
 
 
 @query("gra4_distinct_edges", "SELECT DISTINCT l_partkey AS source, l_suppkey AS target FROM lineitem")
@@ -53,15 +61,15 @@ def _(spark, t):
     return G.distinct_edges(t("lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")))
 
 
-@query("gra5_call_graph", "SELECT n_regionkey AS source, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS targets FROM nation WHERE n_nationkey % 4 <> 0 GROUP BY 1")
+@query("gra5_call_graph", "SELECT l_suppkey AS source, string_agg(DISTINCT 'p' || l_partkey, ',' ORDER BY 'p' || l_partkey) AS targets FROM lineitem WHERE l_partkey % 4 <> 0 GROUP BY 1")
 def _(spark, t):
-    d = t("nation").select(F.col("n_regionkey").alias("source"), F.col("n_name").alias("target"), F.when(F.col("n_nationkey") % 4 == 0, "Table").otherwise("Procedure").alias("type"))
+    d = t("lineitem").select(F.col("l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.when(F.col("l_partkey") % 4 == 0, "Table").otherwise("Procedure").alias("type"))
     return G.call_graph(d).withColumn("targets", F.array_join("targets", ","))
 
 
 @query(
     "gra6_draft_stages",
-    """WITH w AS (SELECT DISTINCT 'p' || s_nationkey AS procedure, 't' || (s_suppkey % 60) AS tab FROM supplier), r AS (SELECT DISTINCT 'p' || (c_nationkey + 5) AS procedure, 't' || (c_custkey % 200) AS tab FROM customer WHERE c_custkey % 3 = 0),
+    """WITH w AS (SELECT DISTINCT 'p' || s_nationkey AS procedure, 't' || (s_suppkey % 60) AS tab FROM supplier), r AS (SELECT DISTINCT 'p' || (c_nationkey + 5) AS procedure, 't' || (c_custkey % 200) AS tab FROM customer),
     k AS (SELECT DISTINCT 'p' || n_nationkey AS a, 'p' || (n_regionkey + 27) AS b FROM nation WHERE n_nationkey % 2 = 0), h AS (SELECT tab FROM w GROUP BY 1 HAVING count(*) >= 3),
     p AS (SELECT DISTINCT w.procedure FROM w JOIN r ON r.tab = w.tab AND r.procedure <> w.procedure WHERE w.tab NOT IN (FROM h)), g AS (SELECT a AS procedure FROM k UNION SELECT b FROM k),
     e AS (SELECT procedure FROM w UNION SELECT procedure FROM r UNION FROM g)
@@ -70,7 +78,7 @@ def _(spark, t):
 def _(spark, t):
     name = lambda x: F.concat(F.lit("p"), x)
     w = t("supplier").select(name(F.col("s_nationkey")).alias("procedure"), F.concat(F.lit("T"), F.col("s_suppkey") % 60).alias("table"))
-    r = t("customer").where("c_custkey % 3 = 0").select(name(F.col("c_nationkey") + 5).alias("procedure"), F.concat(F.lit("t"), F.col("c_custkey") % 200).alias("table"))
+    r = t("customer").select(name(F.col("c_nationkey") + 5).alias("procedure"), F.concat(F.lit("t"), F.col("c_custkey") % 200).alias("table"))
     k = t("nation").where("n_nationkey % 2 = 0").select(name(F.col("n_nationkey")).alias("caller"), name(F.col("n_regionkey") + 27).alias("callee"))
     return G.draft_stages(w, r, k)
 
@@ -79,30 +87,30 @@ def _(spark, t):
     "gra7_split_spans",
     """WITH b AS (SELECT l_orderkey AS caller, min(l_linenumber) FILTER (l_returnflag = 'R') AS a, max(l_linenumber) FILTER (l_returnflag = 'A') AS z, count(*) FILTER (l_returnflag = 'R') AS nb, count(*) FILTER (l_returnflag = 'A') AS nc FROM lineitem GROUP BY 1),
     s AS (SELECT o_orderkey AS procedure, o_orderpriority AS step FROM orders), o AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
-    SELECT b.caller, (l_orderkey * 7 + 3) % 15000 AS callee, l_linenumber AS line, x.step AS caller_step, y.step AS callee_step FROM lineitem JOIN b ON b.caller = l_orderkey JOIN s x ON x.procedure = b.caller JOIN s y ON y.procedure = (l_orderkey * 7 + 3) % 15000
-    WHERE l_returnflag = 'N' AND nb = 1 AND nc = 1 AND l_linenumber BETWEEN a AND z AND x.step <> y.step AND (l_orderkey * 7 + 3) % 15000 NOT IN (FROM o)""",
+    SELECT b.caller, l_partkey AS callee, l_linenumber AS line, x.step AS caller_step, y.step AS callee_step FROM lineitem JOIN b ON b.caller = l_orderkey JOIN s x ON x.procedure = b.caller JOIN s y ON y.procedure = l_partkey
+    WHERE l_returnflag = 'N' AND nb = 1 AND nc = 1 AND l_linenumber BETWEEN a AND z AND x.step <> y.step AND l_partkey NOT IN (FROM o)""",
 )
 def _(spark, t):
     l = t("lineitem")  # noqa: E741
     boundaries = l.where("l_returnflag IN ('R', 'A')").select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", "begin").otherwise("commit").alias("kind"))
-    calls = l.where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("line"), ((F.col("l_orderkey") * 7 + 3) % 15000).alias("callee"))
+    calls = l.where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("callee"))
     return G.split_spans(boundaries, calls, t("orders").select(F.col("o_orderkey").alias("procedure"), F.col("o_orderpriority").alias("step")), t("orders").select(F.col("o_orderkey").alias("procedure")))
 
 
 @query(
     "gra8_components",
-    "WITH RECURSIVE p AS (SELECT DISTINCT c_custkey AS a, c_custkey + 1 + c_nationkey % 3 AS b FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey < 400), e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), r(node, other) AS (SELECT x, x FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.other) SELECT node, min(other) AS component FROM r GROUP BY 1",
+    "WITH RECURSIVE p AS (SELECT DISTINCT c_custkey AS a, c_custkey + 1 + c_nationkey % 3 AS b FROM customer WHERE c_nationkey % 2 = 0), e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), r(node, other) AS (SELECT x, x FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.other) SELECT node, min(other) AS component FROM r GROUP BY 1",
 )
 def _(spark, t):
-    c = t("customer").where("c_nationkey % 2 = 0 AND c_custkey < 400")
+    c = t("customer").where("c_nationkey % 2 = 0")
     return G.components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1 + F.col("c_nationkey") % 3).alias("b")))
 
 
-@query("gra9_inherit_once", "WITH b AS (SELECT 'v' || n_nationkey AS variable, n_name AS col FROM nation WHERE n_nationkey < 12), f AS (SELECT 'v' || n_nationkey AS s, 'v' || (n_nationkey + 6) AS t FROM nation) SELECT variable, col AS \"column\" FROM b UNION SELECT t, col FROM f JOIN b ON s = variable")
+@query("gra9_inherit_once", "WITH b AS (SELECT DISTINCT 'v' || s_nationkey AS variable, s_name AS col FROM supplier), f AS (SELECT DISTINCT 'v' || c_nationkey AS s, 'v' || (100 + c_custkey % 50) AS t FROM customer) SELECT variable, col AS \"column\" FROM b UNION SELECT t, col FROM f JOIN b ON s = variable")
 def _(spark, t):
-    n = t("nation")
     v = lambda x: F.concat(F.lit("v"), x)
-    return G.inherit_once(n.where("n_nationkey < 12").select(v("n_nationkey").alias("variable"), F.col("n_name").alias("column")), n.select(v("n_nationkey").alias("source"), v(F.col("n_nationkey") + 6).alias("target")))
+    feeds = t("customer").select(v("c_nationkey").alias("source"), v(F.col("c_custkey") % 50 + 100).alias("target")).distinct()
+    return G.inherit_once(t("supplier").select(v("s_nationkey").alias("variable"), F.col("s_name").alias("column")), feeds)
 
 
 @query("gra10_unresolved", "SELECT DISTINCT l_orderkey AS source, l_suppkey AS target FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 9 IN (0, 1))")
@@ -117,8 +125,8 @@ def _(spark, t):
     return G.close_entry_points(t("region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("position")), joined.select(F.col("r_name").alias("source"), F.col("n_name").alias("target"), F.col("n_nationkey").alias("sibling")))
 
 
-@query("gra12_upstream_first", "SELECT DISTINCT o_orderkey AS item, s_suppkey * 1000000 AS depends_on FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 10 = 5 AND o_orderkey % 20 = 0")
+@query("gra12_upstream_first", "SELECT DISTINCT o_orderkey AS item, s_suppkey * 1000000 AS depends_on FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 10 = 5")
 def _(spark, t):
-    reads = t("lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("table"))
+    reads = t("lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("table"))
     pending = t("supplier").where("s_suppkey % 10 = 5").select((F.col("s_suppkey") * 1000000).alias("item"), F.col("s_suppkey").alias("table"))
-    return G.upstream_first(reads, pending.unionByName(t("orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("item"), (-F.col("o_orderkey") - 1).alias("table"))))
+    return G.upstream_first(reads, pending.unionByName(t("orders").select(F.col("o_orderkey").alias("item"), (-F.col("o_orderkey") - 1).alias("table"))))

@@ -123,10 +123,10 @@ def journal(t):
     """events as a step journal: run = user, step = event type, status by value."""
     steps = t("events").select("event_type").distinct()
     number = F.array_position(F.array_sort(F.col("all")), F.col("event_type"))
-    numbered = steps.crossJoin(F.broadcast(steps.agg(F.collect_list("event_type").alias("all")))).select("event_type", number.cast("int").alias("step_no"))
+    numbered = steps.crossJoin(steps.agg(F.collect_list("event_type").alias("all"))).select("event_type", number.cast("int").alias("step_no"))
     status = F.when(F.min("value") < 1, "Failed").when(F.max("value") > 20, "Succeeded").when(F.count("*") > 3, "Skipped").otherwise("Running")
     by = t("events").groupBy(F.col("user_id").alias("run_id"), "event_type").agg(status.alias("step_status"), F.min("ts").alias("started_at"), F.max("ts").alias("completed_at"), F.max("event_id").alias("last_event"))
-    return by.join(F.broadcast(numbered), "event_type").withColumnRenamed("event_type", "step_code")
+    return by.join(numbered, "event_type").withColumnRenamed("event_type", "step_code")
 
 
 def checkpoints(t):

@@ -72,9 +72,18 @@ def _(spark, t):
     return G.adopted_score(scored_log(t))
 
 
-@query("win6_unrolled_regressions")
+#: Greedy matches, score by score: best so far, lines used up, violations.
+REGRESSIONS = """k AS (SELECT conv_id AS run_id, turn * 10 + 9 AS line_no, length(text) % 11 AS n FROM conversations WHERE turn % 2 = 0),
+f(run_id, position, best, used, violations) AS (SELECT run_id, position, n, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM p WHERE position = 1
+  UNION ALL SELECT p.run_id, p.position, greatest(f.best, p.n),
+    CASE WHEN p.n < f.best THEN coalesce((SELECT min(line_no) FROM k WHERE k.run_id = p.run_id AND k.n = p.n AND k.line_no > f.used), f.used) ELSE f.used END,
+    f.violations + CASE WHEN p.n < f.best AND NOT EXISTS (SELECT 1 FROM k WHERE k.run_id = p.run_id AND k.n = p.n AND k.line_no > f.used) THEN 1 ELSE 0 END
+  FROM f JOIN p ON p.run_id = f.run_id AND p.position = f.position + 1),
+v AS (SELECT run_id, CAST(arg_max(violations, position) AS BIGINT) AS violations FROM f GROUP BY 1)"""
+
+
+@query("win6_unrolled_regressions", f"WITH RECURSIVE {SCORES}, {REGRESSIONS} SELECT run_id, violations FROM v")
 def _(spark, t):
-    """A greedy match in order has no SQL form; tests hold it against a plain loop."""
     lines = scored_log(t)
     return G.unrolled_regressions(G.score_blocks(lines), G.rollback_lines(lines))
 
@@ -151,7 +160,11 @@ def _(spark, t):
     return G.usage_totals(log(t))
 
 
-@query("log2_usage_by_kind")
+@query(
+    "log2_usage_by_kind",
+    """WITH l AS (SELECT conv_id AS run_id, turn, role, CASE WHEN turn % 3 < 2 THEN role ELSE NULL END AS response FROM conversations)
+    SELECT run_id, role AS kind, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS cache_write, count(*) AS cache_read, CAST(2 * count(*) AS BIGINT) AS output FROM (SELECT c.conv_id AS run_id, coalesce(l.response, c.role) AS role, c.text FROM conversations c JOIN l ON l.run_id = c.conv_id AND l.turn = c.turn) GROUP BY 1, 2""",
+)
 def _(spark, t):
     """Usage of each kind of call: every turn is a request, a usage line, and for two of three a response."""
     lines = F.array(F.concat(F.lit("AI "), "role", F.lit(" 요청 전송 - x")), F.concat(F.lit("토큰 사용량 - 입력: 2, 캐시 쓰기: "), F.length("text"), F.lit(", 캐시 읽기: 1, 출력: 2")), F.when(F.col("turn") % 3 < 2, F.concat(F.lit("AI "), "role", F.lit(" 응답 수신 완료 - x"))).otherwise("-"))
@@ -164,9 +177,17 @@ def _(spark, t):
     return G.score_blocks(scored_log(t))
 
 
-@query("log4_run_metrics")
+@query(
+    "log4_run_metrics",
+    f"""WITH RECURSIVE {SCORES}, {REGRESSIONS}, m AS (SELECT run_id, position, n, max(n) OVER (PARTITION BY run_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
+    b AS (SELECT run_id, string_agg(CAST(n * 10 AS VARCHAR), ',' ORDER BY position) AS trajectory, count(*) FILTER (n < before) AS violations, count(*) AS scored, max(n) * 10 AS best FROM m GROUP BY 1),
+    c AS (SELECT conv_id AS run_id, max(turn) + 1 AS attempts, CAST(arg_max(length(text) % 11, turn) FILTER (turn % 2 = 1) * 10 AS INTEGER) AS adopted FROM conversations GROUP BY 1)
+    SELECT run_id, CAST(attempts AS INTEGER) AS attempts, false AS redrafted_on_stagnation, false AS redrafted_on_request, trajectory, coalesce(b.violations, 0) AS monotonicity_violations, coalesce(v.violations, 0) AS unrolled_regressions,
+      CAST(0 AS BIGINT) AS cache_write, CAST(0 AS BIGINT) AS cache_read, CAST(0 AS BIGINT) AS output, CAST(NULL AS BIGINT) AS seconds, adopted, adopted = best AS is_best, CAST(greatest(0, attempts - coalesce(scored, 0)) AS INTEGER) AS unscored
+    FROM c LEFT JOIN b USING (run_id) LEFT JOIN v USING (run_id)""",
+)
 def _(spark, t):
-    """All metrics of each run; the parts have SQL of their own."""
+    """All metrics of each run."""
     return G.run_metrics(scored_log(t)).withColumn("trajectory", F.array_join("trajectory", ","))
 
 
@@ -187,13 +208,14 @@ def _(spark, t):
     return G.verification_coverage(steps, defects, F.lit(False))
 
 
-@query("log7_classify_findings", "SELECT event_id, CASE event_type WHEN 'click' THEN 'B' WHEN 'view' THEN 'C' WHEN 'purchase' THEN 'P' ELSE 'Unclassified' END AS \"check\", CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'UPDATE' END AS kind, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN CAST(event_id % 20 AS INTEGER) END AS ordinal, CASE event_type WHEN 'click' THEN 'YMD;PGNAME' WHEN 'view' THEN 'TID' ELSE '' END AS items FROM events")
+@query("log7_classify_findings", "SELECT event_id, CASE event_type WHEN 'click' THEN 'B' WHEN 'view' THEN 'C' WHEN 'purchase' THEN 'P' ELSE CASE WHEN event_id % 3 = 0 THEN 'A' ELSE 'Unclassified' END END AS \"check\", CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'UPDATE' END AS kind, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN CAST(event_id % 20 AS INTEGER) END AS ordinal, CASE event_type WHEN 'click' THEN 'YMD;PGNAME' WHEN 'view' THEN 'TID' ELSE '' END AS items FROM events")
 def _(spark, t):
     head = F.concat(F.lit("S07 섹션의 UPDATE "), F.col("event_id") % 20)
     text = (
         F.when(F.col("event_type") == "click", F.concat(head, F.lit("(갱신 1) 문장에 명세서가 확정한 조인 키 YMD, PGNAME이(가) 없습니다")))
         .when(F.col("event_type") == "view", F.concat(head, F.lit(" 문장이 명세서에 없는 술어 컬럼 TID을(를) 씁니다")))
         .when(F.col("event_type") == "purchase", F.concat(head, F.lit(" 문장의 원본에 없는 최상위 술어 A IN (1, 2)")))
+        .when(F.col("event_id") % 3 == 0, F.concat(head, F.lit(" 2개만 담고 있습니다. 명세서 DML 범위 표는 3개")))
         .otherwise("x")
     )
     return G.classify_findings(t("events").select("event_id", text.alias("message"))).select("event_id", "check", "kind", "ordinal", F.array_join("items", ";").alias("items"))

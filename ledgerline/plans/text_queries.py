@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 from ledgerline.operators import text as T
 from ledgerline.plans.catalogue import query
 
-#: A Markdown page around each document's ids: two sections, a fence, a table.
+#: Markdown around each document's ids and text: two sections, a fence, a table. The text stands as a quotation.
 MARKDOWN = (
-    "# Rules", "intro {id}", "## 1. Steps:", "step {id}", "```sql", "# not a heading", "-- the rest likewise", "select {id} from dbo.[T{mod}] join app.u", "```",
+    "# Rules", "intro {id}", "{text}", "## 1. Steps:", "step {id}", "```sql", "# not a heading", "-- the rest likewise", "select {id} from dbo.[T{mod}] join app.u", "```",
     "## Table (line 12)", "| Code | Line |", "|---|---|", "| C{mod} | {id} |", "| a \\| b | L7 |", "end",
 )
+#: Documents with the number of lines of their texts.
+QUOTED = "q AS (SELECT doc_id, len(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) AS n FROM documents)"
 
 
 def pages(t):
-    line = lambda s: F.replace(F.replace(F.lit(s), F.lit("{id}"), F.col("doc_id").cast("string")), F.lit("{mod}"), (F.col("doc_id") % 5).cast("string"))
+    quoted = F.concat(F.lit("> "), F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), "\n", "\n> "))
+    line = lambda s: quoted if s == "{text}" else F.replace(F.replace(F.lit(s), F.lit("{id}"), F.col("doc_id").cast("string")), F.lit("{mod}"), (F.col("doc_id") % 5).cast("string"))
     return t("documents").select("doc_id", F.array_join(F.array(*map(line, MARKDOWN)), "\n").alias("text"))
 
 
-@query("txt1_markdown_lines", "SELECT doc_id, CAST(n - 1 AS INTEGER) AS line_no, n IN (5, 9) AS is_fence, n BETWEEN 6 AND 8 AS in_fence, CASE WHEN n < 3 THEN '# Rules' WHEN n < 10 THEN '## 1. Steps:' ELSE '## Table (line 12)' END AS heading FROM documents, range(1, 16) r(n)")
+@query("txt1_markdown_lines", f"WITH {QUOTED} SELECT doc_id, CAST(k - 1 + CASE WHEN k > 2 THEN n ELSE 0 END AS INTEGER) AS line_no, k IN (5, 9) AS is_fence, k BETWEEN 6 AND 8 AS in_fence, CASE WHEN k < 3 THEN '# Rules' WHEN k < 10 THEN '## 1. Steps:' ELSE '## Table (line 12)' END AS heading FROM q, range(1, 16) r(k) UNION ALL SELECT doc_id, CAST(unnest(range(2, 2 + n)) AS INTEGER), false, false, '# Rules' FROM q")
 def _(spark, t):
     return T.markdown_lines(pages(t)).drop("line")
 
@@ -40,7 +43,7 @@ def _(spark, t):
     return T.section_defects(pages(t), ["Steps", "Ends", "Rules"])
 
 
-@query("txt4_table_rows", "SELECT doc_id, 0 AS table_no, 12 AS line_no, 'C' || (doc_id % 5) AS code, CAST(doc_id AS VARCHAR) AS line FROM documents UNION ALL SELECT doc_id, 0, 13, 'a | b', 'L7' FROM documents")
+@query("txt4_table_rows", f"WITH {QUOTED} SELECT doc_id, 0 AS table_no, CAST(12 + n AS INTEGER) AS line_no, 'C' || (doc_id % 5) AS code, CAST(doc_id AS VARCHAR) AS line FROM q UNION ALL SELECT doc_id, 0, CAST(13 + n AS INTEGER), 'a | b', 'L7' FROM q")
 def _(spark, t):
     return T.markdown_table_rows(pages(t)).select("doc_id", "table_no", "line_no", F.col("cells")["Code"].alias("code"), F.col("cells")["Line"].alias("line"))
 
@@ -52,10 +55,9 @@ def _(spark, t):
     return T.attribution_defects(claims.withColumn("evidence_heading", F.when(F.col("evidence_heading") == "steps", "Steps").otherwise(F.col("evidence_heading"))), pages(t), (), "R-")
 
 
-@query("txt5_quoted_in", r"SELECT item_id, doc_id, contains(regexp_replace(d.text, '[\s*`|_~]+', '', 'g'), regexp_replace(b.text, '[\s*`|_~]+', '', 'g')) AS found FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id")
+@query("txt5_quoted_in", r"WITH b AS (SELECT item_id, regexp_replace(text, '[\s*`|_~]+', '', 'g') AS quote FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '[\s*`|_~]+', '', 'g') AS text FROM documents) SELECT DISTINCT item_id, doc_id FROM b JOIN d ON contains(d.text, b.quote) WHERE quote <> ''")
 def _(spark, t):
-    claims = t("benchmark").select("item_id", F.col("text").alias("quote")).join(t("documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id")), "item_id")
-    return T.quoted_in(claims, t("documents").select("doc_id", "text")).drop("quote")
+    return T.find_quotes(t("benchmark").select("item_id", F.col("text").alias("quote")), t("documents").select("doc_id", "text"))
 
 
 WORDS = "('the', 'und', 'les', 'que', 'idiot', 'NONE')"
@@ -98,7 +100,7 @@ def _(spark, t):
     return T.never_cited(t("documents").select(F.col("source").alias("value")), t("documents").where("doc_id % 50 = 0").select(F.col("source").alias("code_value")))
 
 
-@query("txt9_omission_comments", "SELECT doc_id, 6 AS line_no, '-- the rest likewise' AS line FROM documents")
+@query("txt9_omission_comments", f"WITH {QUOTED} SELECT doc_id, CAST(6 + n AS INTEGER) AS line_no, '-- the rest likewise' AS line FROM q")
 def _(spark, t):
     return T.omission_comments(pages(t), ["rest likewise", "omitted"])
 
@@ -125,16 +127,17 @@ def _(spark, t):
     return T.material_census(s, d, ["en", "long"])
 
 
-@query("txt13_attribute_codes", "SELECT n_name || ' ' AS code, CASE WHEN n_nationkey % 3 = 0 THEN r_name END AS step, n_nationkey % 3 <> 0 AS unattributed FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query("txt13_attribute_codes", "SELECT c_name || ' ' AS code, CASE WHEN c_custkey % 3 = 0 THEN n_name END AS step, c_custkey % 3 <> 0 AS unattributed FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def _(spark, t):
-    joined = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    steps = joined.where("n_nationkey % 3 = 0").groupBy(F.col("r_name").alias("step")).agg(F.collect_list(F.lower("n_name")).alias("codes"))
-    return T.attribute_codes(t("nation").select(F.concat("n_name", F.lit(" ")).alias("code")), steps)
+    joined = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    steps = joined.where("c_custkey % 3 = 0").groupBy(F.col("n_name").alias("step")).agg(F.collect_list(F.lower("c_name")).alias("codes"))
+    return T.attribute_codes(t("customer").select(F.concat("c_name", F.lit(" ")).alias("code")), steps)
 
 
 @query("txt14_script_table_refs", "SELECT doc_id, 'dbo.t' || (doc_id % 5) AS \"table\" FROM documents UNION ALL SELECT doc_id, 'app.u' FROM documents")
 def _(spark, t):
-    return T.script_table_refs(pages(t))
+    scripts = pages(t).withColumn("text", F.regexp_replace("text", "(?m)^> .*$", "--"))
+    return T.script_table_refs(scripts)
 
 
 @query("txt15_size_warnings", "SELECT source AS stage, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY 1 HAVING sum(length(text)) > 120000")
