@@ -1,11 +1,12 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Equal vectors are put together first. The others go to overlapping shards, those of their nearest centres; in each shard
-a flat graph is built in which a vertex keeps an edge to its nearest neighbour, drops what that neighbour is clearly
-closer to, and so on (robust pruning). A vertex's adjacency lists from all of its shards are united. Every vector is
-then searched for in the shard of its nearest centre: greedily from the medoid with a beam, and from what that finds by
-going on through everything within the range. Links are verified by cosine in double precision; audit() measures recall
-against brute force.
+Equal vectors are put together first. The others go to overlapping shards, those of their nearest centres; shards that are
+too large are clustered again by centres of their own, level by level. In each shard a flat graph is built: vertices are
+searched for in the graph so far, greedily from the medoid, and of what a search meets a vertex keeps its nearest, drops
+what that neighbour is clearly closer to, and so on (robust pruning). A vertex's adjacency lists from all of its shards
+are united. Every vector is then searched for in the shard of its nearest centre: greedily from the medoid with a beam,
+and from what that finds by going on through everything within the range. Links are verified by cosine in double
+precision; audit() measures recall against brute force.
 """
 
 from __future__ import annotations
@@ -60,46 +61,48 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nd
     return c
 
 
-def robust_prune(x: np.ndarray, degree: int = 24, beam: int = 64, alpha: float = 1.2) -> np.ndarray:
-    """Adjacency of a flat graph over unit vectors: rows of neighbours, -1 where there are fewer.
+def greedy(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, met=None) -> tuple[np.ndarray, np.ndarray]:
+    """Walks over graph from start, one for each query, side by side: the `beam` nearest vertices that each walk has met,
+    once it has been at all of them, -1 where there are fewer; and which vertices it has met. met is told of
+    (queries, vertices, cosines) as they are met."""
+    n, q = len(x), len(queries)
+    seen = np.zeros((q, n), bool)
+    seen[:, start] = True
+    ids, sims, done = np.full((q, beam), -1), np.full((q, beam), -3.0), np.ones((q, beam), bool)
+    ids[:, 0], sims[:, 0], done[:, 0] = start, queries @ x[start], False
+    if met:
+        met(np.arange(q), np.full(q, start), sims[:, 0])
+    active = np.arange(q)
+    while len(active):
+        best = np.where(done[active], -3.0, sims[active]).argmax(1)
+        done[active, best] = True
+        neighbours = graph[ids[active, best]]
+        fresh = (neighbours >= 0) & ~seen[active[:, None], neighbours]
+        rows = np.repeat(np.arange(len(active)), fresh.sum(1))
+        seen[active[rows], neighbours[fresh]] = True
+        cosines = np.full(neighbours.shape, -3.0)
+        cosines[fresh] = np.einsum("ij,ij->i", queries[active[rows]], x[neighbours[fresh]])
+        if met:
+            met(active[rows], neighbours[fresh], cosines[fresh])
+        all_ids = np.concatenate([ids[active], np.where(fresh, neighbours, -1)], 1)
+        all_sims = np.concatenate([sims[active], cosines], 1)
+        all_done = np.concatenate([done[active], ~fresh], 1)
+        top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+        ids[active], sims[active], done[active] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
+        active = active[~done[active].all(1)]
+    return ids, seen
 
-    Candidates of a vertex are its `beam` nearest and a few far ones. The nearest is kept and candidates that are alpha
-    times closer to it than to the vertex are dropped, until `degree` are kept; edges are then made to run both ways. A hub
-    keeps its nearest 2 * degree; each of these takes over up to `degree` of the others, and so on down.
-    """
-    n = len(x)
-    if n < 2:
-        return np.full((n, 1), -1)
-    s = x @ x.T
-    np.fill_diagonal(s, -2.0)
-    beam = min(beam, n - 1)
-    rng = np.random.default_rng(n)
-    kept = np.full((n, degree), -1)
-    for i in range(0, n, 256):
-        rows = np.arange(i, min(n, i + 256))
-        near = np.argpartition(-s[rows], beam - 1, axis=1)[:, :beam]
-        c = np.concatenate([near, rng.integers(0, n, (len(rows), 8))], axis=1)
-        own = 1 - np.take_along_axis(s[rows], c, 1)
-        alive = own < 2.9  # not the vertex itself
-        between = 1 - s[c[:, :, None], c[:, None, :]]
-        between[c[:, :, None] == c[:, None, :]] = 0.0
-        for k in range(degree):
-            pick = np.where(alive, own, np.inf).argmin(1)
-            some = alive.any(1)
-            kept[rows[some], k] = c[some, pick[some]]
-            alive &= alpha * between[np.arange(len(rows)), pick] > own
-    a, b = np.nonzero(kept >= 0)[0], kept[kept >= 0]
-    a, b = np.concatenate([a, b]), np.concatenate([b, a])
-    key = np.unique(a * n + b)
-    a, b = key // n, key % n
-    order = np.lexsort((-s[a, b], a))
+
+def _adjacency(n: int, a: np.ndarray, b: np.ndarray, cosines: np.ndarray, most: int, spread: int) -> np.ndarray:
+    """Rows of neighbours, -1 where there are fewer, of edges a -> b. A hub keeps its nearest `most`; each of these takes
+    over up to `spread` of the others, so that what a hub can't keep stays in reach."""
+    order = np.lexsort((-cosines, a))
     a, b = a[order], b[order]
     head = np.searchsorted(a, a)
     place = np.arange(len(a)) - head
-    over = np.nonzero(place >= 2 * degree)[0]
-    # what a hub can't keep stays in reach through what it keeps
-    parent = b[head[over] + (place[over] - 2 * degree) // degree]
-    key = np.unique(np.concatenate([(a * n + b)[place < 2 * degree], parent * n + b[over]]))
+    over = np.nonzero(place >= most)[0]
+    parent = b[head[over] + (place[over] - most) // spread]
+    key = np.unique(np.concatenate([(a * n + b)[place < most], parent * n + b[over]]))
     a, b = key // n, key % n
     place = np.arange(len(a)) - np.searchsorted(a, a)
     out = np.full((n, int(place.max(initial=0)) + 1), -1)
@@ -107,44 +110,64 @@ def robust_prune(x: np.ndarray, degree: int = 24, beam: int = 64, alpha: float =
     return out
 
 
+def robust_prune(x: np.ndarray, degree: int = 24, beam: int = 48, alpha: float = 1.2, batch: int = 256) -> np.ndarray:
+    """Adjacency of a flat graph over unit vectors: rows of neighbours, -1 where there are fewer.
+
+    Vertices come batch by batch, in a random order, onto a sparse random graph. A vertex's candidates are what a greedy
+    search for it meets nearest and its neighbours so far. The nearest is kept and candidates that are alpha times closer
+    to it than to the vertex are dropped, until `degree` are kept; edges are made to run both ways after each batch.
+    """
+    n = len(x)
+    if n < 2:
+        return np.full((n, 1), -1)
+    rng = np.random.default_rng(n)
+    medoid = int((x @ x.mean(0)).argmax())
+    order = rng.permutation(n)
+    first = rng.integers(0, n, (n, 6))
+    a, b = np.repeat(np.arange(n), 6), first.ravel()
+    a, b = a[a != b], b[a != b]
+    graph = _adjacency(n, np.concatenate([a, b]), np.concatenate([b, a]), np.zeros(2 * len(a)), 2 * degree, degree)
+    for i in range(0, n, batch):
+        rows = order[i : i + batch]
+        near, _ = greedy(x, graph, medoid, x[rows], min(beam, n))
+        c = np.concatenate([near, graph[rows]], axis=1)
+        c = np.sort(c, axis=1)
+        alive = (c >= 0) & (c != rows[:, None]) & np.concatenate([np.ones((len(rows), 1), bool), c[:, 1:] != c[:, :-1]], 1)
+        vectors = x[np.maximum(c, 0)]
+        own = 1 - np.einsum("ikd,id->ik", vectors, x[rows])
+        kept = np.full((len(rows), degree), -1)
+        for k in range(degree):
+            some = np.nonzero(alive.any(1))[0]
+            if not len(some):
+                break
+            pick = np.where(alive[some], own[some], np.inf).argmin(1)
+            kept[some, k] = c[some, pick]
+            between = 1 - np.einsum("ikd,id->ik", vectors[some], vectors[some, pick])
+            alive[some] &= alpha * between > own[some]
+            alive[some, pick] = False
+        graph[rows] = -1
+        a, b = np.nonzero(graph >= 0)[0], graph[graph >= 0]
+        at, to = rows[np.nonzero(kept >= 0)[0]], kept[kept >= 0]
+        key = np.unique(np.concatenate([a * n + b, at * n + to, to * n + at]))
+        a, b = key // n, key % n
+        graph = _adjacency(n, a, b, np.einsum("ij,ij->i", x[a], x[b]), 2 * degree, degree)
+    return graph
+
+
 def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float = LEAST, beam: int = 48, slack: float = 0.06) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, vertex) with a cosine of at least `least` that a walk over the graph finds, for all queries side by
     side: greedy with a beam from the medoid, then through every vertex within the range and a little more."""
     n, q = len(x), len(queries)
     if not n or not q:
         return np.zeros(0, int), np.zeros(0, int)
-    seen = np.zeros((q, n), bool)
-    medoid = int((x @ x.mean(0)).argmax())
-    seen[:, medoid] = True
-    ids = np.full((q, beam), -1)
-    sims = np.full((q, beam), -3.0)
-    done = np.ones((q, beam), bool)
-    ids[:, 0], sims[:, 0], done[:, 0] = medoid, queries @ x[medoid], False
     hits_q, hits_v = [], []
 
-    def found(rows, vertices, cosines):
+    def met(rows, vertices, cosines):
         near = cosines >= least - slack
         hits_q.append(rows[near])
         hits_v.append(vertices[near])
 
-    found(np.arange(q), np.full(q, medoid), sims[:, 0])
-    active = np.arange(q)
-    while len(active):
-        best = np.where(done[active], -3.0, sims[active]).argmax(1)
-        done[active, best] = True
-        neighbours = graph[ids[active, best]]
-        fresh = (neighbours >= 0) & ~seen[active[:, None], neighbours]
-        seen[np.repeat(active, fresh.sum(1)), neighbours[fresh]] = True
-        cosines = np.full(neighbours.shape, -3.0)
-        rows = np.repeat(np.arange(len(active)), fresh.sum(1))
-        cosines[fresh] = np.einsum("ij,ij->i", queries[active[rows]], x[neighbours[fresh]])
-        found(active[rows], neighbours[fresh], cosines[fresh])
-        all_ids = np.concatenate([ids[active], np.where(fresh, neighbours, -1)], 1)
-        all_sims = np.concatenate([sims[active], cosines], 1)
-        all_done = np.concatenate([done[active], ~fresh], 1)
-        top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-        ids[active], sims[active], done[active] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
-        active = active[~done[active].all(1)]
+    _, seen = greedy(x, graph, int((x @ x.mean(0)).argmax()), queries, beam, met)
     rows, vertices = np.concatenate(hits_q), np.concatenate(hits_v)
     out_q, out_v = [rows], [vertices]
     while len(rows):  # the range expands until nothing new is in it
@@ -185,11 +208,68 @@ def _stack(units: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
 
 
-def links(distinct: DataFrame, least: float = LEAST, shard_rows: int = 1500, overlap: int = 3, most_rows: int = 3000, sample: int = 20_000, most_centres: int = 4096) -> DataFrame:
+def _fitted(members: DataFrame, most_rows: int, overlap: int, least: float, fan: int = 64, sample: int = 4000) -> DataFrame:
+    """(shard, fitted): centres of shards of members (shard, home, node, weight, unit, rows) that are too large, from up to
+    about `sample` members each. A shard that centres don't divide, or that they would cut links of, a dense cluster, isn't
+    there."""
+    some = members.where(F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("rows") / sample)) == 0)
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        k = int(min(fan, max(8, 2 * frame["rows"].iloc[0] // most_rows)))
+        x = _stack(frame.sort_values("node")["unit"])
+        c = centres(x, k)
+        near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
+        a, b = np.nonzero(x[:1000] @ x[:1000].T >= least)
+        together = (near[b] == near[a, :1]).any(1).mean()  # where b stands in a's home
+        divides = np.bincount(near.ravel()).max() <= 0.7 * len(x) and together >= 0.99
+        return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "fitted": [c.tobytes()]})[: int(divides)]
+
+    return some.groupBy("shard").applyInPandas(fit, "shard long, fitted binary")
+
+
+def _split(members: DataFrame, fitted: DataFrame, overlap: int) -> DataFrame:
+    """members (shard, home, node, weight, unit, rows) in the smaller shards of their shard's centres, fitted.
+
+    A shard's members are dealt over several tasks, and its centres go to each of them, ahead of the members.
+    """
+    dealt = F.ceil(F.col("rows") / 20_000)
+    heads = fitted.join(members.select("shard", dealt.alias("tasks")).distinct(), "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), "fitted")
+    rows = members.select("shard", F.pmod(F.xxhash64("node"), dealt).alias("task"), F.lit(None).cast("binary").alias("fitted"), "home", "node", "weight", "unit")
+    both = heads.select("shard", "task", "fitted", F.lit(None).cast("boolean").alias("home"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("weight"), F.lit(None).cast("binary").alias("unit")).unionByName(rows)
+    sorted_ = both.repartition("shard", "task").sortWithinPartitions("shard", "task", F.col("fitted").isNull())
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        c, shard = None, None
+        for batch in batches:
+            heads = np.nonzero(batch.column("fitted").is_valid().to_numpy(zero_copy_only=False))[0].tolist()
+            for begin, end in zip([0, *heads], [*heads, batch.num_rows]):
+                if begin in heads and begin < end:
+                    shard, c = batch.column("shard")[begin].as_py(), np.frombuffer(batch.column("fitted")[begin].as_py(), np.float64)
+                    begin += 1
+                if begin < end:
+                    part = batch.slice(begin, end - begin)  # without a head, so without nulls
+                    units = part.column("unit").to_pandas()
+                    x = _stack(units)
+                    table = c.reshape(-1, x.shape[1])
+                    near = np.argsort(-(x @ table.T), axis=1, kind="stable")[:, : min(overlap, len(table))]
+                    at = np.repeat(np.arange(len(x)), near.shape[1])
+                    first = np.tile(np.arange(near.shape[1]) == 0, len(x))
+                    name = np.array([hash((shard, j)) for j in range(len(table))], np.int64)[near.ravel()]
+                    home = part.column("home").to_numpy(zero_copy_only=False)[at] & first
+                    yield pd.DataFrame({"shard": name, "home": home, "node": part.column("node").to_numpy()[at], "weight": part.column("weight").to_numpy()[at], "unit": units.to_numpy()[at]})
+
+    return sorted_.mapInArrow(lambda batches: (pa.RecordBatch.from_pandas(f, schema=MEMBER, preserve_index=False) for f in assign(batches)), "shard long, home boolean, node long, weight long, unit binary")
+
+
+MEMBER = pa.schema([("shard", pa.int64()), ("home", pa.bool_()), ("node", pa.int64()), ("weight", pa.int64()), ("unit", pa.binary())])
+
+
+def links(distinct: DataFrame, least: float = LEAST, shard_rows: int = 1500, overlap: int = 3, most_rows: int = 3000, sample: int = 20_000, most_centres: int = 512, levels: int = 8) -> DataFrame:
     """Links among distinct vectors (node, unit, weight): rows (a, b, n). Rows with a null b give the weight n of the
     vectors that a links with; the others are edges that join what is linked.
 
-    Centres are fitted on a bounded sample; every vector is indexed and searched. A shard with over most_rows members is
+    Centres are fitted on a bounded sample; every vector is indexed and searched. Shards with over most_rows members are
+    split by centres of their own, up to `levels` times. What is still too large then, which no centres tell apart, is
     dealt into blocks, each with a graph of its own, and each block's queries visit all of the shard's blocks.
     """
     spark = distinct.sparkSession
@@ -221,8 +301,22 @@ def links(distinct: DataFrame, least: float = LEAST, shard_rows: int = 1500, ove
                 yield pd.DataFrame({"shard": near.ravel() + first[width], "home": np.tile(np.arange(some) == 0, len(part)), "node": part["node"].to_numpy()[at], "weight": part["weight"].to_numpy()[at], "unit": part["unit"].to_numpy()[at]})
 
     members = written(distinct.mapInPandas(assign, "shard long, home boolean, node long, weight long, unit binary"))
-    sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / most_rows).alias("blocks"))
-    members = members.join(F.broadcast(sizes), "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    settled = None
+    for _ in range(levels):
+        sizes = written(members.groupBy("shard").agg(F.count("*").alias("rows")))
+        if sizes.where(F.col("rows") > most_rows).isEmpty():
+            break
+        sized = members.join(sizes, "shard")
+        fitted = written(_fitted(sized.where(F.col("rows") > most_rows), most_rows, 2, least))
+        named = fitted.select("shard")
+        rest = written(sized.join(named, "shard", "left_anti").drop("rows"))
+        settled = rest if settled is None else settled.unionByName(rest)
+        members = written(_split(sized.join(named, "shard", "left_semi"), fitted, 2))
+    members = members if settled is None else settled.unionByName(members)
+    # a vector may come to one small shard by two ways
+    members = written(members.groupBy("shard", "node").agg(F.max("home").alias("home"), F.first("weight").alias("weight"), F.first("unit").alias("unit")))
+    sizes = written(members.groupBy("shard").agg(F.ceil(F.count("*") / most_rows).alias("blocks")))
+    members = members.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, extract, mixing, neighbours, ogg, pitman_yor, simhash, suffix, toxicity, urlfilter
+from ledgerline.llm.common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +61,10 @@ def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate links and components of all embeddings."""
-    return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    """Near-duplicate links and components of all embeddings, and the recall that an audit of them measures."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = written(neighbours.near_duplicates(vectors))
+    return found.withColumn("audit_recall", F.lit(neighbours.audit(vectors, found)))
 
 
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,6 +370,19 @@ def test_seating_follows_the_restaurant():
 # 7
 
 
+def test_greedy_search_finds_what_is_near():
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(40, 24))
+    x = np.concatenate([m + rng.normal(size=(30, 24)) * 0.25 for m in middle])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = neighbours.robust_prune(x)
+    assert (graph >= 0).sum(1).max() < 200 and (graph >= 0).sum(1).min() > 0
+    cosine = x @ x.T
+    want = {(i, j) for i, j in zip(*np.nonzero(cosine >= 0.8))}
+    got = set(zip(*(a.tolist() for a in neighbours.range_search(x, graph, x, 0.8))))
+    assert got <= want and len(got) > 0.97 * len(want)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(300, 16))
@@ -389,8 +402,9 @@ def test_vectors(spark):
     found = neighbours.near_duplicates(df)
     assert bag(found.collect()) == want
     assert neighbours.audit(df, found) > 0.99
-    small = neighbours.near_duplicates(df, shard_rows=40, most_rows=60)
-    assert sum(r["n_links"] for r in small.collect()) >= 0.9 * sum(len(ks) for ks in links)
+    for index in ({"shard_rows": 40, "most_rows": 60}, {"shard_rows": 40, "most_rows": 60, "most_centres": 2}, {"shard_rows": 40, "most_rows": 30, "levels": 0}):
+        small = neighbours.near_duplicates(df, **index)
+        assert sum(r["n_links"] for r in small.collect()) >= 0.9 * sum(len(ks) for ks in links)
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
