@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.durable import checkpointed, scratch_path, written
+from ledgerline.durable import checkpointed, discard, scratch_path, written
 
-__all__ = ["WORD", "checkpointed", "components", "fold", "scratch_path", "written"]
+__all__ = ["WORD", "checkpointed", "components", "discard", "fold", "scratch_path", "written"]
 
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,7 +33,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = written(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+        last, now = now, written(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+        discard(last)
         state = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h"), F.sum(F.expr("xxhash64(a, b) % 1000003")).alias("s")).first()
         if state == before:
             break

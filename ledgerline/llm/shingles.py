@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import simhash
-from ledgerline.llm.common import components, written
+from ledgerline.llm.common import components, discard, written
 from ledgerline.llm.pitman_yor import token_hashes
 
 SEED = 42
@@ -163,7 +163,9 @@ def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(BOTTOM * shared >= TOP * (len(own[x]) + len(own[y]) - shared))
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long"))
+    found = written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long"))
+    discard(one, texts)
+    return found
 
 
 def _neighbours(rows: DataFrame, by: str) -> DataFrame:
@@ -230,7 +232,7 @@ def _candidates(lists: DataFrame, known: DataFrame, kinds: DataFrame) -> DataFra
     that they share."""
     rows = written(lists.join(known.select(F.col("node").alias("k"), "component"), "k", "left").select("g", "k", "n", "at", F.coalesce("component", "k").alias("c")))
     mixed = written(rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low < high").select("g", "rows"))
-    rows = written(rows.join(mixed, "g"))
+    labelled, rows = rows, written(rows.join(mixed, "g"))
     long = rows.where(F.col("rows") > LONG).select("g", "k", "n", "c", "rows")
     met_long = _blocks(long.join(kinds.select("k", "bits"), "k"))
     short = rows.where(F.col("rows") <= LONG)
@@ -242,7 +244,9 @@ def _candidates(lists: DataFrame, known: DataFrame, kinds: DataFrame) -> DataFra
     first = lambda n: f"({n} - ceil({n} * {TOP} / {BOTTOM}) + 1)"
     differing = f"i + j - 2 * shared + least({first('n_a')} - i, {first('n_b')} - j)"
     whole = written(met.where(f"({TOP} + {BOTTOM}) * ({differing}) <= ({BOTTOM} - {TOP}) * (n_a + n_b)").selectExpr("k_a AS a", "k_b AS b"))
-    return written(whole.union(met_long).distinct())
+    found = written(whole.union(met_long).distinct())
+    discard(labelled, rows, mixed, whole)
+    return found
 
 
 def linked(kinds: DataFrame, docs: DataFrame) -> DataFrame:
@@ -256,6 +260,7 @@ def linked(kinds: DataFrame, docs: DataFrame) -> DataFrame:
     across = simhash.edges(prints).distinct().join(end("a"), "a").join(end("b"), "b").select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"))
     quick = _verified(written(across.union(_neighbours(prints, "fp")).union(_neighbours(lists, "g")).union(_hubs(lists, kinds)).distinct()), kinds, docs)
     rest = _verified(_candidates(lists, components(quick), kinds), kinds, docs)
+    discard(lists, prints)
     return components(quick.union(rest))
 
 
@@ -270,6 +275,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")).alias("first")
     kinds = sets.groupBy("k").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("late").alias("late"), F.min("bits").alias("bits"), F.min("first").alias("shared"))
     kinds = written(kinds.select("k", "fp", "n", "late", "bits", F.col("shared").alias("first"), F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("first_t")))
+    discard(sets)
     labels = kinds.select("k", "first_id", "first_t").join(linked(kinds, docs).select(F.col("node").alias("k"), "component"), "k", "left")
     row = F.struct(F.col("first_id").isNull().alias("without"), F.col("first_id").alias("doc_id"), F.col("first_t").alias("t"))
     return simhash.rows_of(docs, labels.groupBy(F.coalesce("component", "k").alias("component")).agg(F.min(row).alias("first")))

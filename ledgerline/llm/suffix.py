@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ledgerline.llm.common import written
+from ledgerline.llm.common import discard, written
 
 LENGTH, GRAM = 200, 50
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -261,6 +261,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows
     # the smaller sides of joins are written first, so that adaptive execution can split a hot key of the larger
     again = written(marked.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
     candidates = written(marked.join(again, "gram"))
+    discard(again)
 
     kinds = written(candidates.groupBy("gram", "around").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "t", "at", "back", "ahead")).alias("one")))
     shared = kinds.where("n > 1").select("gram", "around")
