@@ -303,6 +303,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows
             out.append(pd.DataFrame({"doc": part["doc"].to_numpy()[hit], "t": part["t"].to_numpy()[hit], "begin": at - last[hit], "end": at - first[hit] + length}))
         return pd.concat(out)
 
+    discard(open_)
+    used = [candidates, kinds, texts]
+
+    def settled(found: DataFrame) -> DataFrame:
+        """found written, so that what it was made from can go."""
+        out = written(found)
+        discard(*used)
+        return out
+
     found, cut, width = done, texts.select("*", F.lit(0).alias("low"), F.lit(reach).alias("high")), reach // 2 + 1
     while True:
         # each mark for every range of starts that it has; a core's bytes are there wherever one of the range's starts is
@@ -312,20 +321,22 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows
         core = F.xxhash64("low", F.expr(f"substring(bytes, back - low + 1, low + {length} - high)"))
         keys = written(ranged.select("doc", "t", "at", "n", "low", "high", core.alias("core")))
         sizes = written(keys.groupBy("core").agg(F.count("*").alias("rows"), F.min("n").alias("least")).where("rows > 1 AND least = 1").select("core", "rows"))
+        used += [keys, sizes]
         most = sizes.agg(F.max("rows").alias("most"), F.sum("rows").alias("rows")).first()
         if not most["rows"]:
-            return found
+            return settled(found)
         ready = keys.join(sizes, "core").select("doc", "t", "at", "low", "high", "core", "rows")
         some = ready.where(F.col("rows") <= bucket_rows).join(texts, ["doc", "t", "at"])
         buckets = max(1, int(most["rows"]) // bucket_rows)
         found = found.unionByName(some.groupBy(F.pmod("core", F.lit(buckets)).alias("bucket")).applyInPandas(search, "doc long, t long, begin long, end long"))
         if most["most"] <= bucket_rows:
-            return found
+            return settled(found)
         large = ready.where(F.col("rows") > bucket_rows)
         if width == 1:  # a core is a whole string here: its marks share it
             alike = large.join(texts.where("n = 1").select("doc", "t", "at"), ["doc", "t", "at"])
-            return found.unionByName(alike.selectExpr("doc", "t", "CAST(at - low AS bigint) AS begin", f"CAST(at - low + {length} AS bigint) AS end"))
+            return settled(found.unionByName(alike.selectExpr("doc", "t", "CAST(at - low AS bigint) AS begin", f"CAST(at - low + {length} AS bigint) AS end")))
         cut, width = written(large.select("doc", "t", "at", "low", "high").join(texts, ["doc", "t", "at"])), max(1, width // 4)
+        used.append(cut)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
