@@ -350,21 +350,90 @@ def test_language_model_without_training_rows(spark):
     assert pitman_yor.score(docs.limit(0)).count() == 0
 
 
-def test_seating_follows_the_restaurant():
+def seatings(n):
+    """Every way of seating n customers: the sizes of the tables."""
+    if n == 0:
+        yield []
+        return
+    for sizes in seatings(n - 1):
+        for k in range(len(sizes)):
+            yield sizes[:k] + [sizes[k] + 1] + sizes[k + 1 :]
+        yield [*sizes, 1]
+
+
+@pytest.mark.parametrize("discount, new", [(0.3, 0.05), (0.3, 6.0), (0.7, 0.7), (0.9, 2.0)])
+def test_seating_follows_the_restaurant(discount, new, monkeypatch):
     rng = np.random.default_rng(0)
-    for n in (2, 5, 40):
-        tables = pitman_yor.seat(np.full(20_000, n), np.full(20_000, 0.7), 0.5, rng)
-        expected, state = {1: 1.0}, None
-        for i in range(1, n):  # the distribution of tables after each customer
-            state = collections.Counter()
-            for t, p in expected.items():
-                new = 0.7 / (0.7 + i - 0.5 * t)
-                state[t + 1] += p * new
-                state[t] += p * (1 - new)
-            expected = state
-        mean = sum(t * p for t, p in expected.items())
-        # seating anew given the others leans to what the whole seating likes, so only the order of size is held here
-        assert abs(tables.mean() - mean) < 0.35 * mean and tables.min() >= 1 and tables.max() <= n
+    for n in (1, 2, 5, 7):  # every seating, weighed by its tables
+        law = collections.Counter()
+        for sizes in seatings(n):
+            law[len(sizes)] += math.prod(math.prod(j - discount for j in range(1, k)) for k in sizes) * new ** len(sizes)
+        drawn = collections.Counter(pitman_yor.seat(np.full(40_000, n), np.full(40_000, new), discount, rng).tolist())
+        for t, weight in law.items():
+            p = weight / sum(law.values())
+            assert abs(drawn[t] / 40_000 - p) < 5 * math.sqrt(p * (1 - p) / 40_000) + 1e-9
+    # parties beyond the tabulated numbers
+    for n, weight in ((100, new), (128, new * 20)):
+        p = pitman_yor.log_stirling(discount)[n, 1 : n + 1] + math.log(weight) * np.arange(1, n + 1)
+        p = np.exp(p - p.max())
+        p /= p.sum()
+        mean = (p * np.arange(1, n + 1)).sum()
+        spread = math.sqrt((p * np.arange(1, n + 1) ** 2).sum() - mean**2)
+        with monkeypatch.context() as m:
+            m.setattr(pitman_yor, "EXACT", 50)
+            t = pitman_yor.seat(np.full(40_000, n), np.full(40_000, weight), discount, rng)
+        assert abs(t.mean() - mean) < 0.1 + 0.06 * mean and abs(t.std() - spread) < 0.1 + 0.12 * spread
+    assert pitman_yor.seat(np.array([0, 10**12]), np.full(2, 0.5), discount, rng)[0] == 0
+
+
+def test_probabilities_of_every_context_add_up_to_one():
+    texts_ = [b"a b a b c", b"a b d", b"", b"c c c c c c c", b"a b a b c", b"e"]
+    none = np.zeros(0, np.uint64)
+    hashes, doc = pitman_yor.token_hashes(texts_)
+    two, one = pitman_yor.contexts(hashes, doc, none, pitman_yor.Hot(none, none, none, none))
+    start = int(pitman_yor.START)
+    assert [int(x) for x in one[:2]] == [start, int(hashes[0])] and [int(x) for x in two[:3]] == [start, start, int(hashes[0])]
+    kinds = np.unique(np.concatenate((hashes, one, two)))
+    places = [np.searchsorted(kinds, x) for x in (two, one, hashes)]
+    own = pitman_yor.Part([pitman_yor.pack(*places, np.ones(len(doc), np.int64), doc, kinds)])
+    words, count, customers = own.counts()
+    assert count.sum() == len(hashes) and own.n3.sum() == len(hashes)
+    state = pitman_yor.State(int(count.sum()), len(words), int(customers.sum()), len(words), (0.6, 0.7, 0.8))
+    settings = pitman_yor.Settings()
+    p1 = state.probability(customers, np.ones(len(words), np.int64), settings.strengths[0])
+    unknown = state.probability(np.zeros(1, np.int64), np.zeros(1, np.int64), settings.strengths[0])
+    assert abs(p1.sum() + unknown[0] - 1) < 1e-12
+    own.known(words, p1)
+    rng = np.random.default_rng(4)
+    models = []
+    for _ in range(3):
+        own.sweep(state, settings, rng)
+        assert (own.t3 <= own.n3).all() and (own.t3 >= 1).all() and (own.t2 <= own.n2).all() and (own.t2 >= 1).all()
+        models.append(own.predictive(state, settings))
+    token, p = np.append(words, np.uint64(99)), np.append(p1, unknown)
+    for x, y in {*zip(two.tolist(), one.tolist()), (5, int(one[1])), (5, 6)}:
+        every = own.probability(models, np.full(len(token), x, np.uint64), np.full(len(token), y, np.uint64), token, p)
+        assert abs(every.sum() - 1) < 1e-9 and every.min() > 0
+
+
+def test_many_parts_and_common_contexts(spark, documents):
+    rows = documents.select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, "same " * 300) for i in range(60)], "doc_id long, text string"))
+    whole = {r["doc_id"]: r for r in pitman_yor.score(rows).collect()}
+    parts = {r["doc_id"]: r for r in pitman_yor.score(rows, part_bytes=200_000).collect()}
+    assert whole.keys() == parts.keys()
+    for i, r in whole.items():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (parts[i]["n_tokens"], parts[i]["n_known"], parts[i]["train_tokens"])
+        assert abs(r["base_score"] - parts[i]["base_score"]) < 1e-6 * abs(r["base_score"])
+    assert abs(sum(r["score"] for r in whole.values()) / sum(r["score"] for r in parts.values()) - 1) < 0.02
+
+
+def test_copies_are_told_apart(documents):
+    again = documents.select((F.col("doc_id") + 50_000).alias("doc_id"), "text").where(F.pmod("doc_id", F.lit(10)) == 0)
+    got = pitman_yor.score(documents.select("doc_id", "text").union(again)).where("n_tokens > 30").collect()
+    ids = {r["doc_id"] - 50_000 for r in got}
+    rate = lambda rows: np.array([r["score"] / r["n_tokens"] for r in rows])
+    twice, once = rate([r for r in got if not r["held_out"] and r["doc_id"] in ids]), rate([r for r in got if not r["held_out"] and r["doc_id"] < 50_000 and r["doc_id"] not in ids])
+    assert np.median(twice) > np.median(once)
 
 
 # 7
