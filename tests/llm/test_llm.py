@@ -8,7 +8,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pandas as pd
 import pytest
+import zstandard
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -393,23 +395,26 @@ def test_probabilities_of_every_context_add_up_to_one():
     two, one = pitman_yor.contexts(hashes, doc, none, pitman_yor.Hot(none, none, none, none))
     start = int(pitman_yor.START)
     assert [int(x) for x in one[:2]] == [start, int(hashes[0])] and [int(x) for x in two[:3]] == [start, start, int(hashes[0])]
-    kinds = np.unique(np.concatenate((hashes, one, two)))
-    places = [np.searchsorted(kinds, x) for x in (two, one, hashes)]
-    own = pitman_yor.Part([pitman_yor.pack(*places, np.ones(len(doc), np.int64), doc, kinds)])
-    words, count, customers = own.counts()
-    assert count.sum() == len(hashes) and own.n3.sum() == len(hashes)
-    state = pitman_yor.State(int(count.sum()), len(words), int(customers.sum()), len(words), (0.6, 0.7, 0.8))
+    kinds, (token, before, second) = pitman_yor.places(hashes, one, two)
+    assert (kinds[token] == hashes).all() and (kinds[before] == one).all() and (kinds[second] == two).all()
+    own = pitman_yor.Part([pitman_yor.pack(second, before, token, np.ones(len(doc), np.int64), doc, kinds)])
+    assert own.n3.sum() == len(hashes)
+    pairs = pitman_yor.pack(second[:0], before, token, np.ones(len(doc), np.int64), doc[:0], kinds)
+    [[words, count, customers]] = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint64).reshape(3, -1) for b in pitman_yor.asked(pd.DataFrame({"part": [0], "train": [True], "blob": [pairs]}), 1)["words"]]
+    assert dict(zip(words.tolist(), count.tolist())) == collections.Counter(hashes.tolist())
+    assert dict(zip(words.tolist(), customers.tolist())) == collections.Counter(w for _, w in {*zip(one.tolist(), hashes.tolist())})
+    state = pitman_yor.State(int(count.sum()), len(words), int(customers.sum()), len(words), 0.6)
     settings = pitman_yor.Settings()
-    p1 = state.probability(customers, np.ones(len(words), np.int64), settings.strengths[0])
+    p1 = state.probability(customers.astype(np.int64), np.ones(len(words), np.int64), settings.strengths[0])
     unknown = state.probability(np.zeros(1, np.int64), np.zeros(1, np.int64), settings.strengths[0])
     assert abs(p1.sum() + unknown[0] - 1) < 1e-12
     own.known(words, p1)
     rng = np.random.default_rng(4)
     models = []
     for _ in range(3):
-        own.sweep(state, settings, rng)
+        own.sweep(settings, rng)
         assert (own.t3 <= own.n3).all() and (own.t3 >= 1).all() and (own.t2 <= own.n2).all() and (own.t2 >= 1).all()
-        models.append(own.predictive(state, settings))
+        models.append(own.predictive(settings))
     token, p = np.append(words, np.uint64(99)), np.append(p1, unknown)
     for x, y in {*zip(two.tolist(), one.tolist()), (5, int(one[1])), (5, 6)}:
         every = own.probability(models, np.full(len(token), x, np.uint64), np.full(len(token), y, np.uint64), token, p)
