@@ -144,8 +144,26 @@ def _lists(kinds: DataFrame) -> DataFrame:
     return rows.repartitionByRange("g", "n", "k").sortWithinPartitions("g", "n", "k").mapInArrow(repeated, "g long, k long, n int, at int")
 
 
+def _near(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets of kinds (k, n, bits) that can be similar enough by their sizes and sketches: no pair that
+    is gets lost, as sets differ in no fewer shingles than their sketches differ in bits."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches, 4096):
+            n = part.column("n_a").to_numpy().astype(np.int64) + part.column("n_b").to_numpy()
+            bits = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(len(n), -1) for c in ("bits_a", "bits_b")]
+            differing = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+            yield part.select(["a", "b"]).filter(pa.array((TOP + BOTTOM) * differing <= (BOTTOM - TOP) * n))
+
+    side = lambda c: kinds.select(F.col("k").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{BOTTOM} * least(n_a, n_b) >= {TOP} * greatest(n_a, n_b)")
+    return sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(near, "a long, b long")
+
+
 def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets of kinds (k, first_id, first_t) whose similarity is high enough, by their texts."""
+    """The pairs (a, b) of sets of kinds (k, n, bits, first_id, first_t) whose similarity is high enough, by their texts.
+    Texts are fetched only for pairs that their sketches leave open."""
+    pairs = written(_near(pairs, kinds))
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     one = written(kinds.join(wanted, "k", "left_semi").select("k", "first_id", "first_t"))
     keyed = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("first_t"))
@@ -164,7 +182,7 @@ def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     found = written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long"))
-    discard(one, texts)
+    discard(pairs, one, texts)
     return found
 
 
