@@ -144,6 +144,14 @@ def _lists(kinds: DataFrame) -> DataFrame:
     return rows.repartitionByRange("g", "n", "k").sortWithinPartitions("g", "n", "k").mapInArrow(repeated, "g long, k long, n int, at int")
 
 
+def _alike(lists: DataFrame) -> DataFrame:
+    """(g, k, n, at, times) from lists (g, k, n, at): lists of the same sets, as the shingles of one passage have, become
+    one, told by a 64-bit hash of its sets. times counts the shingles, at is the last one's place."""
+    same = lists.groupBy("g").agg(F.expr("bit_xor(xxhash64(k))").alias("same"))
+    rows = lists.join(same, "g").groupBy("same", "k").agg(F.min("n").alias("n"), F.max("at").alias("at"), F.count("*").alias("times"))
+    return rows.withColumnRenamed("same", "g")
+
+
 def _near(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets of kinds (k, n, bits) that can be similar enough by their sizes and sketches: no pair that
     is gets lost, as sets differ in no fewer shingles than their sketches differ in bits."""
@@ -246,17 +254,17 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(lists: DataFrame, known: DataFrame, kinds: DataFrame) -> DataFrame:
-    """All pairs (a, b) of sets of different components that can be similar enough, by the shingles of lists (g, k, n, at)
-    that they share."""
-    rows = written(lists.join(known.select(F.col("node").alias("k"), "component"), "k", "left").select("g", "k", "n", "at", F.coalesce("component", "k").alias("c")))
+    """All pairs (a, b) of sets of different components that can be similar enough, by the shingles of lists
+    (g, k, n, at, times) that they share."""
+    rows = written(lists.join(known.select(F.col("node").alias("k"), "component"), "k", "left").select("g", "k", "n", "at", "times", F.coalesce("component", "k").alias("c")))
     mixed = written(rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low < high").select("g", "rows"))
     labelled, rows = rows, written(rows.join(mixed, "g"))
     long = rows.where(F.col("rows") > LONG).select("g", "k", "n", "c", "rows")
     met_long = _blocks(long.join(kinds.select("k", "bits"), "k"))
     short = rows.where(F.col("rows") <= LONG)
-    side = lambda s: [F.col(x).alias(f"{x}_{s}") for x in ("k", "n", "at", "c")]
+    side = lambda s: [F.col(x).alias(f"{x}_{s}") for x in ("k", "n", "at", "times", "c")]
     both = short.select("g", *side("a")).join(short.select("g", *side("b")), "g").where(f"k_a < k_b AND c_a <> c_b AND {BOTTOM} * least(n_a, n_b) >= {TOP} * greatest(n_a, n_b)")
-    met = both.groupBy("k_a", "k_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("at_a").alias("i"), F.max("at_b").alias("j"))
+    met = both.groupBy("k_a", "k_b", "n_a", "n_b").agg(F.sum("times_a").alias("shared"), F.max("at_a").alias("i"), F.max("at_b").alias("j"))
     # of what comes up to the last shared one all else differs, but for what stands in long lists, and so does what is left
     # of one of the two beginnings
     first = lambda n: f"({n} - ceil({n} * {TOP} / {BOTTOM}) + 1)"
@@ -270,7 +278,9 @@ def _candidates(lists: DataFrame, known: DataFrame, kinds: DataFrame) -> DataFra
 def linked(kinds: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of the sets of kinds (k, fp, n, first, first_id, first_t) that have a near copy: components over
     all pairs of similarity 4/5 or more."""
-    lists = written(_lists(kinds))
+    each = written(_lists(kinds))
+    lists = written(_alike(each))
+    discard(each)
     # sets of one fingerprint, and one set for each of two fingerprints that the vantage-point search links
     prints = written(kinds.select("fp", "n", "k"))
     one = prints.groupBy("fp").agg(F.min("k").alias("k"))
