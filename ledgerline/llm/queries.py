@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, extract, mixing, neighbours, ogg, pitman_yor, simhash, suffix, toxicity, urlfilter
+from ledgerline.llm import bpe, chunked_bpe, extract, mixing, negatives, neighbours, ogg, pitman_yor, simhash, suffix, toxicity, urlfilter, whitening
 from ledgerline.llm.common import written
 
 
@@ -84,6 +84,24 @@ def op10_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(pages, chain)
 
 
+def op11_anchor_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, against all vectors; every seventh takes part under the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened along the four leading eigenvectors of their covariance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by ranks and decoded; long ones are pre-tokenised in overlapping chunks."""
+    docs = _table(spark, sf_dir, "documents")
+    return chunked_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "digest", public_tokenizers.PATTERN)
+
+
 OP2_SQL = r"""
 WITH r AS (SELECT page_id, coalesce(CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END, '') AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -146,9 +164,20 @@ FROM p
 """
 
 
+OP11_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_nnpu, op2_url_reputation, op3_ogg_media, op4_simhash_vptree, op5_deep_shallow, op6_pitman_yor, op7_pruned_graph, op8_bpe_automaton, op9_curriculum_mix, op10_crf_extraction)}
+    return {f.__name__: f for f in (op1_toxicity_nnpu, op2_url_reputation, op3_ogg_media, op4_simhash_vptree, op5_deep_shallow, op6_pitman_yor, op7_pruned_graph, op8_bpe_automaton, op9_curriculum_mix, op10_crf_extraction, op11_anchor_tree_negatives, op12_jacobi_davidson, op13_chunked_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_reputation": OP2_SQL, "op9_curriculum_mix": OP9_SQL}
+    return {"op2_url_reputation": OP2_SQL, "op9_curriculum_mix": OP9_SQL, "op11_anchor_tree_negatives": OP11_SQL}
