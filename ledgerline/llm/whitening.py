@@ -61,6 +61,7 @@ def minres(product: Callable[[np.ndarray], np.ndarray], shifts: np.ndarray, agai
                 part = (b * x).sum(0)
                 tall[:, i, m] += part
                 x = x - b * part
+            x = project(x)  # else what rounding leaves of Q grows from step to step
         norm = np.linalg.norm(x, axis=0)
         norm[norm <= 1e-12 * before] = 0  # the space is exhausted: what is left is rounding
         tall[:, m + 1, m] = norm
