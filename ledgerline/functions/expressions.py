@@ -89,7 +89,8 @@ def normalize_heading(x: Column) -> Column:
 def mentions(text: Column, value: Column) -> Column:
     """Whether a text names a value: in quotes or backquotes, or as a whole word by ASCII word boundaries."""
     quoted = F.contains(text, F.concat(F.lit("'"), value, F.lit("'"))) | F.contains(text, F.concat(F.lit('"'), value, F.lit('"'))) | F.contains(text, F.concat(F.lit("`"), value, F.lit("`")))
-    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), value, F.lit(r"\E(?![A-Za-z0-9_])"))
+    literal = F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q"))  # an end of quoting inside of it is put in by hand
+    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), literal, F.lit(r"\E(?![A-Za-z0-9_])"))
     return quoted | (F.contains(text, value) & F.regexp_like(text, pattern))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.durable import written
 from ledgerline.operators.joins import interval_join
+from ledgerline.operators.scans import carried, numbered
 
 
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
@@ -36,26 +37,85 @@ def node_status(reached: DataFrame, nodes: DataFrame, current_db: str, max_depth
     return nodes.join(least, "node", "left").select("node", status.alias("status"))
 
 
+def _spread(labels: DataFrame, steps: DataFrame, rounds: int | None = None) -> DataFrame:
+    """labels (node, label) carried over steps (source, target) until nothing sinks any more: each node has the least label
+    of those that reach it, its own included. Only nodes whose label sank pass it on."""
+    known = written(labels.groupBy("node").agg(F.min("label").alias("label")))
+    moved = known
+    for _ in count() if rounds is None else range(rounds):
+        new = steps.join(moved, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.min("label").alias("new"))
+        after = written(known.join(new, "node", "full").select("node", F.least("label", "new").alias("label"), (F.col("new").isNotNull() & (F.col("label").isNull() | (F.col("new") < F.col("label")))).alias("sank")))
+        known, moved = after.select("node", "label"), after.where("sank").select("node", "label")
+        if moved.isEmpty():
+            return known
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes on cycles of edges (source, target): nodes that reach each other have one component,
+    named by one of them. A node that calls itself alone is on no cycle here. Nodes that only call a cycle, or are only
+    called from one, are left out.
+
+    First nodes that nothing calls or that call nothing are taken off, again and again. Then colours are spread: each node
+    takes the least node that reaches it. What the node that a colour is named by can be reached from within its colour is
+    a component; it is taken off, and the rest begins anew.
+    """
+    left = written(edges.select("source", "target").where("source <> target").distinct())
+    found = None
+    while True:
+        while True:
+            both = left.select(F.col("source").alias("node")).intersect(left.select("target"))
+            kept = written(left.join(both.select(F.col("node").alias("source")), "source", "left_semi").join(both.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target"))
+            same = kept.count() == left.count()
+            left = kept
+            if same:
+                break
+        if left.isEmpty():
+            return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).where("false") if found is None else found
+        nodes = left.select(F.col("source").alias("node")).union(left.select("target")).distinct()
+        colours = _spread(nodes.select("node", F.col("node").alias("label")), left)
+        inside = left.join(colours.select(F.col("node").alias("source"), F.col("label").alias("c")), "source").join(colours.select(F.col("node").alias("target"), "label"), "target").where("c = label").select("source", "target")
+        inside = written(inside)
+        back = inside.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        own = _spread(colours.where("node = label"), back)  # the root's colour goes back to all that reach the root
+        part = written(own.withColumnRenamed("label", "component"))
+        # a colour whose root nothing comes back to is no cycle
+        several = part.groupBy("component").count().where("count > 1").select("component")
+        cycles = part.join(several, "component").select("node", "component")
+        found = cycles if found is None else found.union(cycles)
+        gone = part.select("node")
+        left = written(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
+
+
 def execution_levels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, level, in_cycle): callees first. Level 0 calls nothing; a node is one above its highest callee. What is
-    left when nothing can be taken off calls a cycle: it gets the last level and the flag. Each round takes off at
-    least one node, so it goes on until none is ready; with rounds, deeper chains raise an error."""
+    """(node, level, in_cycle): callees first. Level 0 calls nothing; a node is one above its highest callee. Where only
+    cycles and what calls them is left, the members of cycles that call no other cycle get the next level, with the flag;
+    what calls them follows above, without it. With rounds, deeper graphs raise an error.
+
+    Each round takes off at least one node, so it goes on until none is left; cycles are looked for once, when first
+    nothing can be taken off.
+    """
     left = written(edges.select("source", "target").where("source <> target").distinct())
-    waiting = written(edges.select(F.col("source").alias("node")).union(edges.select(F.col("target").alias("node"))).distinct())
-    done = None
+    waiting = written(edges.select(F.col("source").alias("node")).union(edges.select(F.col("target").alias("node"))).where("node IS NOT NULL").distinct())
+    done, cycles = None, None
     for level in count() if rounds is None else range(rounds):
-        ready = written(waiting.join(left.select(F.col("source").alias("node")).distinct(), "node", "left_anti"))
-        if ready.isEmpty():
+        if waiting.isEmpty():
             break
-        placed = ready.select("node", F.lit(level).alias("level"), F.lit(False).alias("in_cycle"))
+        ready = written(waiting.join(left.select(F.col("source").alias("node")).distinct(), "node", "left_anti").withColumn("in_cycle", F.lit(False)))
+        if ready.isEmpty():
+            if cycles is None:
+                cycles = written(strong_components(left))
+            of = lambda end: cycles.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+            outside = left.join(of("source"), "source").join(of("target"), "target", "left").where("target_c IS NULL OR source_c <> target_c")
+            ready = written(cycles.join(waiting, "node", "left_semi").join(outside.select(F.col("source_c").alias("component")).distinct(), "component", "left_anti").select("node", F.lit(True).alias("in_cycle")))
+        placed = ready.select("node", F.lit(level).alias("level"), "in_cycle")
         done = placed if done is None else done.unionByName(placed)
         waiting = written(waiting.join(ready, "node", "left_anti"))
-        left = written(left.join(ready.select(F.col("node").alias("target")), "target", "left_anti"))
+        left = written(left.join(ready.select(F.col("node").alias("target")), "target", "left_anti").join(ready.select(F.col("node").alias("source")), "source", "left_anti").select("source", "target"))
     else:
         if not waiting.isEmpty():
             raise RuntimeError(f"execution levels did not settle in {rounds} rounds")
-    stuck = waiting.select("node", F.lit(level).alias("level"), F.lit(True).alias("in_cycle"))
-    return stuck if done is None else done.unionByName(stuck)
+    return waiting.select("node", F.lit(0).alias("level"), F.lit(False).alias("in_cycle")) if done is None else done
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -131,24 +191,68 @@ def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(open_, "target", "left_semi").select("source", "target").distinct()
 
 
-def close_entry_points(entries: DataFrame, edges: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(name, position, added, cap_exceeded): entries (name, position) with the procedures that they reach put right after
-    their first caller, by edges (source, target, sibling). At most twice the entries are kept, with a flag if there are
-    more.
+def close_entry_points(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, position, added, cap_exceeded): entries (name, position) with the procedures that they reach put right behind
+    their first caller, by edges (source, target, sibling), at any depth; names are told apart without their case. Behind
+    its caller each procedure is followed by what it calls first itself. At most as many are added as there are entries,
+    those that come up first as the list is gone through from its beginning, with a flag if there are more; entries always
+    stay.
 
-    A place is the path of positions that leads to a procedure; the least path in order is where it is first met.
+    A place is a path of positions: an entry's own, then the siblings' that lead to a procedure. In each round the owner of
+    what has no place yet is the first placed procedure that reaches it over others without one, as labels that sink to
+    the least path tell; what its owner calls directly gets its place behind it. Only where an owner has placed several do
+    their labels have to be spread among what is left to it.
     """
-    start = entries.select("name", F.array(F.col("position").cast("long")).alias("path"), F.lit(False).alias("added"))
-    known, frontier = written(start), start
-    for _ in range(max_depth):
-        below = frontier.join(edges, F.col("name") == F.col("source")).select(F.col("target").alias("name"), F.concat("path", F.array(F.col("sibling").cast("long"))).alias("path"), F.lit(True).alias("added"))
-        frontier = written(below.groupBy("name").agg(F.min("path").alias("path"), F.lit(True).alias("added")).join(known, "name", "left_anti"))
-        if frontier.isEmpty():
-            break
-        known = written(known.unionByName(frontier))
-    n = entries.count()  # the result is at most twice the entries, which one job lists by hand
-    ranked = known.orderBy("path", "name").limit(2 * n).withColumn("position", F.row_number().over(Window.orderBy("path", "name")))
-    return ranked.select("name", "position", "added", F.lit(known.count() > 2 * n).alias("cap_exceeded"))
+    first = lambda df, by, *keep: df.groupBy(by).agg(F.min(F.struct(*keep)).alias("r")).select(by, *(f"r.{c}" for c in keep))
+    start = first(entries.select(F.lower("name").alias("node"), F.col("position").cast("long").alias("position"), "name"), "node", "position", "name")
+    placed = written(start.select("node", F.array("position").alias("path"), "name", F.lit(False).alias("added")))
+    low = edges.select(F.lower("source").alias("source"), F.lower("target").alias("target"), F.col("sibling").cast("long").alias("sibling"), F.col("target").alias("name"))
+    calls = low.groupBy("source", "target").agg(F.min(F.struct("sibling", "name")).alias("r")).select("source", "target", "r.sibling", "r.name")
+    calls = written(calls.join(placed.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target", "sibling", "name"))
+    reach = lambda of: calls.join(of, F.col("source") == F.col("node")).select(F.col("target").alias("node"), F.col("path").alias("label"))
+    owned = _spread(reach(placed), calls)
+    newest = placed
+    while not owned.isEmpty():
+        heads = newest.select(F.col("node").alias("source"), F.col("path").alias("label"))
+        claims = owned.join(calls.withColumnRenamed("target", "node"), "node").join(heads, ["source", "label"])
+        newest = written(claims.select("node", F.concat("label", F.array("sibling")).alias("path"), "name", F.lit(True).alias("added"), F.col("label").alias("owner")))
+        placed = placed.unionByName(newest.drop("owner"))
+        rest = owned.join(newest, "node", "left_anti")
+        heirs = newest.groupBy(F.col("owner").alias("label")).agg(F.count("*").alias("n"), F.min("path").alias("heir"))
+        rest = written(rest.join(heirs, "label"))
+        single, several = rest.where("n = 1").select("node", F.col("heir").alias("label")), rest.where("n > 1").select("node")
+        if several.isEmpty():
+            owned = written(single)
+            continue
+        among = written(calls.join(several.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target", "sibling", "name"))
+        begun = among.join(newest, F.col("source") == F.col("node")).select(F.col("target").alias("node"), F.col("path").alias("label"))
+        inner = among.join(several.withColumnRenamed("node", "source"), "source", "left_semi")
+        owned = written(single.unionByName(_spread(begun, inner)))
+    placed = written(placed)
+    n = start.count()
+    new = placed.where("added")
+    order = F.struct(F.slice("path", F.lit(1), F.size("path") - 1).alias("caller"), F.element_at("path", -1).alias("sibling"), "node")
+    kept = placed.where("NOT added").unionByName(new.orderBy(order).limit(n))
+    # at most twice the entries, which one job lists by hand: a window over all of them
+    ranked = kept.withColumn("position", F.row_number().over(Window.orderBy("path", "node")))
+    return ranked.select("name", "position", "added", F.lit(new.count() > n).alias("cap_exceeded"))
+
+
+def reorder_by_closure(items: DataFrame, closure: DataFrame) -> DataFrame:
+    """items (item, position, name) in the order of a closure (name, position): (item, place) with places from 1. Items that
+    the closure lacks stay behind the item that they stood behind before, in their order, or in front where none stood
+    before them; several items of one name come one after the other, with what belongs behind them after the first.
+
+    Items are range-sorted once: what stands before a partition is carried into it as the last match of each.
+    """
+    order = closure.groupBy(F.lower("name").alias("key")).agg(F.min("position").alias("rank"))
+    named = items.withColumn("key", F.lower("name")).join(order, "key", "left").select("item", F.col("position").cast("long").alias("position"), F.col("rank").cast("long").alias("rank"))
+    anchored = carried(written(named), "position", "rank", "anchor")
+    # 0: in front; 1: the first match of an anchor, 2: what stays behind it, 3: its other matches
+    head = anchored.where("rank IS NOT NULL").groupBy(F.col("rank").alias("anchor")).agg(F.min("position").alias("head"))
+    kind = F.when(F.col("rank").isNull(), 2).when(F.col("position") == F.col("head"), 1).otherwise(3)
+    keyed = anchored.join(head, "anchor", "left").select("item", F.coalesce("anchor", F.lit(-1)).alias("anchor"), kind.alias("kind"), "position")
+    return numbered(written(keyed), ["anchor", "kind", "position"], "place").select("item", "place")
 
 
 def upstream_first(reads: DataFrame, pending: DataFrame) -> DataFrame:

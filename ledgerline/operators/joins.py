@@ -52,17 +52,35 @@ def compare_scalars(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 
 
-def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: int | None = None) -> DataFrame:
-    """Points with every span of their keys that holds them, start and end included.
-
-    With width, spans are dealt out to cells of that length, so that an object with very many points and spans doesn't
-    meet in one task; a point has one cell, so no pair comes up twice.
+def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: int = 1) -> DataFrame:
+    """Points with every span of their keys that holds them, start and end included; spans that end before they start hold
+    none.
+
+    Spans of whole numbers are cut into dyadic cells, whose lengths are powers of two times width: two of each length at
+    most, so a span of any length has a number of cells that grows with its logarithm. A point stands in one cell of each
+    length that occurs, and in one of a span's cells at most, so no pair comes up twice. Neither long spans nor an object
+    with very many points and spans meet in one task. Other types are joined by their keys alone.
     """
-    if width is None:
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    if not {dict(points.dtypes)[at], dict(spans.dtypes)[start], dict(spans.dtypes)[end]} <= whole:
         return points.join(spans, keys).where(F.col(at).between(F.col(start), F.col(end)))
-    cell = lambda c: F.floor(F.col(c) / width)
-    cells = spans.where(F.col(start) <= F.col(end)).withColumn("__cell", F.explode(F.sequence(cell(start), cell(end))))
-    return points.withColumn("__cell", cell(at)).join(cells, [*keys, "__cell"]).where(F.col(at).between(F.col(start), F.col(end))).drop("__cell")
+    unit = lambda c: F.floor(F.col(c).cast("long") / width) if width > 1 else F.col(c).cast("long")
+    shifted = lambda c, k: F.call_function("shiftright", c, k)
+    length = F.col("__high") - F.col("__low") + 1
+
+    def cells(k: Column) -> Column:
+        """At length 2^k: the cell before the first even place, and the one behind the last, where the span still has them."""
+        first = shifted(F.col("__low"), k) + (shifted(F.col("__low"), k) * F.call_function("shiftleft", F.lit(1).cast("long"), k) != F.col("__low")).cast("long")
+        last = shifted(F.col("__high") + 1, k)
+        cell = lambda test, c: F.when((first < last) & (F.pmod(test, F.lit(2)) == 1), F.struct(k.alias("k"), c.alias("cell")))
+        return F.array(cell(first, first), cell(last, last - 1))
+
+    sized = spans.where(F.col(start) <= F.col(end)).withColumn("__low", unit(start)).withColumn("__high", unit(end))
+    levels = F.sequence(F.lit(0), F.floor(F.log2(length.cast("double"))).cast("int"))
+    covered = sized.withColumn("__c", F.explode(F.filter(F.flatten(F.transform(levels, cells)), lambda c: c.isNotNull()))).withColumn("__k", F.col("__c.k")).withColumn("__cell", F.col("__c.cell")).drop("__c", "__low", "__high")
+    used = covered.agg(F.sort_array(F.collect_set("__k"))).first()[0]  # 63 at most
+    asked = points.withColumn("__k", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>"))).withColumn("__cell", shifted(unit(at), F.col("__k")))
+    return asked.join(covered, [*keys, "__k", "__cell"]).where(F.col(at).between(F.col(start), F.col(end))).drop("__k", "__cell")
 
 
 def work_after_failure(journal: DataFrame, run: str = "run_id", step: str = "step_no", status: str = "status") -> DataFrame:

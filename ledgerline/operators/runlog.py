@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.expressions import normalized_score
+from ledgerline.operators.scans import Running, scan
 from ledgerline.operators.sequence import monotonicity_violations
 
 AXES = ("Accuracy", "Crud", "Interface", "Exception", "Readability")
@@ -62,21 +63,23 @@ def usage_by_kind(log: DataFrame, window: int = 2) -> DataFrame:
     if that comes within the next `window` lines and before the next usage line, else to the last request line since the
     usage line before it, else to no known kind: a request is used once.
 
-    The lines between two usage lines are one segment, so each segment gives its last request and its first response.
+    The lines between two usage lines are one segment, so each segment gives its last request and its first response. A
+    run may have any number of lines: see scans.
     """
     usage = F.col("line").rlike(LINES["usage"])
     few = log.select("run_id", "line_no", _group("request").alias("request"), _group("response").alias("response"), usage.cast("int").alias("usage"), *(_group("usage", i + 1).cast("long").alias(c) for i, c in enumerate(FIGURES)))
     few = few.where("request IS NOT NULL OR response IS NOT NULL OR usage = 1")
-    segment = F.sum("usage").over(Window.partitionBy("run_id").orderBy("line_no")) - F.col("usage")
-    parts = few.withColumn("segment", segment).groupBy("run_id", "segment").agg(
+    numbered = scan(few, ["run_id"], ["line_no"], segment=Running("sum", F.col("usage"))).withColumn("segment", F.col("segment") - F.col("usage"))
+    parts = numbered.groupBy("run_id", "segment").agg(
         F.max_by("request", F.when(F.col("request").isNotNull(), F.col("line_no"))).alias("request"),
         F.min(F.when(F.col("response").isNotNull(), F.struct("line_no", "response"))).alias("response"),
         F.max(F.when(F.col("usage") == 1, F.col("line_no"))).alias("at"),
         *(F.max(c).alias(c) for c in FIGURES),
     )
-    after = F.lead("response").over(Window.partitionBy("run_id").orderBy("segment"))
+    # what comes next is what came last, seen from the end; in a struct, so that segments without a response count
+    backwards = scan(parts.withColumn("down", -F.col("segment")), ["run_id"], ["down"], next=Running("last", F.struct("response"), inclusive=False))
     answered = F.when(F.col("after")["line_no"] - F.col("at") <= window, F.col("after")["response"])
-    used = parts.withColumn("after", after).where("at IS NOT NULL").withColumn("kind", F.coalesce(answered, "request", F.lit(UNKNOWN_KIND)))
+    used = backwards.withColumn("after", F.col("next.response")).where("at IS NOT NULL").withColumn("kind", F.coalesce(answered, "request", F.lit(UNKNOWN_KIND)))
     return used.groupBy("run_id", "kind").agg(F.count("*").alias("calls"), *(F.sum(c).alias(c) for c in FIGURES))
 
 
@@ -87,11 +90,9 @@ def score_blocks(log: DataFrame, within: int = 15) -> DataFrame:
     so a repeated block counts once. A block with a value over 10 before it is complete, without all axes, or followed by
     a parse failure before the next review line is dropped.
     """
-    w = Window.partitionBy("run_id").orderBy("line_no")
     is_anchor = F.col("line").rlike(LINES["review"])
-    rows = log.withColumn("anchor", F.sum(is_anchor.cast("int")).over(w)).where("anchor > 0")
-    blocks = Window.partitionBy("run_id", "anchor")
-    rows = rows.withColumn("anchor_line", F.min(F.when(is_anchor, F.col("line_no"))).over(blocks))
+    few = log.where(is_anchor | F.col("line").rlike('"Score') | F.col("line").rlike(LINES["discarded"])).select("run_id", "line_no", "line")
+    rows = scan(few, ["run_id"], ["line_no"], anchor=Running("sum", is_anchor.cast("int")), anchor_line=Running("last", F.when(is_anchor, F.col("line_no")))).where("anchor > 0")
     hits = F.explode(F.transform(F.regexp_extract_all("line", F.lit(r'("Score(?:Accuracy|Crud|Interface|Exception|Readability)"\s*:\s*\d+)'), F.lit(1)), lambda m: F.struct(F.regexp_extract(m, r"Score([A-Za-z]+)", 1).alias("axis"), F.regexp_extract(m, r":\s*(\d+)", 1).cast("int").alias("value"))))
     near = rows.where((F.col("line_no") > F.col("anchor_line")) & (F.col("line_no") <= F.col("anchor_line") + within))
     found = near.select("run_id", "anchor", "anchor_line", "line_no", hits.alias("h")).select("run_id", "anchor", "anchor_line", "line_no", "h.axis", "h.value")

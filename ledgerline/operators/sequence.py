@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.durable import written
+from ledgerline.operators.scans import Running, scan
 
 
 def monotonicity_violations(scores: DataFrame, run: str = "run", order: str = "attempt", score: str = "score") -> DataFrame:
-    """Scores below the highest earlier one of their run, with it; a tie is none."""
-    earlier = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return scores.withColumn("earlier_max", F.max(score).over(earlier)).where(F.col(score) < F.col("earlier_max"))
+    """Scores below the highest earlier one of their run, with it; a tie is none. A run may be of any length."""
+    return scan(scores, [run], [order], earlier_max=Running("max", F.col(score), inclusive=False)).where(F.col(score) < F.col("earlier_max"))
 
 
 def best_attempt(attempts: DataFrame, run: str = "run", order: str = "attempt", score: str = "score") -> DataFrame:
@@ -21,10 +21,11 @@ def best_attempt(attempts: DataFrame, run: str = "run", order: str = "attempt",
 
 
 def assign_runs(appends: DataFrame, key: str, order: list[str], attempt: str = "attempt") -> DataFrame:
-    """Appends with run: a new run begins where the attempt number doesn't grow."""
-    w = Window.partitionBy(key).orderBy(*order)
-    begins = F.coalesce((F.col(attempt) <= F.lag(attempt).over(w)).cast("int"), F.lit(0))
-    return appends.withColumn("__begins", begins).withColumn("run", (F.sum("__begins").over(w) + 1).cast("long")).drop("__begins")
+    """Appends with run: a new run begins where the attempt number doesn't grow. A key may have any number of rows."""
+    # in a struct, so that a null attempt counts as the row before too
+    with_last = scan(appends, [key], order, __last=Running("last", F.struct(F.col(attempt).alias("attempt")), inclusive=False))
+    begins = F.coalesce((F.col(attempt) <= F.col("__last.attempt")).cast("int"), F.lit(0))
+    return scan(with_last, [key], order, run=Running("sum", begins)).withColumn("run", (F.col("run") + 1).cast("long")).drop("__last")
 
 
 def unscored(attempts: DataFrame, run: str = "run", order: str = "attempt", score: str = "score") -> DataFrame:
@@ -49,8 +50,7 @@ def uncovered_ranges(intervals: DataFrame, lengths: DataFrame, key: str = "objec
     """(key, start, end) of the parts of [0, length) that no interval [start, end) covers."""
     inside = intervals.join(lengths, key).select(key, F.greatest(F.lit(0), "start").cast("long").alias("start"), F.least("end", "length").cast("long").alias("end")).where("start < end")
     ends = lengths.select(key, F.col("length").cast("long").alias("start"), F.col("length").cast("long").alias("end"))
-    w = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    covered = inside.unionByName(ends).withColumn("covered", F.coalesce(F.max("end").over(w), F.lit(0)))
+    covered = scan(inside.unionByName(ends), [key], ["start", "end"], covered=Running("max", F.col("end"), inclusive=False)).withColumn("covered", F.coalesce("covered", F.lit(0)))
     return covered.where("start > covered").select(key, F.col("covered").alias("start"), F.col("start").alias("end"))
 
 

@@ -5,24 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.expressions import mentions, normalize_heading, normalize_quote, split_code_values
+from ledgerline.functions.expressions import normalize_heading, normalize_quote, split_code_values
 from ledgerline.operators.joins import interval_join
+from ledgerline.operators.search import occurrences
 
 FENCE = r"^\s*(```|~~~)"
 HEADING = r"^#{1,6}\s+\S"
 
 
+#: Lines that one inner fold goes over: a result that grows line by line is copied at each step, so that one fold over a
+#: text would take the square of its lines.
+FOLDED = 64
+
+
 def markdown_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, is_fence, in_fence, heading): fence lines themselves are outside, an unclosed fence clears
-    all flags of its document, and the heading is the last one above outside of fences."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line_no", "line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    whole = Window.partitionBy("doc_id")
-    rows = lines.withColumn("is_fence", F.col("line").rlike(FENCE)).withColumn("__n", F.sum(F.col("is_fence").cast("int")).over(w))
-    closed = F.max("__n").over(whole) % 2 == 0
-    rows = rows.withColumn("in_fence", closed & (F.col("__n") % 2 == 1) & ~F.col("is_fence"))
-    head = F.when(F.col("line").rlike(HEADING) & ~F.col("in_fence"), F.col("line"))
-    return rows.withColumn("heading", F.last(head, ignorenulls=True).over(w)).select("doc_id", "line_no", "line", "is_fence", "in_fence", "heading")
+    all flags of its document, and the heading is the last one above outside of fences. A line ends with \\n, \\r or both;
+    an empty text is one empty line, a null one none.
+
+    Each text is folded inside its row, with the state (all fences closed?, within one?, heading) handed from line to line
+    and from one stretch of lines to the next, so lines aren't exchanged.
+    """
+    # stretches of FOLDED lines, the last one shorter, each line with its end
+    cut = F.regexp_extract_all(F.concat(F.regexp_replace("text", "\r\n?", "\n"), F.lit("\n")), F.lit(f"(?:[^\n]*+\n){{1,{FOLDED}}}+"), F.lit(0))
+    lines = lambda s: F.split(F.substr(s, F.lit(1), F.length(s) - 1), "\n")
+    marked = lambda s, b: F.transform(lines(s), lambda x, i: F.struct((b * FOLDED + i).alias("line_no"), x.alias("line"), x.rlike(FENCE).alias("is_fence"), F.when(x.rlike(HEADING), x).alias("head")))
+    kind = "array<struct<line_no:int,line:string,is_fence:boolean,in_fence:boolean,heading:string>>"
+    state = lambda closed, fence, heading, *more: F.struct(closed.alias("closed"), fence.alias("fence"), heading.alias("heading"), *more)
+    inside = lambda now, x: now["closed"] & now["fence"] & ~x["is_fence"]
+    heading = lambda now, x: F.when(inside(now, x), now["heading"]).otherwise(F.coalesce(x["head"], now["heading"]))
+    after = lambda now, x, *more: state(now["closed"], now["fence"] != x["is_fence"], heading(now, x), *more)
+    same = lambda now, *more: state(now["closed"], now["fence"], now["heading"], *more)
+
+    def begins(now: Column, lines: Column) -> Column:
+        """The states that stretches begin with, one more for each."""
+        ended = F.aggregate(lines, same(now), lambda s, x: after(s, x))
+        return F.transform(F.array(ended), lambda r: same(r, F.concat(now["begins"], F.array(same(now))).alias("begins")))[0]
+
+    def rows_of(lines: Column, begin: Column) -> Column:
+        row = lambda now, x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), x["is_fence"].alias("is_fence"), inside(now, x).alias("in_fence"), heading(now, x).alias("heading"))
+        return F.aggregate(lines, same(begin, F.array().cast(kind).alias("out")), lambda now, x: after(now, x, F.concat(now["out"], F.array(row(now, x))).alias("out")))["out"]
+
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.transform(cut, marked).alias("stretches"))
+    fences = F.aggregate("stretches", F.lit(0), lambda n, lines: n + F.size(F.filter(lines, lambda x: x["is_fence"])))
+    first = state(fences % 2 == 0, F.lit(False), F.lit(None).cast("string"), F.array().cast("array<struct<closed:boolean,fence:boolean,heading:string>>").alias("begins"))
+    begun = rows.withColumn("begins", F.aggregate("stretches", first, begins)["begins"])
+    return begun.select("doc_id", F.inline(F.flatten(F.zip_with("stretches", "begins", rows_of))))
 
 
 def section_body(docs: DataFrame, headings: DataFrame) -> DataFrame:
@@ -105,44 +133,22 @@ def quoted_in(claims: DataFrame, docs: DataFrame, doc_id: str = "doc_id") -> Dat
     return claims.join(texts, doc_id, "left").withColumn("found", F.coalesce(F.contains("__text", normalize_quote(F.col("quote"))), F.lit(False))).drop("__text")
 
 
-#: Lengths of the pieces by which quotations are looked for: a quotation of 2k - 1 characters holds a whole piece of k.
-PIECES = (16, 4, 1)
-
-
 def find_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id) of the documents (doc_id, text) that hold a quotation (item_id, quote), white space and marks
-    aside. Empty quotations are found nowhere.
-
-    Documents are cut into pieces of k characters, quotations into all their runs of k; wherever a document holds a
-    quotation of at least 2k - 1 characters, one of its pieces is such a run. So only pairs that share one are compared.
-    """
-    normal = quotes.select("item_id", normalize_quote(F.col("quote")).alias("quote")).where("quote <> ''").distinct()
-    length = F.length("quote")
-    k = F.lit(PIECES[-1])
-    for piece in reversed(PIECES[:-1]):
-        k = F.when(length >= 2 * piece - 1, piece).otherwise(k)
-    keyed = normal.withColumn("k", k)
-    runs = keyed.select("item_id", "k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), length - F.col("k") + 1), lambda i: F.substring("quote", i, F.col("k"))))).alias("piece"))
-    texts = docs.select("doc_id", normalize_quote(F.col("text")).alias("text"))
-    sizes = [r["k"] for r in keyed.select("k").distinct().collect()]  # of PIECES at most
-    if not sizes:
-        return normal.join(docs.select("doc_id"), F.lit(False)).select("item_id", "doc_id")
-    cut = lambda k: F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / k).cast("int")), lambda i: F.struct(F.lit(k).alias("k"), F.substring("text", i * k + 1, F.lit(k)).alias("piece")))
-    pieces = texts.select("doc_id", F.explode(F.array_distinct(F.concat(*map(cut, sizes)))).alias("p")).select("doc_id", "p.k", "p.piece")
-    pairs = pieces.join(runs, ["k", "piece"]).select("item_id", "doc_id").distinct()
-    return pairs.join(normal, "item_id").join(texts, "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id").distinct()
+    aside. Empty quotations are found nowhere. All quotations are looked for in one pass over the documents, however
+    short they are; see search.occurrences for more of them than fit into one automaton."""
+    normal = quotes.select("item_id", normalize_quote(F.col("quote")).alias("literal")).where("literal <> ''").distinct()
+    held = occurrences(normal, docs.select("doc_id", normalize_quote(F.col("text")).alias("text")), "doc_id")
+    return held.join(normal, "literal").select("item_id", "doc_id").distinct()
 
 
 def build_codebook(literals: DataFrame, docs: DataFrame) -> DataFrame:
-    """(value, column, procedures, documents, match_eligible, listed) of literals (label, column, value): values that
-    documents mention, the first column that isn't null by label, and whether they are long enough to be matched with
-    code tables. listed is false for values that no document mentions. Literals are few; documents are scanned once."""
+    """(value, column, procedures, documents, match_eligible, listed) of literals (label, column, value): how many documents
+    mention a value, the first column that isn't null by label, and whether it is long enough to be matched with code
+    tables. listed is false for values that no document mentions. Values may be of any characters; documents are scanned
+    once for all of them."""
     values = literals.groupBy("value").agg(F.min_by("column", F.when(F.col("column").isNotNull(), F.struct("label", "column"))).alias("column"), F.sort_array(F.collect_set("label")).alias("procedures"))
-    # only values that share a token with a document are tried on it
-    token = F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z0-9_]+"), F.lit(0))))
-    keyed = values.select("value", F.try_element_at(F.regexp_extract_all(F.col("value"), F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lit(1)).alias("token"))
-    pairs = docs.select("doc_id", token.alias("token")).join(keyed, "token").select("doc_id", "value").distinct()
-    hits = pairs.join(docs.select("doc_id", "text"), "doc_id").where(mentions(F.col("text"), F.col("value"))).groupBy("value").agg(F.count("*").alias("documents"))
+    hits = occurrences(values.select(F.col("value").alias("literal")), docs, "doc_id", whole_words=True).groupBy(F.col("literal").alias("value")).agg(F.count("*").alias("documents"))
     return values.join(hits, "value", "left").select("value", "column", "procedures", F.coalesce("documents", F.lit(0)).alias("documents"), (F.length("value") >= 3).alias("match_eligible"), F.col("documents").isNotNull().alias("listed"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.durable import scratch_path
+from ledgerline.durable import scratch_path, written
 from ledgerline.functions.checks import _CHECKS, register_check, run_check
 from ledgerline.functions.expressions import base_name, canonical_key, classify_object_type
 from ledgerline.operators import catalog as C
@@ -170,12 +170,13 @@ def _(spark, t):
     return S.read_documents(spark, path).agg(F.count("*").alias("documents"), F.sum(F.length(F.regexp_replace("text", "\u0001$", ""))).alias("characters"))
 
 
-@query("src7_read_log", "SELECT CAST(turn AS INTEGER) AS line_no, regexp_replace(text, '\\s+', ' ', 'g') AS line FROM conversations WHERE conv_id = 3")
+@query("src7_read_log", "WITH r AS (SELECT conv_id % 20 AS run, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) - 1 AS n, regexp_replace(text, '\\s+', ' ', 'g') AS line FROM conversations) SELECT CAST(run AS VARCHAR) AS run_id, CAST(n AS INTEGER) AS line_no, line FROM r WHERE line <> ''")
 def _(spark, t):
+    """All conversations as the lines of twenty logs."""
     path = scratch_path(spark)
-    one = t("conversations").where("conv_id = 3").select(F.regexp_replace("text", r"\s+", " ").alias("text"), "turn")
-    one.coalesce(1).sortWithinPartitions("turn").select("text").write.text(path)
-    return S.read_log(spark, path).where("line <> ''").select("line_no", "line")
+    rows = t("conversations").select(F.regexp_replace("text", r"\s+", " ").alias("text"), (F.col("conv_id") % 20).alias("run"), "conv_id", "turn")
+    rows.repartition("run").sortWithinPartitions("run", "conv_id", "turn").select("run", "text").write.partitionBy("run").text(path)
+    return S.read_log(spark, path, "run=([^/]+)/").where("line <> ''")
 
 
 @query("src8_append_firings", "SELECT event_type AS check_key, count(*) AS n FROM events GROUP BY 1")
@@ -193,13 +194,16 @@ def _(spark, t):
     return S.dependency_manifest(nodes, edges).withColumn("targets", F.array_join("targets", ","))
 
 
-@query("src10_seed_tables", "SELECT count(*) AS nations FROM nation")
+@query("src10_seed_tables", "SELECT c_nationkey AS nation, count(DISTINCT o_orderkey) AS orders, count(DISTINCT c_custkey) AS customers FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def _(spark, t):
+    """What is read from the seeded tables before they are cleared."""
     path = scratch_path(spark)
-    order = S.seed_tables({"region": t("region"), "nation": t("nation")}, path)
-    seeded = spark.createDataFrame([(spark.read.parquet(f"{path}/nation").count(),)], "nations long")
+    order = S.seed_tables({"customer": t("customer"), "orders": t("orders")}, path)
+    seeded = lambda name: spark.read.parquet(f"{path}/{name}")
+    joined = seeded("customer").join(seeded("orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    kept = written(joined.groupBy(F.col("c_nationkey").alias("nation")).agg(F.countDistinct("o_orderkey").alias("orders"), F.countDistinct("c_custkey").alias("customers")))
     S.clear_tables(spark, order, path)
-    return seeded
+    return kept
 
 
 @query("src11_12_replace_and_restore", "SELECT o_orderstatus AS ymd, count(*) AS n FROM orders GROUP BY 1")

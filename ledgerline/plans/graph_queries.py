@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ledgerline.operators import graph as G
+from ledgerline.operators.scans import numbered
 from ledgerline.plans.catalogue import query
 
 #: customer -> nation -> region, supplier -> nation, part -> supplier by lineitem.
@@ -119,10 +120,44 @@ def _(spark, t):
     return G.unresolved(t("lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_suppkey").alias("target")), t("supplier").select(F.col("s_suppkey").alias("node"), status.alias("status")))
 
 
-@query("gra11_close_entry_points", "WITH e AS (SELECT r_name AS name, r_regionkey AS position, false AS added, [r_regionkey] AS path FROM region UNION ALL SELECT n_name, n_regionkey, true, [n_regionkey, n_nationkey] FROM nation) SELECT name, CAST(row_number() OVER (ORDER BY path, name) AS INTEGER) AS position, added, true AS cap_exceeded FROM e QUALIFY row_number() OVER (ORDER BY path, name) <= 10")
+@query(
+    "gra3_callers_of_cycles",
+    "WITH RECURSIVE " + EDGES + """, x AS (SELECT * FROM edges WHERE source NOT LIKE 'c%' UNION ALL SELECT 'o' || o_orderkey, 'p' || l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+    k AS (SELECT source, target FROM x WHERE source NOT LIKE 'o%'), reach(a, b) AS (SELECT source, target FROM k UNION SELECT a, target FROM reach JOIN k ON b = source),
+    mutual AS (SELECT r.a, r.b FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a), c AS (SELECT a AS node, min(b) AS name FROM mutual GROUP BY 1),
+    bottom AS (SELECT name FROM c EXCEPT SELECT c.name FROM c JOIN k ON source = node JOIN c d ON d.node = target WHERE d.name <> c.name),
+    lev(node, level) AS (SELECT node, 0 FROM c WHERE name IN (FROM bottom) UNION SELECT source, level + 1 FROM lev JOIN x ON target = node WHERE source NOT IN (SELECT node FROM c))
+    SELECT node, CAST(max(level) AS INTEGER) AS level, node IN (SELECT node FROM c) AS in_cycle FROM lev GROUP BY 1""",
+)
+def _(spark, t):
+    """Regions call parts, these suppliers, these nations, and these regions: one cycle, as all regions are reached from
+    each other. Parts that no region calls and orders only call it."""
+    o = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("o"), "o_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
+    return G.execution_levels(edges(t).where("substring(source, 1, 1) <> 'c'").union(o.distinct()))
+
+
+@query(
+    "gra11_close_entry_points",
+    "WITH c AS (SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS k FROM customer WHERE c_nationkey < 18), e AS (SELECT 'N' || n_nationkey AS name, n_nationkey AS a, -1 AS b, false AS added FROM nation WHERE n_nationkey < 18 UNION ALL SELECT 'c' || c_custkey, c_nationkey, c_custkey, true FROM c WHERE k <= 18) SELECT name, CAST(row_number() OVER (ORDER BY a, b) AS INTEGER) AS position, added, (SELECT count(*) > 18 FROM c) AS cap_exceeded FROM e",
+)
+def _(spark, t):
+    """Each nation calls its first customer, and each customer the next one of its nation, so that chains are as long as
+    nations are large; of 18 entry points at most 18 procedures are added."""
+    own = t("customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list("c_custkey")).alias("keys"))
+    names = F.concat(F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))), F.transform("keys", lambda k: F.concat(F.lit("c"), k.cast("string"))))
+    calls = own.select(F.explode(F.arrays_zip(F.slice(names, F.lit(1), F.size("keys")).alias("source"), F.slice(names, F.lit(2), F.size("keys")).alias("target"))).alias("e")).select("e.source", "e.target", F.lit(0).alias("sibling"))
+    return G.close_entry_points(t("nation").where("n_nationkey < 18").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_nationkey").alias("position")), calls)
+
+
+@query(
+    "gra11_reorder_by_closure",
+    "WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS rank FROM customer WHERE c_nationkey >= 5), i AS (SELECT o_orderkey, rank FROM orders LEFT JOIN c ON c_custkey = o_custkey), a AS (SELECT *, last_value(rank IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS anchor FROM i), h AS (SELECT rank AS anchor, min(o_orderkey) AS head FROM i GROUP BY 1) SELECT o_orderkey AS item, row_number() OVER (ORDER BY coalesce(anchor, -1), CASE WHEN rank IS NULL THEN 2 WHEN o_orderkey = head THEN 1 ELSE 3 END, o_orderkey) AS place FROM a LEFT JOIN h USING (anchor)",
+)
 def _(spark, t):
-    joined = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return G.close_entry_points(t("region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("position")), joined.select(F.col("r_name").alias("source"), F.col("n_name").alias("target"), F.col("n_nationkey").alias("sibling")))
+    """Orders in the order of their customers' balances; those of some nations' customers stay behind their neighbours."""
+    ranked = numbered(t("customer").where("c_nationkey >= 5").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"], "position")
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string")).alias("name")
+    return G.reorder_by_closure(t("orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderkey").alias("position"), name("o_custkey")), ranked.select(name("c_custkey"), "position"))
 
 
 @query("gra12_upstream_first", "SELECT DISTINCT o_orderkey AS item, s_suppkey * 1000000 AS depends_on FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 10 = 5")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.durable import scratch_path
+from ledgerline.functions.expressions import normalized_score
 from ledgerline.operators import incremental as I
 from ledgerline.operators import runlog as G
 from ledgerline.operators import sequence as Q
 from ledgerline.plans.catalogue import query
 from ledgerline.streaming.journal import stream_journal_conflicts, stream_usage
+from ledgerline.streaming.runs import drained
 
 NUMBERED = "e AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, CASE WHEN event_type <> 'click' THEN CAST(floor(value) AS BIGINT) END AS score, event_id FROM events)"
 
@@ -284,18 +287,59 @@ def _(spark, t):
     return t("documents").where("length(text) > 0").select("doc_id", I.tail_hash(F.col("text"), 200).alias("hash"))
 
 
-@query("str1_usage_windows", "SELECT CAST(epoch(time_bucket(INTERVAL 1 hour, ts)) AS BIGINT) AS window_start, user_id, count(*) AS n FROM events GROUP BY 1, 2")
+#: Events in two deliveries: the earlier half but for every seventh, then the rest, whose early rows come late.
+DELIVERED = "e AS (SELECT *, epoch_us(ts) AS us FROM events), c AS (SELECT min(us) + (max(us) - min(us)) // 2 AS cut FROM e), d AS (SELECT e.*, us < cut AND event_id % 7 <> 0 AS early FROM e, c)"
+
+
+def deliveries(t):
+    e = t("events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts"))
+    cut = e.agg((F.min("us") + F.floor((F.max("us") - F.min("us")) / 2)).alias("cut")).first()["cut"]
+    early = (F.col("us") < cut) & (F.col("event_id") % 7 != 0)
+    return e.where(early).drop("us"), e.where(~early).drop("us")
+
+
+def streamed(spark, t, result):
+    """What result gives of a stream of events that arrive in two deliveries. After the first the stream ends; after the
+    second it is started anew and goes on from its checkpoint."""
+    source, path = scratch_path(spark), scratch_path(spark)
+    for part in deliveries(t):
+        part.write.mode("append").parquet(source)
+        out = drained(result(spark.readStream.schema(part.schema).parquet(source)), path)
+    return out
+
+
+@query(
+    "str1_usage_windows",
+    f"WITH {DELIVERED}, w AS (SELECT max(us) FILTER (early) // 1000 - 600000 AS first, max(us) // 1000 - 600000 AS last FROM d), b AS (SELECT *, (us // 3600000000) * 3600 AS window_start FROM d) SELECT window_start, user_id, count(*) AS n FROM b, w WHERE (early OR (window_start + 3600) * 1000 > first) AND (window_start + 3600) * 1000 <= last GROUP BY 1, 2",
+)
 def _(spark, t):
-    """The batch form of the stream."""
-    e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return stream_usage(e, key="user_id").select(F.unix_timestamp("window_start").alias("window_start"), "user_id", "n")
+    """Closed windows of the stream: late rows of closed windows are left out, windows still open don't come out."""
+    out = streamed(spark, t, lambda events: stream_usage(events, key="user_id"))
+    return out.select(F.unix_timestamp("window_start").alias("window_start"), "user_id", "n")
+
+
+@query(
+    "str2_journal_conflicts",
+    f"""WITH {DELIVERED}, j AS (SELECT * FROM d WHERE event_type = 'purchase'), v AS (SELECT * FROM d WHERE event_type = 'view'),
+    w AS (SELECT least((SELECT max(us) FROM j WHERE early), (SELECT max(us) FROM v WHERE early)) // 1000 - 600000 AS first, least((SELECT max(us) FROM j), (SELECT max(us) FROM v)) // 1000 - 600000 AS last),
+    k AS (SELECT v.* FROM v, w WHERE early OR us > first * 1000)
+    SELECT j.event_id AS run_id, j.user_id AS step_code FROM j, w WHERE (early OR us > first * 1000) AND us + 172800000000 < last * 1000 AND NOT EXISTS (SELECT 1 FROM k WHERE k.user_id = j.user_id AND k.us BETWEEN j.us AND j.us + 172800000000)""",
+)
+def _(spark, t):
+    """Purchases that no view of the same user follows within two days, as they come out of two joined streams when none
+    can come any more."""
+
+    def conflicts(events):
+        side = lambda kind, status: events.where(F.col("event_type") == kind).select(F.lit(0).alias("run_id"), F.col("user_id").alias("step_code"), F.lit("Succeeded").alias(status), "ts")
+        return stream_journal_conflicts(side("purchase", "step_status"), side("view", "checkpoint_status"), within="48 HOURS")
+
+    lone = streamed(spark, t, conflicts)
+    bought = t("events").where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return lone.join(bought, (F.col("step_code") == F.col("user_id")) & (lone["ts"] == bought["ts"])).select(F.col("event_id").alias("run_id"), "step_code")
 
 
-@query("str2_journal_conflicts", "SELECT event_id AS run_id, user_id AS step_code FROM events a WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'view' AND b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 48 hour)")
+@query("exp15_normalized_score", "SELECT l_orderkey, l_linenumber, CAST(round_even((CAST(l_tax AS DECIMAL(10,2)) * 25 + CAST(l_discount AS DECIMAL(10,2)) * 100 + l_linenumber + 3 + 1) * 2, 0) AS INTEGER) AS score FROM lineitem")
 def _(spark, t):
-    """The batch form of the stream: purchases that no view of the same user follows within two days."""
-    e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    j = e.where("event_type = 'purchase'").select(F.lit(0).alias("run_id"), F.col("user_id").alias("step_code"), F.lit("Succeeded").alias("step_status"), "ts", "event_id")
-    c = e.where("event_type = 'view'").select(F.lit(0).alias("run_id"), F.col("user_id").alias("step_code"), F.lit("Succeeded").alias("checkpoint_status"), "ts")
-    lone = stream_journal_conflicts(j, c, within="48 HOURS").select("step_code", "ts").distinct()
-    return j.join(lone, ["step_code", "ts"]).select(F.col("event_id").alias("run_id"), "step_code")
+    """Five axes from 0 to 10; taxes give quarters, so that halves come up."""
+    money = lambda c, k: F.col(c).cast("decimal(10,2)") * k
+    return t("lineitem").select("l_orderkey", "l_linenumber", normalized_score(money("l_tax", 25), money("l_discount", 100), F.col("l_linenumber"), F.lit(3), F.lit(1)).alias("score"))

@@ -27,10 +27,11 @@ def _(spark, t):
     return T.markdown_lines(pages(t)).drop("line")
 
 
-@query("txt1_document_lines", "SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents")
+@query("txt1_document_lines", "SELECT doc_id, len(string_split(regexp_replace(replace(text, '. ', '.' || chr(13)), '\\r\\n?', chr(10), 'g'), chr(10))) AS lines, 'z' AS heading FROM documents")
 def _(spark, t):
-    texts = t("documents").select("doc_id", F.regexp_replace("text", "\r", "x").alias("text"))
-    return T.markdown_lines(texts).groupBy("doc_id").agg(F.count("*").alias("lines"))
+    """Whole texts with a carriage return after each sentence, and a heading below an unclosed fence at the end."""
+    texts = t("documents").select("doc_id", F.concat(F.replace("text", F.lit(". "), F.lit(".\r")), F.lit("\r\n# z\r~~~")).alias("text"))
+    return T.markdown_lines(texts).groupBy("doc_id").agg((F.count("*") - 2).alias("lines"), F.max_by("heading", "line_no").alias("heading")).withColumn("heading", F.replace("heading", F.lit("# "), F.lit("")))
 
 
 @query("txt2_section_body", "SELECT doc_id, 'Steps' AS wanted, '## 1. Steps:' AS heading, 'step ' || doc_id || chr(10) || '```sql' || chr(10) || '# not a heading' || chr(10) || '-- the rest likewise' || chr(10) || 'select ' || doc_id || ' from dbo.[T' || (doc_id % 5) || '] join app.u' || chr(10) || '```' AS body FROM documents")
@@ -60,25 +61,30 @@ def _(spark, t):
     return T.find_quotes(t("benchmark").select("item_id", F.col("text").alias("quote")), t("documents").select("doc_id", "text"))
 
 
-WORDS = "('the', 'und', 'les', 'que', 'idiot', 'NONE')"
+#: Values that hold no ASCII letter or digit, or only some.
+ODD_VALUES = ("미정산", "-", "'-'", "정산", "§ 7", "NONE")
 
 
 def literals(t):
-    """Literal values, each used by two procedures, drawn from the regions' keys."""
-    words = F.element_at(F.array(*map(F.lit, ("the", "und", "les", "que", "idiot"))), F.col("r_regionkey").cast("int") + 1)
-    r = t("region").select("r_regionkey", words.alias("value"))
-    one = r.select(F.concat(F.lit("p"), "r_regionkey").alias("label"), F.when(F.col("r_regionkey") % 2 == 0, "code").alias("column"), "value")
-    return one.unionByName(r.select(F.lit("q").alias("label"), F.lit("kind").alias("column"), "value"))
+    """The first words of all documents with the document's language as column, and some odd values, by source."""
+    first = t("documents").select(F.concat(F.lit("p"), "source").alias("label"), F.col("lang").alias("column"), F.regexp_substr("text", F.lit(r"^[^\x20\x09-\x0D]+")).alias("value")).where("value IS NOT NULL").distinct()
+    return first.unionByName(first.select(F.lit("q").alias("label"), F.lit("kind").alias("column"), F.explode(F.array(*map(F.lit, ODD_VALUES))).alias("value")).distinct())
 
 
 @query(
     "txt6_build_codebook",
-    r"""WITH w AS (SELECT ['the', 'und', 'les', 'que', 'idiot'][CAST(r_regionkey + 1 AS BIGINT)] AS value, r_regionkey AS k FROM region),
-    h AS (SELECT value, count(*) FILTER (regexp_matches(text, '(^|[^A-Za-z0-9_])' || value || '($|[^A-Za-z0-9_])')) AS n FROM w, documents GROUP BY 1)
-    SELECT w.value, CASE WHEN k % 2 = 0 THEN 'code' ELSE 'kind' END AS "column", 'p' || k || ',q' AS procedures, n AS documents, true AS match_eligible, n > 0 AS listed FROM w JOIN h USING (value)""",
+    r"""WITH d AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' 상태 ''미정산'' (-) x-' WHEN 1 THEN ' a미정산b 미정산_ § 7,' ELSE '' END AS text FROM documents),
+    f AS (SELECT DISTINCT 'p' || source AS label, lang AS "column", nullif(regexp_extract(text, '^[^\x20\x09-\x0D]+'), '') AS value FROM documents),
+    l AS (SELECT * FROM f WHERE value IS NOT NULL UNION ALL SELECT 'q', 'kind', unnest(['미정산', '-', chr(39) || '-' || chr(39), '정산', '§ 7', 'NONE'])),
+    w AS (SELECT value, arg_min("column", (label, "column")) AS "column", string_agg(DISTINCT label, ',' ORDER BY label) AS procedures FROM l GROUP BY 1),
+    h AS (SELECT value, count(*) AS n FROM w, d WHERE contains(text, value) AND regexp_matches(text, '(^|[^A-Za-z0-9_])' || regexp_escape(value) || '($|[^A-Za-z0-9_])') GROUP BY 1)
+    SELECT value, "column", procedures, coalesce(n, 0) AS documents, length(value) >= 3 AS match_eligible, n IS NOT NULL AS listed FROM w LEFT JOIN h USING (value)""",
 )
 def _(spark, t):
-    return T.build_codebook(literals(t), t("documents")).withColumn("procedures", F.array_join("procedures", ","))
+    """Whole texts; some end with values in Hangul, in quotes, or between letters."""
+    m = F.col("doc_id") % 4
+    end = F.when(m == 0, " 상태 '미정산' (-) x-").when(m == 1, " a미정산b 미정산_ § 7,").otherwise("")
+    return T.build_codebook(literals(t), t("documents").select("doc_id", F.concat("text", end).alias("text"))).withColumn("procedures", F.array_join("procedures", ","))
 
 
 @query("txt7_match_codebook", "SELECT n_name AS value, 'nation' AS \"table\", n_nationkey AS row_no FROM nation UNION ALL SELECT r_name, 'region', r_regionkey FROM region")
@@ -134,10 +140,16 @@ def _(spark, t):
     return T.attribute_codes(t("customer").select(F.concat("c_name", F.lit(" ")).alias("code")), steps)
 
 
-@query("txt14_script_table_refs", "SELECT doc_id, 'dbo.t' || (doc_id % 5) AS \"table\" FROM documents UNION ALL SELECT doc_id, 'app.u' FROM documents")
+@query(
+    "txt14_script_table_refs",
+    r"""WITH d AS (SELECT doc_id, text || ' select 1 from dbo.[T' || (doc_id % 5) || '] join App.u' AS text FROM documents),
+    n AS (SELECT doc_id, lower(regexp_replace(unnest(regexp_extract_all(text, '(?i)\b(?:from|join|into|update|merge(?:\s+into)?)\s+([\[\]A-Za-z_][\[\]A-Za-z0-9_.$]*)', 1)), '[\[\]]', '', 'g')) AS "table" FROM d)
+    SELECT DISTINCT doc_id, "table" FROM n WHERE "table" <> '' AND "table" NOT IN ('select', 'where', 'set', 'values', 'into', 'from', 'join', 'on', 'as', 'openjson', 'string_split')""",
+)
 def _(spark, t):
-    scripts = pages(t).withColumn("text", F.regexp_replace("text", "(?m)^> .*$", "--"))
-    return T.script_table_refs(scripts)
+    """Whole texts, with a statement behind them."""
+    tail = F.concat(F.lit(" select 1 from dbo.[T"), (F.col("doc_id") % 5).cast("string"), F.lit("] join App.u"))
+    return T.script_table_refs(t("documents").select("doc_id", F.concat("text", tail).alias("text")))
 
 
 @query("txt15_size_warnings", "SELECT source AS stage, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY 1 HAVING sum(length(text)) > 120000")
