@@ -10,18 +10,20 @@ share such a shingle are tried. Shingles common in a sample come last in the ord
 In a long list, sets meet in blocks inside tasks, by parity sketches: sets that differ in d shingles differ in d bits at
 most, so that only pairs that may be similar enough come out.
 
-Only the shingles that sets must share one of are shuffled, once; texts of candidates are fetched to verify them.
+Only the shingles that sets must share one of are shuffled, once; texts of candidates are fetched, packed, to verify them.
+Texts that aren't wanted don't move: a sieve of bounded size, over hashes of those that are, lets them pass by.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import simhash
@@ -168,13 +170,44 @@ def _near(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
     return sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(near, "a long, b long")
 
 
+def _sieve(wanted: DataFrame, most: int = 1 << 25) -> Callable[[Column], Column]:
+    """A test of hashes: true for all in the one column of wanted, and for few others. It is a Bloom filter of 16 bits for
+    each, `most` bits altogether; with more hashes than those suffice for it lets more others through, never fewer."""
+    bits = 1 << min(most.bit_length() - 1, max(10, (16 * wanted.count()).bit_length()))
+
+    def places(h: np.ndarray) -> list[np.ndarray]:
+        mixed = [(h * np.uint64(m)) >> np.uint64(32) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+        return [x & np.uint64(bits - 1) for x in mixed]
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            for at in places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
+                own[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()])], ["bits"])
+
+    total = np.zeros(bits // 8, np.uint8)
+    for row in wanted.repartition(8).mapInArrow(marked, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row["bits"], np.uint8)
+    shared = wanted.sparkSession.sparkContext.broadcast(total)
+
+    def passes(h: pd.Series) -> pd.Series:
+        table = shared.value
+        found = [table[x >> np.uint64(3)] >> (np.uint64(7) - (x & np.uint64(7))).astype(np.uint8) & 1 for x in places(h.to_numpy().view(np.uint64))]
+        return pd.Series((found[0] & found[1]).astype(bool))
+
+    return F.pandas_udf(passes, "boolean")
+
+
 def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets of kinds (k, n, bits, first_id, first_t) whose similarity is high enough, by their texts.
     Texts are fetched only for pairs that their sketches leave open."""
     pairs = written(_near(pairs, kinds))
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     one = written(kinds.join(wanted, "k", "left_semi").select("k", "first_id", "first_t"))
+    pack = F.pandas_udf(lambda texts: texts.map(lambda t: zlib.compress((t or "").encode(), 1)), "binary")
     keyed = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("first_t"))
+    keyed = keyed.where(_sieve(one.select("first_t"))(F.col("first_t"))).select("id", "first_t", pack("text").alias("text"))
     texts = written(keyed.join(one, "first_t").where(F.col("id").eqNullSafe(F.col("first_id"))).select("k", "text").dropDuplicates(["k"]))
     of = lambda c: texts.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}"))
 
@@ -182,7 +215,7 @@ def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
         for part in _pieces(batches, 64):
             a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
             texts_of = dict(zip(a + b, part.column("text_a").to_pylist() + part.column("text_b").to_pylist()))
-            own = dict(zip(texts_of, shingle_sets(list(texts_of.values()))))
+            own = dict(zip(texts_of, shingle_sets([zlib.decompress(t).decode() for t in texts_of.values()])))
             good = []
             for x, y in zip(a, b):
                 shared = len(np.intersect1d(own[x], own[y], assume_unique=True))
@@ -303,7 +336,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")).alias("first")
     kinds = sets.groupBy("k").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("late").alias("late"), F.min("bits").alias("bits"), F.min("first").alias("shared"))
     kinds = written(kinds.select("k", "fp", "n", "late", "bits", F.col("shared").alias("first"), F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("first_t")))
+    rows = written(sets.select("doc_id", "t", "k"))
     discard(sets)
-    labels = kinds.select("k", "first_id", "first_t").join(linked(kinds, docs).select(F.col("node").alias("k"), "component"), "k", "left")
+    labels = kinds.select("k", "first_id", "first_t").join(linked(kinds, docs).select(F.col("node").alias("k"), "component"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    labels = written(labels)
+    discard(kinds)
     row = F.struct(F.col("first_id").isNull().alias("without"), F.col("first_id").alias("doc_id"), F.col("first_t").alias("t"))
-    return simhash.rows_of(docs, labels.groupBy(F.coalesce("component", "k").alias("component")).agg(F.min(row).alias("first")))
+    firsts = written(labels.groupBy("component").agg(F.min(row).alias("first")))
+    # texts of rows that go, or that come up more than once, move; all others are what stays of their component
+    times = rows.groupBy("doc_id", "t", "k").agg(F.count("*").alias("n")).join(labels.select("k", "component"), "k").join(firsts, "component")
+    doubtful = written(times.where("n > 1 OR t <> first.t OR NOT (doc_id <=> first.doc_id)").select("t").distinct())
+    passes = _sieve(doubtful)(F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.where(~passes).union(simhash.rows_of(docs.where(passes), firsts))
