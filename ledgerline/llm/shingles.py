@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import simhash
@@ -170,8 +170,8 @@ def _near(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
     return sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(near, "a long, b long")
 
 
-def _sieve(wanted: DataFrame, most: int = 1 << 25) -> Callable[[Column], Column]:
-    """A test of hashes: true for all in the one column of wanted, and for few others. It is a Bloom filter of 16 bits for
+def _sieve(wanted: DataFrame, most: int = 1 << 25) -> Callable[[pd.Series], pd.Series]:
+    """A test of hashes, to be used in tasks: true for all in the one column of wanted, and for few others. It is a Bloom filter of 16 bits for
     each, `most` bits altogether; with more hashes than those suffice for it lets more others through, never fewer."""
     bits = 1 << min(most.bit_length() - 1, max(10, (16 * wanted.count()).bit_length()))
 
@@ -196,7 +196,7 @@ def _sieve(wanted: DataFrame, most: int = 1 << 25) -> Callable[[Column], Column]
         found = [table[x >> np.uint64(3)] >> (np.uint64(7) - (x & np.uint64(7))).astype(np.uint8) & 1 for x in places(h.to_numpy().view(np.uint64))]
         return pd.Series((found[0] & found[1]).astype(bool))
 
-    return F.pandas_udf(passes, "boolean")
+    return passes
 
 
 def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
@@ -205,9 +205,10 @@ def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = written(_near(pairs, kinds))
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     one = written(kinds.join(wanted, "k", "left_semi").select("k", "first_id", "first_t"))
-    pack = F.pandas_udf(lambda texts: texts.map(lambda t: zlib.compress((t or "").encode(), 1)), "binary")
-    keyed = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("first_t"))
-    keyed = keyed.where(_sieve(one.select("first_t"))(F.col("first_t"))).select("id", "first_t", pack("text").alias("text"))
+    passes = _sieve(one.select("first_t"))
+    pack = F.pandas_udf(lambda h, texts: texts.where(passes(h), None).map(lambda t: None if t is None else zlib.compress(t.encode(), 1)), "binary")
+    keyed = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("first_t", F.xxhash64("text"))
+    keyed = keyed.select("id", "first_t", pack("first_t", "text").alias("text")).where("text IS NOT NULL")
     texts = written(keyed.join(one, "first_t").where(F.col("id").eqNullSafe(F.col("first_id"))).select("k", "text").dropDuplicates(["k"]))
     of = lambda c: texts.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}"))
 
@@ -346,5 +347,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # texts of rows that go, or that come up more than once, move; all others are what stays of their component
     times = rows.groupBy("doc_id", "t", "k").agg(F.count("*").alias("n")).join(labels.select("k", "component"), "k").join(firsts, "component")
     doubtful = written(times.where("n > 1 OR t <> first.t OR NOT (doc_id <=> first.doc_id)").select("t").distinct())
-    passes = _sieve(doubtful)(F.xxhash64(F.coalesce("text", F.lit(""))))
+    passes = F.pandas_udf(_sieve(doubtful), "boolean")(F.xxhash64(F.coalesce("text", F.lit(""))))
     return docs.where(~passes).union(simhash.rows_of(docs.where(passes), firsts))
