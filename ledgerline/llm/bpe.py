@@ -156,8 +156,8 @@ def load(path: str) -> Automaton:
 class Tables:
     """An automaton's tables as arrays, to take many words through it side by side.
 
-    child[node, byte] walks the trie of arc labels (row 0 is dead, 1 the root), named[node] is the label that ends at a
-    node or -1. Whether an arc exists is looked up in a table of fixed size that forgets on collision.
+    child(node, byte) walks the trie of arc labels (node 0 is dead, 1 the root), whose edges are kept sorted; named[node] is
+    the label that ends at a node or -1. Whether an arc exists is looked up in a table of fixed size that forgets on collision.
     """
 
     SLOTS = 1 << 20
@@ -169,8 +169,7 @@ class Tables:
         for node in inner:
             inner += [v for k, v in node.items() if k >= 0 and len(v) > (-1 in v)]
         number = {id(node): i + 1 for i, node in enumerate(inner)}
-        self.child = np.zeros((len(inner) + 1, 256), np.int32)
-        named = [-1] * (len(inner) + 1)
+        edges, named = {}, [-1] * (len(inner) + 1)
         for node in inner:
             at = number[id(node)]
             named[at] = node.get(-1, -1)
@@ -179,11 +178,19 @@ class Tables:
                     if id(below) not in number:
                         leaves += 1
                         named.append(below[-1])
-                    self.child[at, byte] = number.get(id(below), len(inner) + leaves)
+                    edges[at << 8 | byte] = number.get(id(below), len(inner) + leaves)
+        self.edge = np.array(sorted(edges), np.int32)
+        self.below = np.array([edges[k] for k in self.edge.tolist()], np.int32)
         self.named, self.inner = np.array(named, np.int32), len(inner)
         self.name = [str(i) for i in range(max(auto.labels) + 1)]
         self.keys, self.there = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, bool)
 
+    def child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes below, 0 where there are none."""
+        key = (node.astype(np.int32) << 8) | byte
+        at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+        return np.where(self.edge[at] == key, self.below[at], 0)
+
     def arc(self, before: np.ndarray, label: np.ndarray) -> np.ndarray:
         """Whether the state after a label (-1: the first state) has an arc for another, for many pairs."""
         key = (before.astype(np.int64) + 1) << 20 | label
@@ -209,7 +216,7 @@ class Tables:
         for i in range(most):
             row = np.nonzero((length > i) & ((last[i] >= 0) | (i == 0)))[0]
             before = last[i][row]
-            node = self.child[1, text[i][row]]
+            node = self.child(np.ones(len(row), np.int32), text[i][row])
             for j in range(i, most):
                 label = self.named[node]
                 at = np.nonzero((label >= 0) & (last[j + 1][row] < 0))[0]
@@ -220,7 +227,7 @@ class Tables:
                 if not len(keep):
                     break
                 row, before = row[keep], before[keep]
-                node = self.child[node[keep], text[j + 1][row]]
+                node = self.child(node[keep], text[j + 1][row])
         paths, name = [], self.name
         for n, labels, begins in zip(length.tolist(), last.T.tolist(), start.T.tolist()):
             path = name[labels[n]]
@@ -235,7 +242,7 @@ class Tables:
 class Encoder:
     """An automaton with what a worker remembers: pieces of text met, at most so many, forgotten all at once."""
 
-    def __init__(self, auto: Automaton, split: str = SPLIT, remembered: int = 500_000):
+    def __init__(self, auto: Automaton, split: str = SPLIT, remembered: int = 300_000):
         self.auto, self.remembered, self.tables = auto, remembered, Tables(auto)
         self.find = regex.compile(split).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(auto.special, key=len, reverse=True))) + ")") if auto.special else None
@@ -287,7 +294,7 @@ class Encoder:
         if len(self.known) + len(self.after) > self.remembered:
             self.known.clear()
             self.after.clear()
-            if len(self.auto.arcs) > 2_000_000:
+            if len(self.auto.arcs) > 500_000:
                 self.auto.arcs.clear()
         new = list(known.difference(self.known))
         self.known.update(zip(new, self.learn(new)))
