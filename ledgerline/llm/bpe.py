@@ -242,7 +242,7 @@ class Tables:
 class Encoder:
     """An automaton with what a worker remembers: pieces of text met, at most so many, forgotten all at once."""
 
-    def __init__(self, auto: Automaton, split: str = SPLIT, remembered: int = 300_000):
+    def __init__(self, auto: Automaton, split: str = SPLIT, remembered: int = 200_000):
         self.auto, self.remembered, self.tables = auto, remembered, Tables(auto)
         self.find = regex.compile(split).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(auto.special, key=len, reverse=True))) + ")") if auto.special else None
@@ -294,7 +294,7 @@ class Encoder:
         if len(self.known) + len(self.after) > self.remembered:
             self.known.clear()
             self.after.clear()
-            if len(self.auto.arcs) > 500_000:
+            if len(self.auto.arcs) > 300_000:
                 self.auto.arcs.clear()
         new = list(known.difference(self.known))
         self.known.update(zip(new, self.learn(new)))
@@ -333,9 +333,10 @@ def encode(docs: DataFrame, path: str, output: str = "ids", carry: tuple[str, ..
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
         worker = Encoder(shared.value)
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 texts = worker.ids_texts([t or "" for t in part.column("text").to_pylist()])
                 doc_id = part.column("doc_id").cast(pa.int64())
                 columns = {"doc_id": doc_id}
@@ -349,6 +350,7 @@ def encode(docs: DataFrame, path: str, output: str = "ids", carry: tuple[str, ..
                     columns["decoded_sha256"] = pa.array([sha(worker.decode(t)) for t in texts], pa.string())
                 columns.update((c, part.column(c)) for c in carry)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            pa.default_memory_pool().release_unused()  # workers live on, and share an executor's memory
 
     parts = {"ids": "ids array<int>", "digest": "n_tokens long, ids_sha256 string, decoded_sha256 string"}
     schema = "doc_id long, " + parts.get(output, ", ".join(parts.values()))
