@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ledgerline.llm.common import give_back
+
 #: Fixed value: how the public byte-level vocabularies split text into words before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters with Unicode's White_Space property.
@@ -333,7 +335,7 @@ def encode(docs: DataFrame, path: str, output: str = "ids", carry: tuple[str, ..
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()
+        give_back()
         worker = Encoder(shared.value)
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
@@ -350,7 +352,7 @@ def encode(docs: DataFrame, path: str, output: str = "ids", carry: tuple[str, ..
                     columns["decoded_sha256"] = pa.array([sha(worker.decode(t)) for t in texts], pa.string())
                 columns.update((c, part.column(c)) for c in carry)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-            pa.default_memory_pool().release_unused()  # workers live on, and share an executor's memory
+            give_back()
 
     parts = {"ids": "ids array<int>", "digest": "n_tokens long, ids_sha256 string, decoded_sha256 string"}
     schema = "doc_id long, " + parts.get(output, ", ".join(parts.values()))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.durable import checkpointed, discard, scratch_path, written
 
-__all__ = ["WORD", "checkpointed", "components", "discard", "fold", "scratch_path", "written"]
+__all__ = ["WORD", "checkpointed", "components", "discard", "fold", "give_back", "scratch_path", "written"]
 
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +21,14 @@ def fold(column: str, modulus: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def give_back() -> None:
+    """Hand a worker's freed memory back to the machine: workers live on after their tasks, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b); nodes without an edge don't appear.
 

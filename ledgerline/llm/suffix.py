@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ledgerline.llm.common import discard, written
+from ledgerline.llm.common import discard, give_back, written
 
 LENGTH, GRAM = 200, 50
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -256,6 +256,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows
                 doc, t = part.column("doc").to_numpy()[of], part.column("t").to_numpy()[of]
                 columns = [doc, t, grams.view(np.int64), around.view(np.int64), number.astype(np.int32), at.astype(np.int32), back.astype(np.int16), ahead.astype(np.int16)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], ["doc", "t", "gram", "around", "n", "at", "back", "ahead", "begins", "ends"])
+        give_back()
 
     marked = docs.where(F.octet_length("text") >= length).mapInArrow(marks, "doc long, t long, gram long, around long, n int, at int, back short, ahead short, begins array<int>, ends array<int>")
     # the smaller sides of joins are written first, so that adaptive execution can split a hot key of the larger
@@ -284,6 +285,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows
                         for column, value in zip(rows, (doc, t, m["n"], at, back, ahead, raw[at - back : at + ahead])):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds_)], names)
+        give_back()
 
     texts = docs.join(wanted, ["doc", "t"]).mapInArrow(surroundings, "doc long, t long, n int, at int, back short, ahead short, bytes binary")
     texts = written(texts.dropDuplicates(["doc", "t", "at"]))
@@ -375,6 +377,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
                 else:
                     columns = list(zip(*facts))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        give_back()
 
     if keep_text:
         whole = StructType([StructField("row", docs.schema), StructField("kept", StringType())])
