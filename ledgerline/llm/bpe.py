@@ -353,6 +353,9 @@ def encode(docs: DataFrame, path: str, output: str = "ids", carry: tuple[str, ..
                 columns.update((c, part.column(c)) for c in carry)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
             give_back()
+        worker.auto.arcs.clear()  # the automaton stays with the worker
+        del worker
+        give_back()
 
     parts = {"ids": "ids array<int>", "digest": "n_tokens long, ids_sha256 string, decoded_sha256 string"}
     schema = "doc_id long, " + parts.get(output, ", ".join(parts.values()))

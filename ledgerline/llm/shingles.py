@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import simhash
-from ledgerline.llm.common import components, discard, written
+from ledgerline.llm.common import components, discard, give_back, written
 from ledgerline.llm.pitman_yor import token_hashes
 
 SEED = 42
@@ -116,6 +116,7 @@ def _sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
             first = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts)))
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("t"), longs(keys), longs(prints), pa.array(sizes, pa.int32()), pa.array(lates, pa.int32()), pa.array(bits, pa.binary()), first], ["doc_id", "t", "k", "fp", "n", "late", "bits", "first"])
+        give_back()
 
     return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).mapInArrow(hashed, "doc_id long, t long, k long, fp long, n int, late int, bits binary, first array<long>")
 
