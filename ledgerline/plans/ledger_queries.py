@@ -32,34 +32,50 @@ def _(spark, t):
     return L.rate_snapshot(contracts, t("nation").select("n_nationkey", "n_name"), "20240101", ["n_nationkey"])
 
 
-@query(
-    "stl_b_build_ledger",
-    """
-    WITH r AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 2 ELSE 3 END AS use_state, s_nationkey, p_size,
-                      CAST(CASE WHEN l_returnflag = 'N' THEN 1 ELSE -1 END AS DECIMAL(5,0)) AS sign, CAST(l_extendedprice AS DECIMAL(19,4)) AS a
-               FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+#: The ledger that build_ledger makes of lineitem, in SQL: providers with odd numbers have method 1, whose rounded sum w with tax gives
+#: w / 1.1 to four places, here in whole numbers as 100000 w / 11; provider's rates are 1 and 1.5 percent.
+TAXED = "CAST(round(CAST({} * CAST(0.1 AS DECIMAL(2,1)) AS DECIMAL(19,4)), 0) AS DECIMAL(19,4))"
+UNTAXED = "CAST(CAST(sign({0}) * ((abs(CAST({0} AS BIGINT)) * 200000 + 11) // 22) AS BIGINT) / 10000.0 AS DECIMAL(19,4))"
+BUILT = f"""
+    r AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 2 ELSE 3 END AS use_state, s_nationkey, p_size,
+                 CAST(CASE WHEN l_returnflag = 'N' THEN 1 ELSE -1 END AS DECIMAL(5,0)) AS sign, CAST(l_extendedprice AS DECIMAL(19,4)) AS a
+          FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
     f AS (SELECT *, CAST(a * sign AS DECIMAL(19,4)) AS tx, CASE WHEN p_size % 2 = 1 THEN CAST(CAST(a * sign AS DECIMAL(19,4)) * CAST(0.025 AS DECIMAL(5,3)) AS DECIMAL(19,4)) ELSE CAST(100 * sign AS DECIMAL(19,4)) END AS fee,
-                 CAST(CAST(a * sign AS DECIMAL(19,4)) * CAST(0.01 AS DECIMAL(5,3)) AS DECIMAL(19,4)) AS pg FROM r)
-    SELECT l_orderkey, l_linenumber, use_state, CAST(tx AS DOUBLE) AS tx_amt, CAST(round(fee, 0) AS DOUBLE) AS cl_comm,
-           CAST(round(pg, 0) AS DOUBLE) AS pg_comm, CAST(round(CAST(round(fee, 0) * CAST(0.1 AS DECIMAL(2,1)) AS DECIMAL(19,4)), 0) AS DOUBLE) AS cl_vt FROM f
-    """,
-)
-def _(spark, t):
+                 CAST(CAST(a * sign AS DECIMAL(19,4)) * CASE WHEN s_nationkey % 3 = 0 THEN CAST(0.015 AS DECIMAL(5,3)) ELSE CAST(0.01 AS DECIMAL(5,3)) END AS DECIMAL(19,4)) AS pg FROM r),
+    g AS (SELECT *, CAST(round(fee, 0) AS DECIMAL(19,4)) AS cl_comm, round(CAST(pg * CAST(1.1 AS DECIMAL(3,1)) AS DECIMAL(19,4)), 0) AS w FROM f),
+    h AS (SELECT *, CASE WHEN s_nationkey % 2 = 0 THEN CAST(round(pg, 0) AS DECIMAL(19,4)) ELSE {UNTAXED.format("w")} END AS pg_comm FROM g),
+    b AS (SELECT l_orderkey, l_linenumber, use_state, tx, cl_comm, pg_comm, {TAXED.format("cl_comm")} AS cl_vt, {TAXED.format("pg_comm")} AS pg_vt FROM h)"""
+
+
+def built(t):
+    """The ledger of all lines in three branches."""
     rows = lines(t).join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     rows = rows.select(F.lit("d").alias("ymd"), (F.col("p_size") % 2).alias("client_id"), F.col("s_nationkey").alias("pg_name"), F.lit(0).alias("mall_id"), "l_orderkey", "l_linenumber", "l_returnflag", F.col("amt").alias("tx_amt"))
     branches = {s: rows.where(F.col("l_returnflag") == f).drop("l_returnflag") for s, f in ((L.FULL, "N"), (L.PARTIAL, "R"), (L.REFUND, "A"))}
     keys = t("nation").select(F.lit("d").alias("ymd"), F.col("n_nationkey").alias("pg_name"), F.lit(0).alias("mall_id"))
     client = keys.withColumn("client_id", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"commission_type": F.col("client_id"), "commission_rate": F.lit("2.5").cast(MONEY), "commission_amt": F.lit(100).cast(MONEY)})
-    properties = t("nation").select(F.col("n_nationkey").alias("pg_name"), F.lit(0).alias("comm_method"), F.lit(0).alias("comm_round_flag"), F.lit(0).alias("comm_sum_round_flag"))
-    built = L.build_ledger(branches, client, keys.withColumn("pg_rate", F.lit(1).cast(MONEY)), properties, tax)
-    return built.select(*KEY, "use_state", "tx_amt", "cl_comm", "pg_comm", "cl_vt")
+    rates = keys.withColumn("pg_rate", F.when(F.col("pg_name") % 3 == 0, F.lit("1.5").cast(MONEY)).otherwise(F.lit(1).cast(MONEY)))
+    # providers without properties, every fourth of them, use method 0
+    properties = t("nation").where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("pg_name"), (F.col("n_nationkey") % 2).alias("comm_method"), F.lit(0).alias("comm_round_flag"), F.lit(0).alias("comm_sum_round_flag"))
+    return L.build_ledger(branches, client, rates, properties, tax)
 
 
-@query("stl_c_provider_cost", "SELECT l_orderkey, l_linenumber, CAST(round(CAST(CAST(l_extendedprice AS DECIMAL(19,4)) * CAST(0.02 AS DECIMAL(4,2)) AS DECIMAL(19,4)), 0) AS DOUBLE) AS cost, CAST(round(CAST(CAST(CAST(l_extendedprice AS DECIMAL(19,4)) * CAST(0.02 AS DECIMAL(4,2)) AS DECIMAL(19,4)) * CAST(1.1 AS DECIMAL(3,1)) AS DECIMAL(19,4)), 0) AS DOUBLE) AS with_tax FROM lineitem")
+@query("stl_b_build_ledger", f"WITH {BUILT} SELECT l_orderkey, l_linenumber, use_state, CAST(tx AS DOUBLE) AS tx_amt, CAST(cl_comm AS DOUBLE) AS cl_comm, CAST(pg_comm AS DOUBLE) AS pg_comm, CAST(cl_vt AS DOUBLE) AS cl_vt, CAST(pg_vt AS DOUBLE) AS pg_vt FROM b")
+def _(spark, t):
+    return built(t).select(*KEY, "use_state", "tx_amt", "cl_comm", "pg_comm", "cl_vt", "pg_vt")
+
+
+@query(
+    "stl_c_provider_cost",
+    f"""
+    WITH c AS (SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(19,4)) * CAST(0.02 AS DECIMAL(4,2)) AS DECIMAL(19,4)) AS fee FROM lineitem),
+    w AS (SELECT *, round(CAST(fee * CAST(1.1 AS DECIMAL(3,1)) AS DECIMAL(19,4)), 0) AS w FROM c)
+    SELECT l_orderkey, l_linenumber, CAST(round(fee, 0) AS DOUBLE) AS cost, CAST({UNTAXED.format("w")} AS DOUBLE) AS untaxed FROM w
+    """,
+)
 def _(spark, t):
     cost = lambda method: L.provider_cost(F.col("amt"), F.lit(2), F.lit(method), F.lit(0), F.lit(0))
-    with_tax = round3((cost(1) * F.lit("1.1").cast("decimal(3,1)")).cast(MONEY), 0)
-    return lines(t).select(*KEY, cost(0).alias("cost"), with_tax.alias("with_tax"))
+    return lines(t).select(*KEY, cost(0).alias("cost"), cost(1).alias("untaxed"))
 
 
 @query("stl_d_minimum_fee", f"WITH {LEDGER} SELECT l_orderkey, l_linenumber, CAST(CASE WHEN abs(fee) < 500 THEN 500 ELSE fee END AS DOUBLE) AS fee, CASE WHEN abs(fee) < 500 THEN 'minimum' ELSE 'regular' END AS fee_type FROM l")
@@ -94,11 +110,9 @@ def _(spark, t):
     return L.propagate_status(t("orders"), returned, ["o_orderkey"], "o_orderstatus", "R").select("o_orderkey", "o_orderstatus")
 
 
-@query("stl_i_ledger_totals", f"WITH {LEDGER} SELECT l_orderkey, l_linenumber, CAST(fee + 10 AS DOUBLE) AS cl_total, CAST(3.5 AS DOUBLE) AS pg_total, CAST(fee + 10 - 3.5 AS DOUBLE) AS income FROM l")
+@query("stl_i_ledger_totals", f"WITH {BUILT} SELECT l_orderkey, l_linenumber, CAST(cl_comm + cl_vt AS DOUBLE) AS cl_total, CAST(pg_comm + pg_vt AS DOUBLE) AS pg_total, CAST(cl_comm + cl_vt - pg_comm - pg_vt AS DOUBLE) AS income FROM b")
 def _(spark, t):
-    of = lambda x: F.lit(x).cast(MONEY)
-    rows = ledger(t).withColumns({"cl_comm": F.col("fee"), "cl_vt": of("10"), "pg_comm": of("3"), "pg_vt": of("0.5")})
-    return L.ledger_totals(rows).select(*KEY, "cl_total", "pg_total", "income")
+    return L.ledger_totals(built(t)).select(*KEY, "cl_total", "pg_total", "income")
 
 
 PERIODS = "p AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '2024' || lpad(CAST(s_suppkey % 12 + 1 AS VARCHAR), 2, '0') || '01' END AS d FROM supplier WHERE s_suppkey % 5 <> 0)"

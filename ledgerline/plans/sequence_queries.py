@@ -276,6 +276,25 @@ def _(spark, t):
     return I.upsert(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), ["source"], [F.col("doc_id")])
 
 
+@query("inc4_upsert_store", "SELECT doc_id, lang, CASE WHEN doc_id % 11 = 0 THEN 'again' ELSE source END AS source, n_chars, text FROM documents")
+def _(spark, t):
+    d = t("documents").select("doc_id", "lang", "source", "n_chars", "text")
+    path = scratch_path(spark)
+    # stored without the documents that only the updates bring
+    I.write_store(d.where("doc_id % 22 <> 0"), path, ["doc_id"], 16)
+    I.upsert_store(spark, path, d.where("doc_id % 11 = 0").withColumn("source", F.lit("again")), ["doc_id"], [F.col("n_chars")])
+    return I.read_store(spark, path)
+
+
+@query("inc5_merge_into_store", "SELECT source, lang, coalesce(max(doc_id) FILTER (doc_id % 3 = 2), max(doc_id) FILTER (doc_id % 3 = 1), max(doc_id)) AS doc_id FROM documents GROUP BY 1, 2")
+def _(spark, t):
+    d = t("documents").select("source", "lang", "doc_id")
+    path, key, order = scratch_path(spark), ["source", "lang"], [F.col("doc_id")]
+    I.write_store(I.merge_stores(d.where("doc_id % 3 = 0"), key=key, order=order), path, key, 8)
+    I.merge_into_store(spark, path, *(d.where(f"doc_id % 3 = {i}") for i in (1, 2)), key=key, order=order)
+    return I.read_store(spark, path)
+
+
 @query("inc5_merge_stores", "SELECT lang, source, coalesce(max(doc_id) FILTER (doc_id % 3 = 2), max(doc_id) FILTER (doc_id % 3 = 1), max(doc_id)) AS doc_id FROM documents GROUP BY 1, 2")
 def _(spark, t):
     d = t("documents").select("lang", "source", "doc_id")
