@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -331,12 +332,12 @@ def encode(docs: DataFrame, path: str, output: str = "ids", carry: tuple[str, ..
     compiled automaton is broadcast; its size is the vocabulary's.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load(path))
+    shared = spark.sparkContext.broadcast(pickle.dumps(load(path)))  # as bytes: a task's automaton ends with the task
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        worker = Encoder(shared.value)
+        worker = Encoder(pickle.loads(shared.value))
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 texts = worker.ids_texts([t or "" for t in part.column("text").to_pylist()])
@@ -353,7 +354,6 @@ def encode(docs: DataFrame, path: str, output: str = "ids", carry: tuple[str, ..
                 columns.update((c, part.column(c)) for c in carry)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
             give_back()
-        worker.auto.arcs.clear()  # the automaton stays with the worker
         del worker
         give_back()
 
