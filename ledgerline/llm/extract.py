@@ -307,22 +307,36 @@ def labelled(page: str, text: str) -> tuple[list[list[str]], list[int]] | None:
     return (features(blocks), labels) if shared >= len(whole) / 2 and whole else None
 
 
+def labelled_sample(pages: DataFrame, documents: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
+    """(page_id, html, text) of at most sample pages whose doc_id documents holds, first by a hash of the page, as long as
+    the pages have sample_bytes together, and their texts too.
+
+    The same tables give the same rows, however they are dealt out: of several pages of one id, or several texts of one
+    document, the one with the smallest hash counts. Null ids of documents, pages and texts take no part; a null page_id is one id.
+    """
+    place = [F.xxhash64("page_id"), F.col("page_id")]
+    so_far = lambda column, *more: F.sum(F.octet_length(column).cast("long")).over(Window.orderBy(*place, *more).rowsBetween(Window.unboundedPreceding, 0))
+    ties = [F.xxhash64("html"), F.col("doc_id"), F.col("html")]
+    named = pages.select("page_id", "doc_id", "html").where(F.col("doc_id").isNotNull() & (F.octet_length("html") <= sample_bytes))
+    chosen = named.orderBy(*place, *ties).limit(sample).withColumn("so_far", so_far("html", *ties)).where(F.col("so_far") <= sample_bytes)
+    texts = documents.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes)
+    pairs = texts.join(F.broadcast(chosen.drop("so_far")), "doc_id")
+    one = pairs.groupBy("page_id").agg(F.min_by(F.struct("html", "text"), F.struct(F.xxhash64("html"), "html", F.xxhash64("text"), "text")).alias("first")).select("page_id", "first.*")
+    return one.withColumn("so_far", so_far("text")).where(F.col("so_far") <= sample_bytes).drop("so_far")
+
+
 def fit(pages: DataFrame, documents: DataFrame, sample: int = 1000, sample_bytes: int = 32 << 20) -> Chain:
-    """A chain from templates() and at most sample labelled pages: those of pages (page_id, doc_id, html) whose doc_id
-    documents holds, first by a hash of the page, as long as they have sample_bytes together. The bounds are on what the
-    driver takes in; pages of any length train, up to sample_bytes."""
-    named = pages.where(F.col("doc_id").isNotNull() & (F.octet_length("html") <= sample_bytes))
-    first = named.orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    so_far = F.sum(F.octet_length("html").cast("long")).over(Window.orderBy(F.xxhash64("page_id"), "page_id").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes)
-    rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen.select("page_id", "doc_id", "html")), "doc_id").dropDuplicates(["page_id"])
-    made = [labelled(r["html"], r["text"]) for r in sorted(rows.collect(), key=lambda r: r["page_id"])]
+    """A chain from templates() and the labelled_sample() of pages (page_id, doc_id, html) and documents (doc_id, text).
+    The bounds are on what the driver takes in; pages of any length train, up to sample_bytes."""
+    rows = labelled_sample(pages, documents, sample, sample_bytes).orderBy("page_id").collect()
+    made = [labelled(r["html"], r["text"]) for r in rows]
     return train([m for m in made if m] + templates())
 
 
 def extract(pages: DataFrame, chain: Chain) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html): blocks labelled main, joined by line
-    ends; empty text and 0 for null or empty pages and for pages without such blocks."""
+    ends; empty text and 0 for null or empty pages and for pages without such blocks. Repeated rows come out as often, an
+    empty table gives an empty one, and other columns of whatever name are left aside."""
     shared = pages.sparkSession.sparkContext.broadcast(chain)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -209,7 +209,7 @@ def write_media(docs: DataFrame) -> DataFrame:
 def read_media(media: DataFrame) -> DataFrame:
     """Digests and features of every stored file (doc_id, n_bytes, media), from the bytes read back.
 
-    A file that isn't whole raises; null media too. Repeated rows are read one by one; an empty table gives an empty one.
+    A file that isn't whole raises; null media give nulls beside doc_id and n_bytes. Repeated rows are read one by one; an empty table gives an empty one.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
@@ -217,8 +217,8 @@ def read_media(media: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for doc_id, n, stored in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
-                payload, facts = decode(stored)
-                values = (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload, facts))
+                payload, facts = (None, None) if stored is None else decode(stored)
+                values = (doc_id, n, *[None] * 6) if payload is None else (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload, facts))
                 for column, value in zip(rows, values):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
