@@ -256,15 +256,24 @@ class Linker:
         self.across(a[ao], b[bi])
 
 
+def scaled(total: int, shard_size: int = 20_000, sample: int = 8192) -> tuple[int, int]:
+    """Size of a shard and of the sample for total distinct values. Both grow with the square root of total beyond a
+    million, so that a shard stands for as many points of the sample at any size, and the upper trees split down to it."""
+    growth = max(1.0, (total / 1_000_000) ** 0.5)
+    return int(shard_size * growth), int(sample * growth)
+
+
 def edges(prints: DataFrame, radius: int = RADIUS, shard_size: int = 20_000, sample: int = 8192, views: int = VIEWS) -> DataFrame:
     """(a, b): edges that span what is within radius bits among all distinct values of prints (fp), shard by shard.
 
-    shard_size is what a task takes in at a time, whatever the size of the table. sample bounds what the driver takes in
-    to lay out the upper trees; every value is compared all the same.
+    shard_size is what a task takes in at a time, sample what the driver takes in to lay out the upper trees, both for a
+    million distinct values and growing with their square root: for ten thousand million, 2 million values of 8 bytes and
+    a sample of 819,200. Every value is compared all the same.
     """
     spark = prints.sparkSession
     distinct = written(prints.select("fp").where("fp IS NOT NULL").distinct())
     total = distinct.count()
+    shard_size, sample = scaled(total, shard_size, sample)
     rows = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     some = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
     near, masks = radius // views, parts(views)

@@ -104,14 +104,14 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, le
     return Model({f: float(w[i]) for f, i in index.items() if w[i]}, float(w[-1]), corrected)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int = 2500, unlabelled: int = 6000, least: int = 8, most: int = 40_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int = 2500, unlabelled: int = 6000, least: int = 8) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), outside the fold held_out.
 
     The class prior is the share of toxic documents among all labelled ones outside the fold, shrunk towards a quarter by
     the weight of two labels, so that it is never 0 or 1. The texts are a bounded sample of the labelled rows: at most
     `positives` toxic ones, and at most `unlabelled` drawn whatever their label says, whose labels aren't looked at; both
-    first by a hash of their id. Features are those that at least `least` of these texts have, the `most` commonest; how
-    often a class has them plays no part. A document with several labels counts as toxic if one says so; of several texts
+    first by a hash of their id. Features are all that at least `least` of these texts have; how often a class has them
+    plays no part, and their number is bounded by the sample's text alone. A document with several labels counts as toxic if one says so; of several texts
     with one doc_id, the first by a hash of the text trains. Null ids, labels and texts don't. Without toxic labels every
     text gets the prior.
     """
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int =
 
     rows = written(texts.mapInArrow(terms, "doc_id long, side int, terms array<string>"))
     counts = rows.select(F.explode("terms").alias("term")).groupBy("term").count().where(F.col("count") >= least)
-    kept = sorted(r["term"] for r in counts.orderBy(F.desc("count"), "term").limit(most).select("term").collect())
+    kept = sorted(counts.select("term").toArrow()["term"].to_pylist())
     index = spark.sparkContext.broadcast({t: i for i, t in enumerate(kept)})
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

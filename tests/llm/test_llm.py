@@ -101,6 +101,14 @@ def test_nnpu_corrects_a_negative_part_and_weighs_both_ways():
     assert model.weights["bad0"] > 0 > model.weights["good0"]
 
 
+def test_every_feature_of_enough_texts_is_weighed(spark):
+    """60,000 words in eight texts each: the one that tells toxic texts is the last by name, and counts."""
+    block = lambda i: " ".join(f"w{k}" for k in range(i % 6 * 10_000, i % 6 * 10_000 + 10_000))
+    docs = spark.createDataFrame([(i, block(i) + (" zzz" if i < 24 else "")) for i in range(120)], "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") < 24).cast("int").alias("toxic")))
+    assert model.weights["zzz"] == max(model.weights.values()) > 0 and model.score("w1 zzz") > 0.5 > model.score("w1")
+
+
 def test_toxicity_of_one_sided_labels(spark):
     docs = spark.createDataFrame([(i, f"word{i % 7} other text here") for i in range(60)] + [(1, "more of the same id")] * 3, "doc_id long, text string")
     every = toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic")))
@@ -271,6 +279,19 @@ def test_views_lose_no_pair():
     assert met[near].all() and near.sum() > 2 * len(x)
 
 
+def test_copies_of_fingerprints_grow_slowly():
+    """How many shards a random fingerprint goes to, in trees laid out for 1 and for 64 million of them: a power below 1.4."""
+    rng = np.random.default_rng(12)
+    asked, copies = rng.integers(0, 1 << 64, 2000, np.uint64), []
+    for total in (1_000_000, 64_000_000):
+        most, sample = simhash.scaled(total)
+        assert (most, sample) == (20_000 * int(total**0.5) // 1000, 8192 * int(total**0.5) // 1000)
+        tree = simhash.Shards(rng.integers(0, 1 << 64, sample, np.uint64), total, most, 1, simhash.parts()[0])
+        copies.append(len(tree.assign(asked)[0]) / len(asked))
+    assert copies[1] < copies[0] * 64**0.4
+    assert simhash.scaled(10) == (20_000, 8192)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.range(300).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
     got = common.components(edges).collect()
