@@ -114,13 +114,13 @@ hl AS (SELECT *, list_extract(parts, -1) AS l1, array_to_string(list_slice(parts
 hs AS (SELECT host, n, bad, CASE WHEN address THEN bare WHEN l2 IN (SUFFIXES) THEN l2 ELSE l1 END AS suffix, CASE WHEN address THEN bare WHEN l2 IN (SUFFIXES) THEN l3 ELSE l2 END AS domain FROM hl),
 d AS (SELECT suffix, domain, sum(n) AS dn, sum(bad) AS db FROM hs GROUP BY 1, 2),
 s AS (SELECT suffix, sum(n) AS sn, sum(bad) AS sb FROM hs GROUP BY 1),
-w AS (SELECT coalesce(sum(bad) / sum(n), 0.0) AS rate FROM hs),
+w AS (SELECT coalesce(sum(bad) / sum(n), 0.0) AS rate, CAST(coalesce(sum(n), 1) AS DOUBLE) AS most FROM hs),
 v1 AS (SELECT sum((sb / sn - rate) * (sb / sn - rate) * sn) / sum(sn) - count(*) * max(rate) * (1 - max(rate)) / sum(sn) AS v FROM s, w WHERE sn > 1),
 v2 AS (SELECT sum((db / dn - rate) * (db / dn - rate) * dn) / sum(dn) - count(*) * max(rate) * (1 - max(rate)) / sum(dn) AS v FROM d, w WHERE dn > 1),
 v3 AS (SELECT sum((bad / n - rate) * (bad / n - rate) * n) / sum(n) - count(*) * max(rate) * (1 - max(rate)) / sum(n) AS v FROM hs, w WHERE n > 1),
-m AS (SELECT rate, CASE WHEN v1.v > 0 THEN greatest(2.0, least(200.0, rate * (1 - rate) / v1.v - 1)) ELSE 200.0 END AS m1,
-             CASE WHEN v2.v > 0 THEN greatest(2.0, least(200.0, rate * (1 - rate) / v2.v - 1)) ELSE 200.0 END AS m2,
-             CASE WHEN v3.v > 0 THEN greatest(2.0, least(200.0, rate * (1 - rate) / v3.v - 1)) ELSE 200.0 END AS m3 FROM w, v1, v2, v3),
+m AS (SELECT rate, CASE WHEN v1.v > 0 THEN greatest(1.0, least(most, rate * (1 - rate) / v1.v - 1)) ELSE most END AS m1,
+             CASE WHEN v2.v > 0 THEN greatest(1.0, least(most, rate * (1 - rate) / v2.v - 1)) ELSE most END AS m2,
+             CASE WHEN v3.v > 0 THEN greatest(1.0, least(most, rate * (1 - rate) / v3.v - 1)) ELSE most END AS m3 FROM w, v1, v2, v3),
 e AS (SELECT host, n, bad, m3, (db + m2 * ((sb + m1 * rate) / (sn + m1))) / (dn + m2) AS prior
       FROM hs JOIN d USING (suffix, domain) JOIN s USING (suffix), m),
 ab AS (SELECT host, n, bad, greatest(bad + m3 * prior, 1e-6) AS a, greatest(n - bad + m3 * (1 - prior), 1e-6) AS b, ln(0.25 / 0.75) AS z FROM e),

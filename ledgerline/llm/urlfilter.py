@@ -50,6 +50,28 @@ def suffix_and_domain(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIX
     return F.when(address, bare).when(two, last(2)).otherwise(last(1)), F.when(address, bare).when(two, last(3)).otherwise(last(2))
 
 
+def registered(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """hosts (host, distinct, and other columns) with their suffix and registered domain by a table suffixes (suffix).
+
+    Its rows are written as public lists of suffixes are: `co.uk`; `*.ck` for any one label before ck; `!www.ck` for a
+    name that is registered although such a row covers it. The longest row that fits wins, an exception before all; where
+    none fits the last label is the suffix. Null, empty and repeated rows of suffixes change nothing. A host that is a
+    suffix is its own domain, an address suffix and domain in one.
+    """
+    bare = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":[0-9]*$", "")
+    labels, address = F.split(bare, r"\."), bare.rlike(r"^[0-9.]+$|^\[")
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    rule = F.lower(F.trim("suffix"))
+    more = F.when(rule.startswith("!"), -1).when(rule.startswith("*."), 1).otherwise(0)
+    rules = suffixes.where(F.trim("suffix") != "").select(F.regexp_replace(rule, r"^(!|\*\.)", "").alias("ending"), more.alias("more")).distinct()
+    endings = hosts.select("host", F.size(labels).alias("size"), F.explode(F.sequence(F.lit(1), F.size(labels))).alias("k")).withColumn("ending", last(F.col("k")))
+    fits = endings.join(rules, "ending").where("k + more BETWEEN 1 AND size")
+    best = fits.groupBy("host").agg(F.max(F.struct(F.col("more") == -1, F.col("k") + F.col("more"))).alias("best"))
+    taken = F.coalesce(F.col("best.col2"), F.lit(1))
+    named = lambda n: F.when(address, bare).otherwise(last(n))
+    return hosts.join(best, "host", "left").withColumns({"suffix": named(taken), "domain": named(taken + 1)}).drop("best")
+
+
 STEPS = 400  # intervals of the integrals on either side of the threshold
 WIDE = 12.0  # standard deviations beyond which only the tails' closed forms count
 
@@ -76,17 +98,22 @@ def above(a: Column, b: Column, threshold: float) -> Column:
     return over / (over + integral(low, F.lit(z)) + density(low) / a)
 
 
-def reputation(outcomes: DataFrame, threshold: float = 0.25, least: float = 2.0, most: float = 200.0, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def reputation(outcomes: DataFrame, threshold: float = 0.25, suffixes: tuple[str, ...] | DataFrame = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(host, host_pages, host_bad, above) of labelled pages (host, bad 0/1): above is the posterior probability that a
     host's rate of bad pages is above threshold; the posterior's lower bound at 1 - p is above it where above > p.
 
-    A level's strength is m = p(1-p) / v - 1, between least and most, with p the rate of all pages and v the variance of
-    the children's rates around it beyond binomial noise; children of one page say nothing about v. Rows with a null host
+    A level's strength is m = p(1-p) / v - 1, with p the rate of all pages and v the variance of the children's rates
+    around it beyond binomial noise; children of one page say nothing about v. A prior weighs as much as one page at least
+    and as all labelled pages at most, which it does where children differ by no more than noise. suffixes are endings of
+    two labels, or a table of them as `registered` takes it. Rows with a null host
     or outcome are left out; repeated rows count one by one; no labelled page at all gives an empty table.
     """
-    suffix, domain = suffix_and_domain(F.col("host"), suffixes)
     hosts = outcomes.where("host IS NOT NULL AND bad IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    hosts = written(hosts.withColumn("suffix", suffix).withColumn("domain", domain))
+    if isinstance(suffixes, DataFrame):
+        hosts = written(registered(hosts, suffixes))
+    else:
+        suffix, domain = suffix_and_domain(F.col("host"), suffixes)
+        hosts = written(hosts.withColumn("suffix", suffix).withColumn("domain", domain))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("domain_n"), F.sum("bad").alias("domain_bad"))
     suffixes_ = domains.groupBy("suffix").agg(F.sum("domain_n").alias("suffix_n"), F.sum("domain_bad").alias("suffix_bad"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -97,7 +124,8 @@ def reputation(outcomes: DataFrame, threshold: float = 0.25, least: float = 2.0,
         off = F.col(bad) / F.col(n) - F.lit(rate)
         spread = children.where(F.col(n) > 1).agg((F.sum(off * off * F.col(n)) / F.sum(n)).alias("v"), (F.count("*") * rate * (1 - rate) / F.sum(n)).alias("noise")).first()
         beyond = (spread["v"] or 0.0) - (spread["noise"] or 0.0)
-        return max(least, min(most, rate * (1 - rate) / beyond - 1)) if beyond > 0 else most
+        most = float(whole["n"] or 1)
+        return max(1.0, min(most, rate * (1 - rate) / beyond - 1)) if beyond > 0 else most
 
     m1, m2, m3 = strength(suffixes_, "suffix_n", "suffix_bad"), strength(domains, "domain_n", "domain_bad"), strength(hosts, "n", "bad")
     shrunk = lambda bad, n, m, prior: (F.col(bad) + F.lit(m) * prior) / (F.col(n) + F.lit(m))
@@ -110,12 +138,12 @@ def reputation(outcomes: DataFrame, threshold: float = 0.25, least: float = 2.0,
     return rows.select("host", "host_pages", "host_bad", above(F.col("a"), F.col("b"), threshold).alias("above"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = 0.25, sure: float = 0.95) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = 0.25, sure: float = 0.95, suffixes: tuple[str, ...] | DataFrame = TWO_LABEL_SUFFIXES) -> DataFrame:
     """One row per row of pages (page_id, url): page_id, host, path, rule, verdict, host_pages, host_bad.
 
     outcomes holds (page_id, bad) of labelled pages; several outcomes of one page count as bad if one is. Without a
     rule, a host is blocked where its bad rate is above threshold with a posterior probability over sure: where the
-    posterior's lower bound is. Unknown and empty hosts are allowed. Repeated rows are judged one by one; an empty table
+    posterior's lower bound is. suffixes are as in `reputation`. Unknown and empty hosts are allowed. Repeated rows are judged one by one; an empty table
     gives an empty one.
     """
     host, path = host_and_path(F.col("url"))
@@ -123,7 +151,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float =
     known = outcomes.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     # counts go through the hosts, so a hot host is summed before it is shuffled
     # and the hosts' scores are written, so that adaptive execution can split it in the join below
-    scores = written(reputation(rows.where("host <> ''").join(known, "page_id").select("host", "bad"), threshold))
+    scores = written(reputation(rows.where("host <> ''").join(known, "page_id").select("host", "bad"), threshold, suffixes))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return rows.join(scores, "host", "left").select(
         "page_id",

@@ -57,6 +57,35 @@ def bag(rows):
     return collections.Counter(map(tuple, rows))
 
 
+def test_suffixes_from_a_table(spark):
+    """Rows of a list of public suffixes, with wildcards and exceptions, against a loop over a host's endings."""
+    rules = ["com", "co.uk", "uk", "*.ck", "!www.ck", "*.b.c", "x.y.b.c", None, "", "co.uk", "NET"]
+    hosts = ["a.b.co.uk", "co.uk", "uk", "www.ck", "q.www.ck", "a.b.ck", "b.ck", "ck", "p.q.b.c", "p.x.y.b.c", "b.c", "no.rule", "single", "1.2.3.4:80", "u@m.net:8", "[::1]:80", "..", "a..com"]
+
+    def plain(host: str) -> tuple[str, str]:
+        bare = host.split("@")[-1]
+        bare = bare.rsplit(":", 1)[0] if ":" in bare and bare.rsplit(":", 1)[1].isdigit() else bare
+        if bare.startswith("[") or bare.replace(".", "").isdigit():
+            return bare, bare
+        parts, known, taken = bare.split("."), {r.lower() for r in rules if r}, 1
+        for k in range(1, len(parts) + 1):
+            end = parts[-k:]
+            if ".".join(end) in known or ".".join(["*", *end[1:]]) in known:
+                taken = max(taken, k)
+        for k in range(2, len(parts) + 1):
+            if "!" + ".".join(parts[-k:]) in known:
+                taken = k - 1
+        return ".".join(parts[-taken:]), ".".join(parts[-taken - 1 :])
+
+    table = spark.createDataFrame([(r,) for r in rules], "suffix string")
+    found = urlfilter.registered(spark.createDataFrame([(h,) for h in hosts], "host string"), table).collect()
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in found if r["host"] != ".."} == {h: plain(h) for h in hosts if h != ".."} and len(found) == len(hosts)
+    outcomes = spark.createDataFrame([("a.x.ck", 1)] * 9 + [("b.y.ck", 0)] * 9, "host string, bad int")
+    above = {r["host"]: r["above"] for r in urlfilter.reputation(outcomes, 0.5, table).collect()}
+    assert above["a.x.ck"] > 0.95 and above["b.y.ck"] < 0.05
+    assert urlfilter.reputation(outcomes, 0.5, table.limit(0)).count() == 2 and urlfilter.reputation(outcomes.limit(0), 0.5, table).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op2_url_reputation", "op9_curriculum_mix"])
 def test_sql(spark, name):
     same(queries.queries()[name](spark, SF), duck(SF), queries.oracle_sql()[name])
