@@ -10,7 +10,6 @@ ids are decoded by emitting arc labels.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import pickle
@@ -244,8 +243,7 @@ class Tables:
 
 
 class Encoder:
-    """An automaton with what a worker remembers: pieces of text met, at most so many; beyond that only those that the texts at
-    hand have again are kept."""
+    """An automaton with what a worker remembers: pieces of text met, at most so many, forgotten all at once."""
 
     def __init__(self, auto: Automaton, split: str = SPLIT, remembered: int = 200_000):
         self.auto, self.remembered, self.tables = auto, remembered, Tables(auto)
@@ -297,8 +295,8 @@ class Encoder:
                     cut.append(("uneven", "", pieces))
             cut.append(None)
         if len(self.known) + len(self.after) > self.remembered:
-            self.known = {p: self.known[p] for p in known & self.known.keys()}
-            self.after = {p: self.after[p] for p in after & self.after.keys()}
+            self.known.clear()
+            self.after.clear()
             if len(self.auto.arcs) > 300_000:
                 self.auto.arcs.clear()
         new = list(known.difference(self.known))
@@ -340,7 +338,6 @@ def encode(docs: DataFrame, path: str, output: str = "ids", carry: tuple[str, ..
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         worker = Encoder(pickle.loads(shared.value))
-        gc.freeze()  # the automaton has no cycles; looking for them in it took a fifth of the time
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 texts = worker.ids_texts([t or "" for t in part.column("text").to_pylist()])
@@ -357,7 +354,6 @@ def encode(docs: DataFrame, path: str, output: str = "ids", carry: tuple[str, ..
                 columns.update((c, part.column(c)) for c in carry)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
             give_back()
-        gc.unfreeze()
         del worker
         give_back()
 
