@@ -39,7 +39,8 @@ def node_status(reached: DataFrame, nodes: DataFrame, current_db: str, max_depth
 
 def _spread(labels: DataFrame, steps: DataFrame, rounds: int | None = None) -> DataFrame:
     """labels (node, label) carried over steps (source, target) until nothing sinks any more: each node has the least label
-    of those that reach it, its own included. Only nodes whose label sank pass it on."""
+    of those that reach it, its own included. Only nodes whose label sank pass it on. With rounds, the least label of those
+    that reach it in so many steps; nodes that none reaches so are left out."""
     known = written(labels.groupBy("node").agg(F.min("label").alias("label")))
     moved = known
     for _ in count() if rounds is None else range(rounds):
@@ -47,8 +48,8 @@ def _spread(labels: DataFrame, steps: DataFrame, rounds: int | None = None) -> D
         after = written(known.join(new, "node", "full").select("node", F.least("label", "new").alias("label"), (F.col("new").isNotNull() & (F.col("label").isNull() | (F.col("new") < F.col("label")))).alias("sank")))
         known, moved = after.select("node", "label"), after.where("sank").select("node", "label")
         if moved.isEmpty():
-            return known
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+            break
+    return known
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -202,40 +203,49 @@ def close_entry_points(entries: DataFrame, edges: DataFrame) -> DataFrame:
     what has no place yet is the first placed procedure that reaches it over others without one, as labels that sink to
     the least path tell; what its owner calls directly gets its place behind it. Only where an owner has placed several do
     their labels have to be spread among what is left to it.
+
+    Callers come up before what they call. So each of the first n + 1 to be added, for n entries, is reached in n + 1 steps,
+    and labels go no further; and what comes up behind n + 1 others is dropped with what it owns. What a label that stopped
+    early or a dropped owner leaves to a later owner comes up behind these, too. Rounds are bounded by the entries, however
+    long the chains of the graph are.
     """
     first = lambda df, by, *keep: df.groupBy(by).agg(F.min(F.struct(*keep)).alias("r")).select(by, *(f"r.{c}" for c in keep))
-    start = first(entries.select(F.lower("name").alias("node"), F.col("position").cast("long").alias("position"), "name"), "node", "position", "name")
-    placed = written(start.select("node", F.array("position").alias("path"), "name", F.lit(False).alias("added")))
+    start = written(first(entries.select(F.lower("name").alias("node"), F.col("position").cast("long").alias("position"), "name"), "node", "position", "name"))
+    most = start.count() + 1
+    placed = written(start.select("node", F.array("position").alias("path"), "name"))
     low = edges.select(F.lower("source").alias("source"), F.lower("target").alias("target"), F.col("sibling").cast("long").alias("sibling"), F.col("target").alias("name"))
     calls = low.groupBy("source", "target").agg(F.min(F.struct("sibling", "name")).alias("r")).select("source", "target", "r.sibling", "r.name")
     calls = written(calls.join(placed.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target", "sibling", "name"))
-    reach = lambda of: calls.join(of, F.col("source") == F.col("node")).select(F.col("target").alias("node"), F.col("path").alias("label"))
-    owned = _spread(reach(placed), calls)
-    newest = placed
+    owned = _spread(calls.join(placed, F.col("source") == F.col("node")).select(F.col("target").alias("node"), F.col("path").alias("label")), calls, most)
+    calls = written(calls.join(owned.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target", "sibling", "name"))
+    order = F.struct(F.slice("path", F.lit(1), F.size("path") - 1).alias("caller"), F.element_at("path", -1).alias("sibling"), "node")
+    newest, added, round_ = placed, None, 0
     while not owned.isEmpty():
+        round_ += 1
         heads = newest.select(F.col("node").alias("source"), F.col("path").alias("label"))
         claims = owned.join(calls.withColumnRenamed("target", "node"), "node").join(heads, ["source", "label"])
-        newest = written(claims.select("node", F.concat("label", F.array("sibling")).alias("path"), "name", F.lit(True).alias("added"), F.col("label").alias("owner")))
-        placed = placed.unionByName(newest.drop("owner"))
+        claimed = claims.select("node", F.concat("label", F.array("sibling")).alias("path"), "name", F.col("label").alias("owner"), F.lit(round_).alias("round"))
+        added = written((claimed if added is None else added.unionByName(claimed)).orderBy(order).limit(most))
+        newest = added.where(F.col("round") == round_)
         rest = owned.join(newest, "node", "left_anti")
         heirs = newest.groupBy(F.col("owner").alias("label")).agg(F.count("*").alias("n"), F.min("path").alias("heir"))
         rest = written(rest.join(heirs, "label"))
         single, several = rest.where("n = 1").select("node", F.col("heir").alias("label")), rest.where("n > 1").select("node")
         if several.isEmpty():
-            owned = written(single)
+            owned = single
             continue
         among = written(calls.join(several.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target", "sibling", "name"))
         begun = among.join(newest, F.col("source") == F.col("node")).select(F.col("target").alias("node"), F.col("path").alias("label"))
         inner = among.join(several.withColumnRenamed("node", "source"), "source", "left_semi")
-        owned = written(single.unionByName(_spread(begun, inner)))
-    placed = written(placed)
-    n = start.count()
-    new = placed.where("added")
-    order = F.struct(F.slice("path", F.lit(1), F.size("path") - 1).alias("caller"), F.element_at("path", -1).alias("sibling"), "node")
-    kept = placed.where("NOT added").unionByName(new.orderBy(order).limit(n))
+        owned = written(single.unionByName(_spread(begun, inner, most)))
+    kept = placed.withColumn("added", F.lit(False))
+    over = False
+    if added is not None:
+        over = added.count() == most
+        kept = kept.unionByName(added.orderBy(order).limit(most - 1).select("node", "path", "name", F.lit(True).alias("added")))
     # at most twice the entries, which one job lists by hand: a window over all of them
     ranked = kept.withColumn("position", F.row_number().over(Window.orderBy("path", "node")))
-    return ranked.select("name", "position", "added", F.lit(new.count() > n).alias("cap_exceeded"))
+    return ranked.select("name", "position", "added", F.lit(over).alias("cap_exceeded"))
 
 
 def reorder_by_closure(items: DataFrame, closure: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
 """What only larger tables bring up: rare keys, long chains, many rounds."""
 
+import random
+
 import duckdb
 
+from ledgerline.operators import graph as G
 from ledgerline.plans import catalogue
 from tests.compare import same
+from tests.test_graph_loops import close, closed
 
 
 def test_copies_of_orders_by_their_own_keys(spark, tmp_path):
@@ -14,3 +18,33 @@ def test_copies_of_orders_by_their_own_keys(spark, tmp_path):
     tables = duckdb.connect()
     tables.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     same(catalogue.queries()["rec4_table_diff"](spark, str(tmp_path)), tables, wanted)
+
+
+def counted(monkeypatch, most):
+    """Tables that graph loops write from now on; more than that many are an error."""
+    made, write = [], G.written
+
+    def written(df):
+        made.append(df)
+        assert len(made) <= most
+        return write(df)
+
+    monkeypatch.setattr(G, "written", written)
+    return made
+
+
+def test_rounds_are_bounded_by_the_entries_not_by_chains(spark, monkeypatch):
+    counted(monkeypatch, 40)
+    chains = [(f"{c}{i}", f"{c}{i + 1}", 0) for c in "ab" for i in range(200)] + [("a3", "b150", 1), ("b1", "a2", 1)]
+    for entries in (["A0", "b0", "x"], ["b0", "a0"]):
+        assert close(spark, entries, chains) == closed(entries, chains)
+
+
+def test_what_comes_up_late_is_left_out(spark):
+    """Wide and deep graphs with far more than the cap, where labels stop early and owners are dropped."""
+    for seed in range(1, 3):
+        rnd = random.Random(seed)
+        pairs = {(f"n{i}", f"n{min(59, i + rnd.choice([1, 1, 1, 2, 9]))}") for i in range(60) for _ in range(2)} | {(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(15)}
+        edges = [(a, b, k) for k, (a, b) in enumerate(sorted(pairs, key=lambda e: rnd.random()))]
+        entries = [f"n{i}" for i in rnd.sample(range(60), 3 + 2 * seed)]
+        assert close(spark, entries, edges) == closed(entries, edges)
