@@ -162,17 +162,18 @@ def split_spans(boundaries: DataFrame, calls: DataFrame, steps: DataFrame, dml:
 def components(pairs: DataFrame, scope: list[str] = (), rounds: int = 100) -> DataFrame:
     """(scope, node, component): connected components of pairs (a, b) inside each scope, named by their smallest node.
 
-    A node's label sinks to the least of its neighbours', and then to that label's own, so paths halve each round.
+    A node's label sinks to the least of its neighbours', and then to that label's own, so paths halve each round. Labels are
+    shuffled and not broadcast, as a broadcast of each round's labels would go through the driver.
     """
     scope = list(scope)
     both = pairs.select(*scope, F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(*scope, F.col("b").alias("x"), F.col("a").alias("y")))
     both = written(both.where("x IS NOT NULL AND y IS NOT NULL").distinct())
     labels = written(both.select(*scope, F.col("x").alias("node"), F.col("x").alias("component")).distinct())
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "y"), [*scope, "y"]).groupBy(*scope, F.col("x").alias("node")).agg(F.min("component").alias("near"))
-        lower = written(labels.join(near, [*scope, "node"]).select(*scope, "node", F.least("component", "near").alias("component"), F.col("component").alias("was")))
+        near = both.join(labels.withColumnRenamed("node", "y").hint("merge"), [*scope, "y"]).groupBy(*scope, F.col("x").alias("node")).agg(F.min("component").alias("near"))
+        lower = written(labels.join(near.hint("merge"), [*scope, "node"]).select(*scope, "node", F.least("component", "near").alias("component"), F.col("component").alias("was")))
         up = lower.select(*scope, F.col("node").alias("component"), F.col("component").alias("up"))
-        after = written(lower.join(up, [*scope, "component"]).select(*scope, "node", F.least("component", "up").alias("component"), "was"))
+        after = written(lower.join(up.hint("merge"), [*scope, "component"]).select(*scope, "node", F.least("component", "up").alias("component"), "was"))
         labels = after.drop("was")
         if after.where("component <> was").isEmpty():
             return labels

@@ -48,3 +48,11 @@ def test_what_comes_up_late_is_left_out(spark):
         edges = [(a, b, k) for k, (a, b) in enumerate(sorted(pairs, key=lambda e: rnd.random()))]
         entries = [f"n{i}" for i in rnd.sample(range(60), 3 + 2 * seed)]
         assert close(spark, entries, edges) == closed(entries, edges)
+
+
+def test_labels_of_components_are_not_broadcast(spark, monkeypatch):
+    made = counted(monkeypatch, 40)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(20) if i % 7], "a long, b long")
+    got = {r["node"]: r["component"] for r in G.components(pairs).collect()}
+    assert got == {n: max(k for k in (1, 8, 15) if k <= n) for n in range(1, 21)}
+    assert not any("BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString() for df in made)
