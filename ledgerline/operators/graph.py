@@ -13,15 +13,52 @@ from ledgerline.operators.joins import interval_join
 from ledgerline.operators.scans import carried, numbered
 
 
+#: Nodes up to which a frontier is broadcast, so that neither the edges nor what was seen are shuffled for it.
+FEW = 500_000
+
+
+def _few(nodes: DataFrame) -> DataFrame | None:
+    """Distinct nodes, written, if a broadcast takes them."""
+    kept = written(nodes.distinct())
+    return F.broadcast(kept) if kept.count() <= FEW else None
+
+
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """(root, node, depth): everything reachable over edges (source, target) in max_depth steps at most, with the least
-    depth. Cycles and shared nodes are met once."""
-    steps = edges.select("source", "target").distinct()
+    depth. Cycles and shared nodes are met once.
+
+    Pairs of roots and nodes are many more than nodes where roots meet in the same ones: then only the edges of those
+    nodes are joined, and only what was seen of their targets is compared.
+    """
+    steps = written(edges.select("source", "target").distinct())
     frontier = written(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(steps, F.col("node") == F.col("source")).select("root", F.col("target").alias("node")).distinct()
-        frontier = written(reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        few = _few(frontier.select(F.col("node").alias("source"))) if depth > 1 else None
+        hops, known = steps, seen
+        if few is not None:
+            hops = written(steps.join(few, "source", "left_semi"))
+            if hops.count() <= FEW:
+                hops = F.broadcast(hops)
+                known = seen.join(F.broadcast(hops.select(F.col("target").alias("node")).distinct()), "node", "left_semi")
+        reached = frontier.join(hops, F.col("node") == F.col("source")).select("root", F.col("target").alias("node"))
+        # a root's own edges differ, and nothing but itself was seen of it
+        new = reached.where("root <> node") if depth == 1 else reached.distinct().join(known.select("root", "node"), ["root", "node"], "left_anti")
+        frontier = written(new.withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def least_depths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """(node, depth): the nodes that roots (node) reach over edges (source, target) in max_depth steps at most, with the
+    least depth of all roots; the closure's least depth by node, without its pairs."""
+    frontier = written(roots.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier
+    for depth in range(1, max_depth + 1):
+        reached = edges.join(frontier.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).where("node IS NOT NULL").distinct()
+        frontier = written(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

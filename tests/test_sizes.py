@@ -56,3 +56,22 @@ def test_labels_of_components_are_not_broadcast(spark, monkeypatch):
     got = {r["node"]: r["component"] for r in G.components(pairs).collect()}
     assert got == {n: max(k for k in (1, 8, 15) if k <= n) for n in range(1, 21)}
     assert not any("BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString() for df in made)
+
+
+def test_closures_with_and_without_broadcasts(spark, monkeypatch):
+    rnd = random.Random(2)
+    edges = [(f"v{rnd.randrange(12)}", f"v{rnd.randrange(12)}") for _ in range(22)]
+    roots = spark.createDataFrame([("v0",), ("v3",), ("v3",), ("elsewhere",)], "node string")
+    df, wanted = spark.createDataFrame(edges, "source string, target string"), set()
+    for root in ("v0", "v3", "elsewhere"):
+        depth, front = {root: 0}, {root}
+        for d in range(1, 4):
+            front = {b for a, b in edges if a in front} - depth.keys()
+            depth |= dict.fromkeys(front, d)
+        wanted |= {(root, n, d) for n, d in depth.items()}
+    for few in (G.FEW, 0):
+        monkeypatch.setattr(G, "FEW", few)
+        got = [tuple(r) for r in G.closure(df, roots, 3).collect()]
+        assert len(got) == len(wanted) and set(got) == wanted
+    least = {n: min(d for _, m, d in wanted if m == n) for _, n, _ in wanted}
+    assert sorted(tuple(r) for r in G.least_depths(df, roots, 3).collect()) == sorted(least.items())
