@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ledgerline.durable import written
 from ledgerline.operators import graph as G
 from ledgerline.operators.scans import numbered
 from ledgerline.plans.catalogue import query
@@ -39,9 +40,10 @@ def _(spark, t):
 
 @query("gra2_node_status", CLOSURE + ", d AS (SELECT node, min(depth) AS depth FROM m GROUP BY 1), n AS (SELECT DISTINCT target AS node FROM edges) SELECT n.node, CASE WHEN depth IS NULL OR depth > 3 THEN 'SkippedDepth' WHEN n.node LIKE 'r%' OR n.node LIKE 'n1%' THEN 'SkippedExternal' ELSE 'Queued' END AS status FROM n LEFT JOIN d ON d.node = n.node")
 def _(spark, t):
-    nodes = edges(t).select(F.col("target").alias("node")).distinct()
+    calls = written(edges(t))
+    nodes = calls.select(F.col("target").alias("node")).distinct()
     nodes = nodes.select("node", F.when(F.col("node").startswith("n1"), "Other").otherwise("own").alias("database"), F.when(F.col("node").startswith("r"), "UNKNOWN").otherwise("Procedure").alias("type"))
-    return G.node_status(closed(t), nodes, "Own", 3)
+    return G.node_status(G.least_depths(calls, t("part").select(F.concat(F.lit("p"), "p_partkey").alias("node")), 4), nodes, "Own", 3)
 
 
 @query(
