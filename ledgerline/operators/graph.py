@@ -98,15 +98,18 @@ def strong_components(edges: DataFrame) -> DataFrame:
     takes the least node that reaches it. What the node that a colour is named by can be reached from within its colour is
     a component; it is taken off, and the rest begins anew.
     """
-    left = written(edges.select("source", "target").where("source <> target").distinct())
-    found = None
+    return _strong(written(edges.select("source", "target").where("source <> target").distinct()))
+
+
+def _strong(left: DataFrame) -> DataFrame:
+    """strong_components of distinct edges between different nodes, as written."""
+    edges, found, n = left, None, left.count()
     while True:
         while True:
-            both = left.select(F.col("source").alias("node")).intersect(left.select("target"))
-            kept = written(left.join(both.select(F.col("node").alias("source")), "source", "left_semi").join(both.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target"))
-            same = kept.count() == left.count()
-            left = kept
-            if same:
+            callers, callees = left.select("source").distinct(), left.select("target").distinct()
+            kept = written(left.join(callees.select(F.col("target").alias("source")), "source", "left_semi").join(callers.select(F.col("source").alias("target")), "target", "left_semi").select("source", "target"))
+            left, before, n = kept, n, kept.count()
+            if n == before:
                 break
         if left.isEmpty():
             return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).where("false") if found is None else found
@@ -123,6 +126,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = cycles if found is None else found.union(cycles)
         gone = part.select("node")
         left = written(left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
+        n = left.count()
 
 
 def execution_levels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -133,23 +137,28 @@ def execution_levels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     Each round takes off at least one node, so it goes on until none is left; cycles are looked for once, when first
     nothing can be taken off.
     """
-    left = written(edges.select("source", "target").where("source <> target").distinct())
+    edges = written(edges.select("source", "target").distinct())
+    left = edges.where("source <> target")
     waiting = written(edges.select(F.col("source").alias("node")).union(edges.select(F.col("target").alias("node"))).where("node IS NOT NULL").distinct())
     done, cycles = None, None
     for level in count() if rounds is None else range(rounds):
         if waiting.isEmpty():
             break
         ready = written(waiting.join(left.select(F.col("source").alias("node")).distinct(), "node", "left_anti").withColumn("in_cycle", F.lit(False)))
-        if ready.isEmpty():
+        of_cycles = ready.isEmpty()
+        if of_cycles:
             if cycles is None:
-                cycles = written(strong_components(left))
+                cycles = written(_strong(left))
             of = lambda end: cycles.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
             outside = left.join(of("source"), "source").join(of("target"), "target", "left").where("target_c IS NULL OR source_c <> target_c")
             ready = written(cycles.join(waiting, "node", "left_semi").join(outside.select(F.col("source_c").alias("component")).distinct(), "component", "left_anti").select("node", F.lit(True).alias("in_cycle")))
         placed = ready.select("node", F.lit(level).alias("level"), "in_cycle")
         done = placed if done is None else done.unionByName(placed)
         waiting = written(waiting.join(ready, "node", "left_anti"))
-        left = written(left.join(ready.select(F.col("node").alias("target")), "target", "left_anti").join(ready.select(F.col("node").alias("source")), "source", "left_anti").select("source", "target"))
+        rest = left.join(ready.select(F.col("node").alias("target")), "target", "left_anti")
+        if of_cycles:  # others have no edges left that begin at them
+            rest = rest.join(ready.select(F.col("node").alias("source")), "source", "left_anti")
+        left = written(rest.select("source", "target"))
     else:
         if not waiting.isEmpty():
             raise RuntimeError(f"execution levels did not settle in {rounds} rounds")
