@@ -204,8 +204,12 @@ def coverage_map(statements: DataFrame, facts: DataFrame, anchors: DataFrame) ->
     by whether a fact and an anchor (object, line) fall on them; containers are out of scope."""
     spans = statements.select("object", "start_line", "end_line", "is_container").distinct()
     key = ["object", "start_line", "end_line"]
-    on = lambda points, name: interval_join(points.select("object", "line").distinct(), spans, ["object"], "line", "start_line", "end_line").select(*key).distinct().withColumn(name, F.lit(True))
-    joined = spans.join(on(facts, "fact"), key, "left").join(on(anchors, "anchor"), key, "left")
+    of = lambda points, fact: points.select("object", "line", F.lit(fact).alias("fact"), F.lit(not fact).alias("anchor"))
+    marks = lambda df, by: df.groupBy(*by).agg(F.max("fact").alias("fact"), F.max("anchor").alias("anchor"))
+    points = marks(of(facts, True).unionByName(of(anchors, False)), ["object", "line"])
+    # both are met in one join, by stretches of eight lines, which most statements fit into
+    met = marks(interval_join(points, spans.select(*key).distinct(), ["object"], "line", "start_line", "end_line", 8), key)
+    joined = spans.join(met, key, "left")
     kind = F.when(F.col("is_container"), "OutOfScope").when(F.col("fact") & F.col("anchor"), "Consistent").when(F.col("fact"), "SpecMissing").when(F.col("anchor"), "ProseOnly").otherwise("OutOfScope")
     return joined.withColumn("kind", kind).groupBy("object").pivot("kind", ["Consistent", "SpecMissing", "ProseOnly", "OutOfScope"]).count().na.fill(0)
 
