@@ -12,6 +12,8 @@ from ledgerline.functions.expressions import mentions
 
 #: Characters of the literals that one automaton holds, about: some hundred bytes of memory each.
 MOST = 1_000_000
+#: Texts whose finds a task holds at a time; of the texts themselves one is a Python string at a time.
+SLICE = 256
 WORD_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 
@@ -46,17 +48,19 @@ def occurrences(literals: DataFrame, texts: DataFrame, key: str, whole_words: bo
                 automaton.add_word(name, (i, len(name)))
             automaton.make_automaton()
             for batch in batches:
-                at, named = [], []
-                for row, text in enumerate(batch.column("text").to_pylist() if names else ()):
-                    held = set()
-                    for last, (i, n) in automaton.iter(text):
-                        if i in held:
-                            continue
-                        if not whole_words or not ((last >= n and text[last - n] in WORD_CHARACTERS) or text[last + 1 : last + 2] in WORD_CHARACTERS):
-                            held.add(i)
-                    at += [row] * len(held)
-                    named += held
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), pa.array([names[i] for i in named], pa.string())], [key, "literal"])
+                for start in range(0, batch.num_rows, SLICE):
+                    piece = batch.slice(start, SLICE)
+                    at, named = [], []
+                    for row, text in enumerate(piece.column("text") if names else ()):
+                        text, held = text.as_py(), set()
+                        for last, (i, n) in automaton.iter(text):
+                            if i in held:
+                                continue
+                            if not whole_words or not ((last >= n and text[last - n] in WORD_CHARACTERS) or text[last + 1 : last + 2] in WORD_CHARACTERS):
+                                held.add(i)
+                        at += [row] * len(held)
+                        named += held
+                    yield pa.RecordBatch.from_arrays([piece.column(key).take(pa.array(at, pa.int64())), pa.array([names[i] for i in named], pa.string())], [key, "literal"])
 
         found.append(rows.mapInArrow(hits, f"`{key}` {schema}, literal string"))
     if empty:
