@@ -5,7 +5,9 @@ import random
 import duckdb
 
 from ledgerline.operators import graph as G
-from ledgerline.plans import catalogue
+from ledgerline.operators import search as X
+from ledgerline.operators import text as T
+from ledgerline.plans import catalog_queries, catalogue
 from tests.compare import same
 from tests.test_graph_loops import close, closed
 
@@ -75,3 +77,36 @@ def test_closures_with_and_without_broadcasts(spark, monkeypatch):
         assert len(got) == len(wanted) and set(got) == wanted
     least = {n: min(d for _, m, d in wanted if m == n) for _, n, _ in wanted}
     assert sorted(tuple(r) for r in G.least_depths(df, roots, 3).collect()) == sorted(least.items())
+
+
+def test_statements_meet_facts_and_anchors_in_one_join(spark, monkeypatch):
+    rnd, joins, join = random.Random(4), [], T.interval_join
+    monkeypatch.setattr(T, "interval_join", lambda *a: joins.append(a) or join(*a))
+    spans = {(o, a, a + rnd.choice([0, 3, 20]), rnd.random() < 0.2) for o in "xy" for a in rnd.sample(range(60), 12)}
+    facts, anchors = ({(rnd.choice("xyz"), rnd.randrange(70)) for _ in range(15)} for _ in range(2))
+    made = lambda rows, names: spark.createDataFrame(sorted(rows), names)
+    points = "object string, line int"
+    got = T.coverage_map(made(spans, "object string, start_line int, end_line int, is_container boolean"), made(facts, points), made(anchors, points)).collect()
+    assert len(joins) == 1
+    for r in got:
+        wanted = dict.fromkeys(["Consistent", "SpecMissing", "ProseOnly", "OutOfScope"], 0)
+        for o, a, b, c in spans:
+            if o == r["object"]:
+                f, n = (any(p == o and a <= line <= b for p, line in ps) for ps in (facts, anchors))
+                wanted["OutOfScope" if c or not (f or n) else "Consistent" if f and n else "SpecMissing" if f else "ProseOnly"] += 1
+        assert r.asDict() == {"object": r["object"], **wanted}
+
+
+def test_texts_of_many_slices(spark):
+    n = 2 * X.SLICE + 5
+    docs = spark.range(n, numPartitions=1).selectExpr("id AS doc_id", "concat('a', id, ' b') AS text")
+    values = spark.createDataFrame([("b",), ("a7",), (f"a{n - 1}",)], "literal string")
+    got = X.occurrences(values, docs, "doc_id", True)
+    assert {(r["doc_id"], r["literal"]) for r in got.collect()} == {(i, "b") for i in range(n)} | {(7, "a7"), (n - 1, f"a{n - 1}")}
+
+
+def test_documents_are_files_in_folders(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(catalog_queries, "scratch_path", lambda spark: f"{tmp_path}/docs")
+    spark.range(30).selectExpr("id AS doc_id", "concat('x', id, chr(10), 'y') AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert tuple(catalogue.queries()["src6_read_documents"](spark, str(tmp_path)).first()) == (30, 20 * 5 + 10 * 4)
+    assert len(list(tmp_path.glob("docs/folder=*/*.txt"))) == 30
