@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import simhash
-from ledgerline.llm.common import components, discard, give_back, written
+from ledgerline.llm.common import components, discard, give_back, small_batches, written
 from ledgerline.llm.pitman_yor import token_hashes
 
 SEED = 42
@@ -207,10 +207,19 @@ def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     one = written(kinds.join(wanted, "k", "left_semi").select("k", "first_id", "first_t"))
     passes = _sieve(one.select("first_t"))
-    pack = F.pandas_udf(lambda h, texts: texts.where(passes(h), None).map(lambda t: None if t is None else zlib.compress(t.encode(), 1)), "binary")
-    keyed = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("first_t", F.xxhash64("text"))
-    keyed = keyed.select("id", "first_t", pack("first_t", "text").alias("text")).where("text IS NOT NULL")
-    texts = written(keyed.join(one, "first_t").where(F.col("id").eqNullSafe(F.col("first_id"))).select("k", "text").dropDuplicates(["k"]))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches):
+            part = part.filter(pa.array(passes(part.column("first_t").to_pandas())))
+            texts = pa.array([zlib.compress(t, 1) for t in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("first_t"), texts], ["id", "first_t", "text"])
+        give_back()
+
+    # one pass of one worker: a filter on a UDF's result would have Spark work it out twice, in two workers of each task
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("first_t", F.xxhash64("text"))
+    keyed = keyed.mapInArrow(packed, "id long, first_t long, text binary")
+    with small_batches(docs.sparkSession):
+        texts = written(keyed.join(one, "first_t").where(F.col("id").eqNullSafe(F.col("first_id"))).select("k", "text").dropDuplicates(["k"]))
     of = lambda c: texts.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}"))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +232,10 @@ def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
                 shared = len(np.intersect1d(own[x], own[y], assume_unique=True))
                 good.append(BOTTOM * shared >= TOP * (len(own[x]) + len(own[y]) - shared))
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
-    found = written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long"))
+    with small_batches(docs.sparkSession):
+        found = written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a long, b long"))
     discard(pairs, one, texts)
     return found
 
@@ -334,7 +345,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts without words are near copies of each other: null, empty and blank ones. Of repeated rows one stays. Other
     columns don't matter, whatever they are called. An empty table gives an empty one.
     """
-    sets = written(_sets(docs, _common(docs, docs.count())))
+    with small_batches(docs.sparkSession):
+        sets = written(_sets(docs, _common(docs, docs.count())))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "t")).alias("first")
     kinds = sets.groupBy("k").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("late").alias("late"), F.min("bits").alias("bits"), F.min("first").alias("shared"))
     kinds = written(kinds.select("k", "fp", "n", "late", "bits", F.col("shared").alias("first"), F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("first_t")))

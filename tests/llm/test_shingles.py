@@ -93,3 +93,33 @@ def test_one_word_replaced_in_a_hundred_is_a_near_copy(spark):
         rows.append((2 * i + 1, " ".join(words)))
     kept = dict(corpus_pipeline.STAGES)["simhash"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 80, 2))
+
+
+def test_texts_of_pairs_come_in_small_batches(spark, monkeypatch, tmp_path):
+    """40 texts that are alike, each of 90,000 random words, are packed once and never held together."""
+    pieces = shingles._pieces
+
+    def noted(batches, rows=256):
+        import uuid
+
+        def seen():
+            for batch in batches:
+                (tmp_path / uuid.uuid4().hex).write_text(f"{'+'.join(batch.schema.names)} {batch.nbytes} {batch.num_rows}")
+                yield batch
+
+        return pieces(seen(), rows)
+
+    monkeypatch.setattr(shingles, "_pieces", noted)
+    rng = random.Random(7)
+    base = [f"{rng.randrange(16**8):x}" for _ in range(90_000)]
+    rows = []
+    for i in range(40):
+        base[rng.randrange(len(base))] = f"other{i}"
+        rows.append((i, " ".join(base)))
+    kept = shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert [r["doc_id"] for r in kept.select("doc_id").collect()] == [0]
+    found = [p.read_text().split() for p in tmp_path.iterdir()]
+    text = max(len(t) for _, t in rows)
+    assert max(int(n) for _, n, _ in found) <= (4 << 20) + 2 * text + 4096
+    assert sum(int(n) for names, _, n in found if names == "id+text+first_t") == 40
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
