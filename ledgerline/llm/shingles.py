@@ -79,38 +79,43 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _common(docs: DataFrame, rows: int, sample: int = 4000, most: int = 200_000) -> np.ndarray:
-    """Sorted hashes of shingles that several texts of a sample hold. They only decide in which order shingles come."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // sample))) == 0).select("text")
+def _common(docs: DataFrame, rows: int, sample: int = 4000, share: int = 8) -> Callable[[pd.Series], pd.Series]:
+    """A test of shingles' hashes, to be used in tasks: whether several texts of a sample hold it. It only decides in which
+    order shingles come, so that a few others may pass.
+
+    The sample is the same share of every large table: of a smaller one, shingles would have to be in more texts to be
+    found, and the lists of those that aren't would grow with the table."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(min(share, max(1, rows // sample)))) == 0).select("text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(part.column("text").to_pylist())).view(np.int64))], ["g"])
+        give_back()
 
-    found = some.mapInArrow(own, "g long").groupBy("g").count().where("count > 2").orderBy(F.desc("count"), "g").limit(most).collect()
-    return np.sort(np.array([r["g"] for r in found], np.int64).view(np.uint64))
+    found = written(some.mapInArrow(own, "g long").groupBy("g").count().where("count > 2").select("g"))
+    passes = _sieve(found)
+    discard(found)
+    return passes
 
 
-def _sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, common: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """(doc_id, t, k, fp, n, late, bits, first) for every row of docs: a hash of the text, one of the set, its fingerprint
     and size, how many of its shingles are common, its parity sketch, and the shingles, in the common order, that another
     set must share one of."""
-    last = docs.sparkSession.sparkContext.broadcast(common)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = last.value
         for part in _pieces(batches):
             keys, prints, sizes, lates, bits, firsts = [], [], [], [], [], []
-            for own in shingle_sets(part.column("text").to_pylist()):
+            sets = shingle_sets(part.column("text").to_pylist())
+            tested = common(pd.Series(np.concatenate(sets))).to_numpy()
+            for own, is_late in zip(sets, np.split(tested, np.cumsum([len(x) for x in sets])[:-1])):
                 keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 prints.append(_print(own))
                 sizes.append(len(own))
                 bits.append(np.packbits(np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes())
-                lates.append(0)
-                if len(late) and len(own):
-                    is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
-                    lates[-1] = int(is_late.sum())
-                    own = np.concatenate((own[~is_late], own[is_late])) if is_late.any() else own
+                lates.append(int(is_late.sum()))
+                if lates[-1]:
+                    own = np.concatenate((own[~is_late], own[is_late]))
                 firsts.append(own[: len(own) - -(-TOP * len(own) // BOTTOM) + 1].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in firsts])))
             first = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts)))

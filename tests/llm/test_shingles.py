@@ -81,6 +81,23 @@ def test_lists_lose_no_shared_shingle(spark):
         assert sum(len(ks) == 1 for ks in found.values()) <= 8  # partitions' ends only
 
 
+def test_phrases_come_last_in_large_tables_too(spark):
+    """Phrases that 60 texts share don't make lists in a table of 256,000 rows, of which 3000 are here."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    phrases = [[word() for _ in range(24)] for _ in range(50)]
+    rows = [(i, " ".join([word() for _ in range(30)] + phrases[i % 50] + [word() for _ in range(30)])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = shingles._sets(docs, shingles._common(docs, 256_000)).collect()
+    late = sum(r["late"] for r in sets)
+    assert 0.9 * 3000 * 20 <= late <= 1.1 * 3000 * 20
+    met = {}
+    for r in sets:
+        for g in r["first"]:
+            met[g] = met.get(g, 0) + 1
+    assert sum(n * (n - 1) // 2 for n in met.values()) <= 0.1 * 3000 * 60
+
+
 def test_one_word_replaced_in_a_hundred_is_a_near_copy(spark):
     import corpus_pipeline
 
