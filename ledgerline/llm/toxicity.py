@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import fold, written
+from ledgerline.llm.common import fold, give_back, written
 
 TERM = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6, 7)
@@ -115,6 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, positives: int =
     with one doc_id, the first by a hash of the text trains. Null ids, labels and texts don't. Without toxic labels every
     text gets the prior.
     """
+    model = _fitted(docs, labels, held_out, positives, unlabelled, least)
+    give_back()  # the sample's features have gone, and the driver lives on
+    return model
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, held_out: int, positives: int, unlabelled: int, least: int) -> Model:
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("toxic")).first()

@@ -98,6 +98,21 @@ def test_phrases_come_last_in_large_tables_too(spark):
     assert sum(n * (n - 1) // 2 for n in met.values()) <= 0.1 * 3000 * 60
 
 
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    from ledgerline.llm import common
+
+    exchanges, keep = [], common.written
+
+    def noted(df):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return keep(df)
+
+    monkeypatch.setattr(common, "written", noted)
+    found = common.components(spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 22), (22, 21)], "a long, b long"))
+    assert {r["node"]: r["component"] for r in found.collect()} == dict.fromkeys(range(10), 0) | dict.fromkeys((20, 21, 22), 20)
+    assert max(exchanges) <= 6
+
+
 def test_one_word_replaced_in_a_hundred_is_a_near_copy(spark):
     import corpus_pipeline
 
