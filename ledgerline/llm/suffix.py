@@ -182,8 +182,9 @@ def deep_shallow_order(rows: np.ndarray, group: np.ndarray, shallow: int = 64) -
 def _common(rows: np.ndarray, order: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Common prefix of each row with the one before it in order; -1 at the first of a group."""
     a, b = rows[order[1:]], rows[order[:-1]]
-    differs = a != b
-    lcp = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
+    differs = np.ones((len(a), rows.shape[1] + 1), bool)  # strings end somewhere, those without a byte too
+    np.not_equal(a, b, out=differs[:, :-1])
+    lcp = differs.argmax(1)
     return np.concatenate(([-1], np.where(group[order[1:]] == group[order[:-1]], lcp, -1)))
 
 
