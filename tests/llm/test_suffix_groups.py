@@ -3,11 +3,20 @@
 import hashlib
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from ledgerline.llm import suffix
 from tests.llm.test_llm import bag, reference_removal
 
 
+def test_strings_that_start_at_their_mark():
+    after = np.array([[1, 2], [1, 2], [1, 3], [1, 2]], np.uint8)
+    none, whole, group = np.zeros((4, 0), np.uint8), np.full(4, 2), np.array([0, 0, 0, 1])
+    first, last = suffix.repeated_around(none, after, np.zeros(4, int), whole, group, np.ones(4, int), 2, 0, 0)
+    assert first.tolist() == last.tolist() == [0, 0, -1, -1]
+
+
 def test_groups_split_to_single_starts(spark):
     rnd = random.Random(5)
     letters = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
