@@ -110,3 +110,16 @@ def test_documents_are_files_in_folders(spark, monkeypatch, tmp_path):
     spark.range(30).selectExpr("id AS doc_id", "concat('x', id, chr(10), 'y') AS text").write.parquet(f"{tmp_path}/documents.parquet")
     assert tuple(catalogue.queries()["src6_read_documents"](spark, str(tmp_path)).first()) == (30, 20 * 5 + 10 * 4)
     assert len(list(tmp_path.glob("docs/folder=*/*.txt"))) == 30
+
+
+def odd_documents(spark, path):
+    texts = [None, "", "   ", "\u00a0\u3000", "\t", "\n", " \n", "a\u0001", "\u0001", "\u0001\u0001\n", " é😀 ", "x\r\ny", "same", "same"]
+    spark.createDataFrame([(None if i == 3 else i // 2, x) for i, x in enumerate(texts)], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    return tables
+
+
+def test_empty_documents_are_none(spark, tmp_path):
+    tables = odd_documents(spark, tmp_path)
+    same(catalogue.queries()["src6_read_documents"](spark, str(tmp_path)), tables, catalogue.oracle_sql()["src6_read_documents"])
